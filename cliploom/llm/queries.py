@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, fingerprints, sharding
-from .common import table
+from . import byte_bpe, chat, fingerprints, quality, sharding, toxicity, warc
+from .common import held_out, table
 
 
 def bpe_vocabulary() -> tuple[str, str]:
@@ -15,15 +16,35 @@ def bpe_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.described(table(spark, sf_dir, "documents"))
+    model = quality.learn(rows, table(spark, sf_dir, "labels"))
+    return quality.scored(rows, model).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.digests(byte_bpe.encode_and_decode(docs, *bpe_vocabulary()))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_control_conversation(table(spark, sf_dir, "conversations"))
     return chat.read_back(chat.examples(rows))
@@ -34,8 +55,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
+    "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
 }

@@ -42,6 +42,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated once per row.
+
+    The optimizer copies a projected expression to every place that uses it, also into lambdas and
+    filters, where a text would be split again for each word.  It does not look through a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+#: Bits of the sketches below: 1 MB of bits, whatever the input.
+SKETCH_BITS = 1 << 23
+
+
+def _slot(key: str) -> str:
+    return f"pmod(xxhash64({key}), {SKETCH_BITS})"
+
+
+def sketch(keys: DataFrame, key: str) -> DataFrame:
+    """A Bloom-like bit sketch of ``key`` as (word, bits): at most SKETCH_BITS / 64 rows."""
+    return (
+        keys.select(F.expr(f"cast({_slot(key)} div 64 as int)").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({_slot(key)}, 64) as int))").alias("bit"))
+        .groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    )
+
+
+def noted(df: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """Add ``noted``: false where ``key`` is surely not among the sketched keys.
+
+    A cheap cut before an exact join: with few keys almost nothing else passes; with very many the
+    sketch fills up and the join does all the work, so results never depend on it.
+    """
+    hit = F.expr(f"coalesce((bits & shiftleft(1L, cast(pmod({_slot(key)}, 64) as int))) <> 0, false)")
+    marked = df.withColumn("word", F.expr(f"cast({_slot(key)} div 64 as int)")).join(F.broadcast(words), "word", "left")
+    return marked.withColumn("noted", hit).drop("word", "bits")
+
+
 def text_or_empty(column: str | Column) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.coalesce(column, F.lit(""))

@@ -24,10 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
-
-#: Bits of the sketch that tells which digests may occur more than once: fixed, 1 MB.
-SKETCH_BITS = 1 << 23
+from .common import noted, sketch, stored
 
 
 def canonical(text: str) -> bytes:
@@ -131,14 +128,7 @@ def collisions(docs: DataFrame, marks: DataFrame, text: str = "text") -> DataFra
     sketch of fixed size; the texts of noted digests are compared as bytes.  The aggregate merges
     the copies within a task before they move.
     """
-    slot = "pmod(xxhash64(digest), %d)" % SKETCH_BITS
-    bit = f"shiftleft(1L, cast(pmod({slot}, 64) as int))"
-    word = f"cast({slot} div 64 as int)"
-    words = (
-        marks.select(F.substring("fingerprint", 1, 32).alias("digest")).groupBy("digest").count().where("count > 1")
-        .select(F.expr(word).alias("word"), F.expr(bit).alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    )
+    several = marks.select(F.substring("fingerprint", 1, 32).alias("digest")).groupBy("digest").count().where("count > 1")
 
     def canonical_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -146,9 +136,8 @@ def collisions(docs: DataFrame, marks: DataFrame, text: str = "text") -> DataFra
             yield pd.DataFrame({"digest": [mark_of(x)[:32] for x in forms], "form": forms})
 
     forms = docs.select(F.coalesce(F.col(text), F.lit("")).alias("body")).mapInPandas(canonical_rows, "digest string, form binary")
-    # At most SKETCH_BITS / 64 rows of 12 bytes: a proven bound for the broadcast.
-    noted = forms.withColumn("word", F.expr(word)).join(F.broadcast(words), "word").where(F.expr(f"(bits & {bit}) <> 0"))
-    return noted.groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("digest")
+    candidates = noted(forms, "digest", sketch(several, "digest")).where("noted")
+    return candidates.groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("digest")
 
 
 def likeness(left: str | Column, right: str | Column) -> Column:

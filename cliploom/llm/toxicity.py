@@ -123,40 +123,43 @@ def _fit_embeddings(texts: list[str], labels: np.ndarray, seed: int = 1) -> tupl
     rng = np.random.default_rng(seed)
     split = [words_of(t) for t in texts]
     keep = [i for i, w in enumerate(split) if w]
+    lengths = np.array([len(split[i]) for i in keep])
     codes, uniques = pd.factorize(np.array([w for i in keep for w in split[i]], dtype=object))
+    del split
     ids, bounds = subwords(list(uniques))
-    sizes = np.diff(bounds)
-    doc_of_word = np.repeat(np.arange(len(keep)), [len(split[i]) for i in keep])
+    ids, sizes = ids.astype(np.int32), np.diff(bounds)
+    starts_of = np.concatenate([[0], np.cumsum(lengths)])
+
+    def rows_of(words: np.ndarray) -> np.ndarray:
+        """Subword rows of these words, one after another."""
+        n = sizes[words]
+        return ids[np.repeat(bounds[words] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+
     # Rows that fewer than LEAST_DOCS documents use would only be memorised: they stay zero.
-    pairs = np.unique(codes.astype(np.int64) * len(keep) + doc_of_word)
-    word, doc = pairs // len(keep), pairs % len(keep)
-    rep = np.repeat(np.arange(len(word)), sizes[word])
-    offset = np.arange(len(rep)) - np.repeat(np.cumsum(sizes[word]) - sizes[word], sizes[word])
-    row_doc = np.unique(ids[bounds[word][rep] + offset] * len(keep) + doc[rep])
-    used = (np.bincount(row_doc // len(keep), minlength=BUCKETS) >= LEAST_DOCS).astype(np.float64)[:, None]
-    del pairs, word, doc, rep, offset, row_doc
-
-    embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)) * used
+    documents = np.zeros(BUCKETS, np.int32)
+    for d in range(len(keep)):
+        documents[np.unique(rows_of(np.unique(codes[starts_of[d] : starts_of[d + 1]])))] += 1
+    used = (documents >= LEAST_DOCS).astype(np.float32)[:, None]
+
+    embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32) * used
     softmax, bias = rng.normal(0, 0.3, (WIDTH, 2)), np.zeros(2)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (embed, softmax, bias)]
-    starts_of = np.concatenate([[0], np.cumsum([len(split[i]) for i in keep])])
+    place = np.zeros(len(codes), np.int64)
     target = labels[keep].astype(int)
     steps = 0
     for _ in range(ROUNDS):
         for part in np.array_split(rng.permutation(len(keep)), CHUNKS):
             starts, ends, owner = [], [], []
             for d in part:
-                s, e = passage_bounds(len(split[keep[d]]))
+                s, e = passage_bounds(int(lengths[d]))
                 starts.append(s + starts_of[d]), ends.append(e + starts_of[d]), owner.append(np.full(len(s), d))
             starts, ends, owner = map(np.concatenate, (starts, ends, owner))
             at = np.concatenate([np.arange(starts_of[d], starts_of[d + 1]) for d in part])
             words, local = np.unique(codes[at], return_inverse=True)
-            place = np.zeros(len(codes), np.int64)
             place[at] = np.arange(len(at))
             s, e = place[starts], place[ends - 1] + 1
             n = sizes[words]
-            flat = np.repeat(bounds[words] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            rows, line = ids[flat], np.repeat(np.arange(len(words)), n)
+            rows, line = rows_of(words), np.repeat(np.arange(len(words)), n)
             vectors = np.add.reduceat(embed[rows], np.concatenate([[0], np.cumsum(n)[:-1]])) / n[:, None]
             total = np.vstack([np.zeros(WIDTH), np.cumsum(vectors[local], axis=0)])
             mean = (total[e] - total[s]) / (e - s)[:, None]
@@ -189,7 +192,7 @@ def _fit_embeddings(texts: list[str], labels: np.ndarray, seed: int = 1) -> tupl
                 m += 0.1 * grad
                 v *= 0.99
                 v += 0.01 * grad * grad
-                value -= RATE * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-8)
+                value -= (RATE * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-8)).astype(value.dtype)
             embed *= used
     direction = softmax[:, 1] - softmax[:, 0]
     return embed @ direction, float(bias[1] - bias[0])

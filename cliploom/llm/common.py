@@ -51,6 +51,16 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): the whole row in one column, so that no extra column can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them with new values."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 #: Bits of the sketches below: 1 MB of bits, whatever the input.
 SKETCH_BITS = 1 << 23
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import computed_once, noted, sketch, stored
+from .common import computed_once, noted, packed, sketch, stored, unpacked
 
 WIDTH, THRESHOLD = 5, 0.75
 #: Signature rows up to which they are broadcast (24 MB); beyond, the join shuffles.
@@ -92,9 +92,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, all columns kept."""
     found = stored(leaks(docs, benchmark).select("text_hash").distinct(), "leaks")
-    marked = noted(docs.withColumn("text_hash", F.xxhash64("text")), "text_hash", sketch(found, "text_hash"))
-    clean = marked.where("not noted").unionByName(marked.where("noted").join(found, "text_hash", "left_anti"))
-    return clean.select(*[f"`{c}`" for c in docs.columns])
+    marked = noted(packed(docs).withColumn("text_hash", F.xxhash64("text")), "text_hash", sketch(found, "text_hash"))
+    clean = marked.where("not noted").select("row").unionByName(marked.where("noted").join(found, "text_hash", "left_anti").select("row"))
+    return unpacked(clean, docs)
 
 
 ORACLE = """

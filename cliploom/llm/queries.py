@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, fingerprints, pii, quality, sharding, toxicity, warc
+from . import byte_bpe, chat, decontaminate, fingerprints, ngram_join, pii, quality, sharding, toxicity, warc
 from .common import held_out, table
 
 
@@ -29,6 +29,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.digests(byte_bpe.encode_and_decode(docs, *bpe_vocabulary()))
@@ -66,6 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
+    "op3_ngram_join": op3_ngram_join,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
@@ -75,4 +80,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op3_ngram_join": ngram_join.ORACLE}

@@ -237,8 +237,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` to every row: a map over whole texts, no shuffle."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Add the score to every row (under a name not yet taken): a map over whole texts, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{i}" for i in range(len(docs.columns))]
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
@@ -254,4 +254,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType, True) for c, n in zip(docs.columns, names)] + [T.StructField("score", T.DoubleType())])
     out = source.mapInPandas(run, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)], "score")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)], F.col("score").alias(name))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents whose score stays below the threshold; all columns kept."""
+    name = "score_" + "_".join(docs.columns)[:40]
+    return scored(docs, learn(docs, labels), name).where(F.col(f"`{name}`") < threshold).drop(name)

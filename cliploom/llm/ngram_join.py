@@ -17,7 +17,7 @@ last (counted exactly over all documents) and else follows the hash.  Each such
 Search.  Small cells pair their members; large cells pair members with a pivot of each size.
 Pairs with sizes or count vectors that cannot reach the threshold end there; the rest are verified
 on the full sets.  After that only members of a large cell that fell into different components
-can still link: they are searched in a tree over the cell's points, in blocks, and verified too.
+can still link: they are searched in a tree over the cell's points, in blocks, and verified there.
 Pairs inside one component need no test, so a group of k near copies costs about k, not k * k.
 
 Classes are named by 55 hash bits and their size, shingles by 64 bits; the README gives the odds.
@@ -319,9 +319,8 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return near.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInPandas(run, "a long, b long")
 
 
-def verified(source: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs of classes that link, tested on the full sets of one text of each class."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+def class_sets(source: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, s): the full shingle set of each wanted class, made from one of its texts."""
     texts = docs.groupBy("a").agg(F.min("text_hash").alias("text_hash")).join(wanted, "a")
     texts = stored(texts.select("text_hash").distinct(), "ngram-texts")
     near = noted(source.select("text", "text_hash"), "text_hash", sketch(texts, "text_hash")).where("noted").select("text", "text_hash")
@@ -337,53 +336,97 @@ def verified(source: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     # One row per class: copies that tasks hold are equal, so any of them serves.
     sets = near.mapInPandas(run, "a long, s binary").join(wanted, "a", "left_semi").dropDuplicates(["a"])
-    sets = stored(sets, "ngram-sets")
+    return stored(sets, "ngram-sets")
+
+
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of a sorted set with each of the others."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    return np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum([0] + [len(x) for x in others[:-1]]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of classes that link, tested on their full sets."""
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             keep = []
             for s_a, s_b in zip(frame["s_a"], frame["s_b"]):
                 left, right = np.frombuffer(s_a, np.uint64), np.frombuffer(s_b, np.uint64)
-                if len(left) > len(right):
-                    left, right = right, left
-                at = np.minimum(np.searchsorted(right, left), len(right) - 1)
-                both = int((right[at] == left).sum())
-                keep.append(100 * both >= 75 * (len(left) + len(right) - both))
+                keep.append(bool(may_link(overlaps(left, [right])[0], len(left), len(right))))
             yield frame.loc[keep, ["a", "b"]]
 
     side = lambda s: sets.select(F.col("a").alias(s), F.col("s").alias(f"s_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInPandas(test, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs of large-cell members in different components that a tree search cannot rule out."""
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the large cells that still hold several components.
+
+    (cell, node, root, main, blocks, cells): ``main`` is the cell's largest component, ``cells`` all such
+    cells of the node.
+    """
     placed = members.select(F.col("a").alias("cell"), F.col("b").alias("node")).join(labels, "node", "left")
     placed = placed.select("cell", "node", F.coalesce("root", "node").alias("root"))
     sizes = placed.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k"))
-    open_cells = sizes.groupBy("cell").agg(F.max_by("root", "k").alias("main"), F.sum("k").alias("members"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = placed.join(open_cells, "cell").join(points.select(F.col("a").alias("node"), "n", F.col("keys").alias("point")), "node")
-    index = rows.withColumns({"query": F.lit(False), "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-    query = rows.where("root <> main").withColumns({"query": F.lit(True), "block": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    kept = ["cell", "block", "query", "node", "root", "n", "point"]
+    several = sizes.groupBy("cell").agg(F.max_by("root", "k").alias("main"), F.sum("k").alias("members"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    rows = stored(placed.join(several, "cell").select("cell", "node", "root", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "ngram-open")
+    return rows.join(rows.groupBy("node").agg(F.collect_list("cell").alias("cells")), "node")
+
+
+def cross_links(rows: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of a cell that are in different components.
+
+    A cell's members are dealt to blocks; each block is a tree.  Members outside the main component
+    ask every block; what the tree leaves is verified on the full sets in the same task, so only links
+    come out.  A pair that shares several cells is tested in the first of them only, and once two
+    components have met in a task they are not compared again there.
+    """
+    full = rows.join(points.select(F.col("a").alias("node"), "n", F.col("keys").alias("point")), "node").join(sets.select(F.col("a").alias("node"), "s"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    asks = F.col("root") != F.col("main")
+    every = F.when(asks, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    dealt = full.select("cell", "node", "root", "n", "point", "s", "cells", asks.alias("asks"), own.alias("own"), F.explode(every).alias("block"))
 
     def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         vectors = [_vector(p, n) for p, n in zip(frame["point"], frame["n"])]
         groups = min(map(len, vectors))
         points = np.stack([folded(v, groups) for v in vectors])
-        n, node, root, asks = (frame[c].to_numpy() for c in ("n", "node", "root", "query"))
-        inside = np.flatnonzero(~asks)
-        found = [np.zeros((0, 2), np.int64)]
+        sets = [np.frombuffer(s, np.uint64) for s in frame["s"]]
+        n, node, root, asking = (frame[c].to_numpy() for c in ("n", "node", "root", "asks"))
+        inside = np.flatnonzero(frame["own"].to_numpy() == key[1])
+        earlier = [[c for c in cells if c < key[0]] for cells in frame["cells"]]
+        place = {c: i for i, c in enumerate(sorted({c for cells in earlier for c in cells}))}
+        shares = np.zeros((len(frame), len(place)), bool)
+        for i, cells in enumerate(earlier):
+            shares[i, [place[c] for c in cells]] = True
+        met = {r: r for r in root.tolist()}
+
+        def of(r: int) -> int:
+            while met[r] != r:
+                met[r] = met[met[r]]
+                r = met[r]
+            return r
+
+        links = []
         if len(inside):
             tree = CountTree(points[inside], n[inside], root[inside])
-            for q in np.flatnonzero(asks):
+            for q in np.flatnonzero(asking):
                 hit = inside[tree.search(points[q], n[q])]
-                hit = hit[root[hit] != root[q]]
-                found.append(np.column_stack([np.full(len(hit), node[q]), node[hit]]))
-        both = np.sort(np.concatenate(found), axis=1)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+                hit = hit[(4 * np.minimum(n[hit], n[q]) >= 3 * np.maximum(n[hit], n[q])) & ~(shares[hit] & shares[q]).any(axis=1)]
+                # Two asking members of one block would meet twice.
+                hit = hit[~asking[hit] | (node[hit] < node[q]) | (frame["own"].to_numpy()[q] != key[1])]
+                hit = np.array([h for h in hit.tolist() if of(int(root[h])) != of(int(root[q]))], np.int64)
+                if len(hit):
+                    linked = hit[may_link(overlaps(sets[q], [sets[h] for h in hit]), n[hit], n[q])]
+                    for h in linked.tolist():
+                        if of(int(root[h])) != of(int(root[q])):
+                            met[of(int(root[h]))] = of(int(root[q]))
+                            links.append((node[q], node[h]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    return index.select(*kept).unionByName(query.select(*kept)).groupBy("cell", "block").applyInPandas(search, "a long, b long").distinct()
+    return dealt.groupBy("cell", "block").applyInPandas(search, "a long, b long")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -399,12 +442,14 @@ def linked(docs: DataFrame) -> DataFrame:
     members = rows.where(F.col("kind") == MEMBER).select("a", "b")
     points = rows.where(F.col("kind") == POINT).select("a", "n", "keys").dropDuplicates(["a"])
     with_class = documents.where(F.col("a") != NO_CLASS)
-    edges = stored(verified(source, stored(bounded(pairs, points), "ngram-bounded"), with_class), "ngram-edges")
+    near = stored(bounded(pairs, points), "ngram-bounded")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    edges = stored(verified(near, class_sets(source, wanted, with_class)), "ngram-edges")
     labels = components(edges, "ngram-first")
-    cross = stored(cross_pairs(members, labels, points), "ngram-cross")
-    if not cross.isEmpty():
-        edges = edges.unionByName(verified(source, cross, with_class))
-        labels = components(edges, "ngram-second")
+    rest = stored(open_members(members, labels), "ngram-members")
+    if not rest.isEmpty():
+        sets = class_sets(source, rest.select(F.col("node").alias("a")).distinct(), with_class)
+        labels = components(edges.unionByName(cross_links(rest, points, sets)), "ngram-second")
     first = with_class.groupBy("a").agg(F.min("doc_id").alias("first"))
     named = first.join(labels.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))

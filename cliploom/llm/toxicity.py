@@ -12,7 +12,7 @@ and softmax are updated together by Adam.  Log odds of the worst passage and the
 logistic fit on documents that the embeddings were not trained on.
 
 Bound: at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` other labelled documents, the first by a hash of
-the id, are brought to the driver whole; the model has a fixed size (a few MB).
+the id, are brought to one task whole; the model has a fixed size (half a MB).
 
 Defined results: null and empty texts are scored as texts without words; rows are scored one by
 one, repeated or not; labels that are null are not learned from; with no usable labels of both
@@ -231,10 +231,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1)).select("doc_id", "toxic")
     order = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
     chosen = usable.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(usable.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
-    # A bounded table of ids: MAX_TOXIC + MAX_CLEAN rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).sample(frac=1.0, random_state=3) if len(rows) else rows
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    # A bounded table of ids: MAX_TOXIC + MAX_CLEAN rows.  Their texts meet in one task, which trains.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+
+    def train(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["doc_id", "text"]).sample(frac=1.0, random_state=3)
+        model = fit(frame["text"].tolist(), frame["toxic"].to_numpy())
+        numbers = [model.bias, model.slope, model.by_length, model.shift]
+        return pd.DataFrame({"table": [model.table.astype(np.float32).tobytes()], "numbers": [numbers]})
+
+    made = rows.groupBy(F.lit(0)).applyInPandas(train, "table binary, numbers array<double>").head()
+    if made is None:
+        return fit([], np.zeros(0))
+    return Model(np.frombuffer(bytes(made["table"]), np.float32).astype(np.float64), *made["numbers"])
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -240,7 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         numbers = [model.bias, model.slope, model.by_length, model.shift]
         return pd.DataFrame({"table": [model.table.astype(np.float32).tobytes()], "numbers": [numbers]})
 
-    made = rows.groupBy(F.lit(0)).applyInPandas(train, "table binary, numbers array<double>").head()
+    made = rows.groupBy().applyInPandas(train, "table binary, numbers array<double>").head()
     if made is None:
         return fit([], np.zeros(0))
     return Model(np.frombuffer(bytes(made["table"]), np.float32).astype(np.float64), *made["numbers"])

@@ -1,0 +1,318 @@
+"""Training-data operators: edge cases with defined results and brute-force comparisons."""
+
+import gzip
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cliploom.llm import byte_bpe, chat, components, decontaminate, fingerprints, ngram_join, pii, quality, sharding, toxicity, warc
+from cliploom.llm.queries import bpe_vocabulary
+from cliploom.llm.shingles import shingle_sets
+
+DOC = "doc_id long, text string, lang string, score double, word int"
+
+
+def words(n, seed):
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice("alpha beta gamma delta eps zeta eta theta iota kappa mu nu".split()) + str(rnd.randint(0, 40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    base = words(80, 1)
+    near = base.split()
+    near[40] = "changed"
+    long = " ".join(words(50, i) for i in range(40, 70))
+    return [
+        (1, base), (2, base), (2, base), (3, " ".join(near)), (4, None), (5, ""), (6, "  \n "), (7, "two words"), (8, "TWO\twords"),
+        (9, long), (10, words(30, 5)), (None, words(30, 5)), (11, "x" * 3000), (12, "mail a.b@c.de +1 (017) 555-7713 at 10.0.0.1 or 4111 1111 1111 1111."),
+    ]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    """Repeated rows, nulls, long and empty texts, and extra columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, None, 1.0, 2) for i, t in texts], DOC)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOC)
+
+
+# 1
+
+
+def plain_leaks(docs, items):
+    cut = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    rolls = lambda w, k: {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
+    out = set()
+    for j, item in items:
+        w = cut(item)
+        k = min(5, len(w))
+        if k:
+            need = rolls(w, k)
+            for i, t in docs:
+                if 4 * len(need & rolls(cut(t), k)) >= 3 * len(need):
+                    out.add((i, j))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, docs, none, texts):
+    item = " ".join(texts[9][1].split()[300:330])
+    items = [(1, item), (2, "Two WORDS!"), (3, None), (4, ""), (5, words(20, 99)), (6, item + " tail of new words"), (7, words(30, 5)), (7, words(30, 5))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == plain_leaks(texts, items) and (9, 1) in got and (7, 2) in got
+    clean = decontaminate.without_leaks(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == len(texts) - sum(i in {d for d, _ in got} for i, _ in texts)
+    assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+# 3
+
+
+def plain_components(rows):
+    sets = shingle_sets([t for _, t in rows])
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if len(sets[a]) and len(sets[b]) and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                label[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return sorted((i if i is not None else -1, len(sets[k]), least.get(find(k), -1)) for k, (i, _) in enumerate(rows))
+
+
+def flat(df):
+    return sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in df.collect())
+
+
+def test_ngram_join_equals_brute_force(spark, docs, none, texts):
+    assert flat(ngram_join.linked(docs)) == plain_components(texts)
+    assert ngram_join.linked(none).count() == 0
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [1, 4, 5, 6, 7, 9, 10, 11, 12]
+
+
+def test_ngram_join_large_cells(spark):
+    """Near copies beyond the size of a small cell, some too far from the first to link with it."""
+    rnd, base = random.Random(4), words(60, 8).split()
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rnd.choice([1, 1, 2, 3, 4])):
+            w[rnd.randrange(60)] = f"edit{rnd.randint(0, 5)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert flat(ngram_join.linked(df)) == plain_components(rows)
+
+
+def test_count_tree_loses_no_pair():
+    rnd = np.random.default_rng(2)
+    points = rnd.poisson(2, (200, 16))
+    tree = ngram_join.CountTree(points, points.sum(axis=1), np.zeros(200))
+    for q in range(0, 200, 9):
+        bound = np.minimum(points, points[q]).sum(axis=1)
+        assert sorted(tree.search(points[q], points[q].sum())) == np.flatnonzero(ngram_join.may_link(bound, points.sum(axis=1), points[q].sum())).tolist()
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 101)], "a long, b long")
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
+    assert components.components(edges.limit(0)).count() == 0
+
+
+# 4
+
+
+def test_bpe_round_trip_and_library(spark, docs, none, texts):
+    import tiktoken
+
+    path, pattern = bpe_vocabulary()
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    got = byte_bpe.encode_and_decode(docs, path, pattern).collect()
+    assert len(got) == len(texts)
+    for row in got:
+        assert np.frombuffer(row.token_ids, "<u4").tolist() == known.encode_ordinary(row.text or "") and bytes(row.decoded).decode() == (row.text or "")
+    assert byte_bpe.encode_and_decode(none, path, pattern).count() == 0
+    model = byte_bpe.ByteBPE(list(byte_bpe.read_ranks(path).items()), *byte_bpe.mergeable_pairs(byte_bpe.read_ranks(path)), pattern)
+    rnd = random.Random(1)
+    for _ in range(300):
+        text = "".join(rnd.choice(["a", "é", " ", "\n", "the", "'s", "日", "1", "\x1c", "<|end|>", "!!"]) for _ in range(rnd.randint(0, 90)))
+        assert np.frombuffer(model.encode_batch([text])[0], "<u4").tolist() == known.encode_ordinary(text)
+    for text in ("ab" * 700, "".join(rnd.choice("abcdef") for _ in range(900))):
+        assert np.frombuffer(model.encode_batch([text])[0], "<u4").tolist() == known.encode_ordinary(text)
+
+
+# 2 and 5
+
+
+def test_classifiers_on_held_out_labels(spark, data):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.described(docs)
+    got = quality.scored(rows, quality.learn(rows, labels)).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).toPandas()
+    assert (((got.score >= 0.3).astype(int)) == got.quality).mean() > 0.95 and got.score.between(0, 1).all()
+
+
+def test_subword_model_knows_a_misspelling():
+    rnd = random.Random(6)
+    plain = [words(60, i) for i in range(300)]
+    labels = np.array([i % 3 == 0 for i in range(300)], int)
+    rude = [t.replace(t.split()[30], rnd.choice(["blockhead", "blockheads", "dunderhead"])) if y else t for t, y in zip(plain, labels)]
+    model = toxicity.fit(rude, labels)
+    scorer = toxicity.Scorer(model)
+    p = model.probability(*scorer.worst_passages(["you blockheead " + words(50, 900), words(50, 901), "", None]))
+    assert p[0] > p[1] and ((0 <= p) & (p <= 1)).all()
+
+
+def test_classifiers_without_labels(spark, docs, none):
+    labels = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert toxicity.scored(docs, model, "s").count() == docs.count() and toxicity.without_toxic(docs, labels).columns == docs.columns
+    rows = quality.described(docs)
+    assert quality.scored(rows, quality.learn(rows, labels)).where("score = 0 or score < 0.01").count() == docs.count()
+    assert quality.described(none).count() == 0
+
+
+# 6
+
+
+def test_fingerprints_equal_brute_force(spark, docs, none, texts):
+    order = sorted(((i, t or "") for i, t in texts), key=lambda r: (r[0] is not None, r[0], r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        changed = fingerprints.edited(t, nxt)
+        mark = lambda x: fingerprints.mark_of(fingerprints.canonical(x))[:32]
+        want.append((i or -1, len(t), hashlib.sha256(changed.encode()).hexdigest(), mark(t), mark(changed), float(mark(t) == mark(changed)), float(mark(t) == mark(nxt))))
+    assert sorted((r.doc_id or -1, *r[1:]) for r in fingerprints.fingerprinted(docs).collect()) == sorted(want)
+    assert fingerprints.fingerprinted(none).count() == 0
+    single = fingerprints.fingerprinted(docs.where("doc_id = 9")).head()
+    assert single.near_next == 1.0
+    assert fingerprints.canonical("ＡB  ß") == fingerprints.canonical("ab SS")
+
+
+# 7
+
+RX = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    def ok(kind, hit):
+        d = re.sub("[^0-9]", "", hit)
+        luhn = sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d))))
+        return {"ip": all(int(x) <= 255 for x in hit.split(".")) if kind == "ip" else False, "phone": 8 <= len(d) <= 15, "card": 16 <= len(d) <= 19 and luhn % 10 == 0, "email": True}[kind]
+
+    return [f"{k}:{m.start()}:{m.end()}" for k in pii.KINDS for m in re.finditer(RX[k], text or "") if ok(k, m.group())]
+
+
+def test_pii_base_equals_brute_force(spark, docs, none, texts):
+    rnd = random.Random(3)
+    parts = ["a.b@c.d", "@", ".", "x@y", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713", "+", " ", "é", "0", "-", "a@b.c.@d.ef", "\n"]
+    more = [(100 + i, "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14)))) for i in range(300)] + [(99, "1" * 50000 + "a" * 50000)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = sorted((r.doc_id or -1, r.base_sha256, r.n_email + r.n_ip + r.n_card + r.n_phone) for r in pii.report(df).collect())
+    want = sorted((i or -1, hashlib.sha256(",".join(plain_spans(t)).encode()).hexdigest(), len(plain_spans(t))) for i, t in texts + more)
+    assert got == want and pii.report(none).count() == 0
+
+
+def test_pii_contexts_find_unseen_identifiers(spark):
+    rows = [(i, f"{words(9, i)} reach me at user{i}@mail{i}.org thanks {words(5, i + 900)}") for i in range(12)]
+    rows += [(50, f"{words(9, 50)} reach me at user50(at)mail.org thanks"), (51, f"{words(9, 51)} flat 77b thanks")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert spans[50].startswith("email:") and spans[51] == ""
+    red = {r.doc_id: r.text for r in pii.redacted(df.withColumn("row", F.lit(1))).collect()}
+    assert "[EMAIL]" in red[50] and "user3@" not in red[3] and red[51] == rows[-1][1]
+
+
+# 8
+
+
+def test_warc_round_trip(spark):
+    long, other = "<p>" + "é" * 90 + "\r\n\r\n</p>WARC/1.1\r\n", "z" * 100
+    pages = [(3, "http://a b/%20", long), (1, "u", long), (2, None, "short"), (5, "u", "short"), (4, "u", None), (7, "u", other), (7, "u", other), (9, "u", other), (None, "u", other)]
+    got = warc.round_trip(spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, record_type int")).collect()
+    assert len(got) == len(pages)
+    kinds = sorted(((r.page_id or -1), r.payload_bytes, r.record_type, r.refers_to) for r in got)
+    assert kinds == sorted([(3, len(long.encode()), "revisit", 1), (1, len(long.encode()), "response", None), (2, 5, "response", None), (5, 5, "response", None), (4, 0, "response", None), (7, 100, "response", None), (7, 100, "response", None), (9, 100, "revisit", 7), (-1, 100, "response", None)], key=lambda x: (x[0], x[1], x[2]))
+    assert {r.payload_digest for r in got if r.page_id in (1, 3)} == {hashlib.sha256(long.encode()).hexdigest()}
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_arc_versions():
+    for version in (1, 2):
+        content = gzip.compress((warc._arc_head(version) + "\n" + warc._arc_record(version, "8", "http://x/ y", "a\n\nb") + "\n").encode())
+        record = next(warc.arc_records(content))
+        assert (record["page_id"], record["url"], record["payload"]) == (8, "http://x/ y", b"a\n\nb")
+
+
+# 9
+
+
+def test_chat_round_trip(spark):
+    odd = "<|user|>\n</s>[INST]<\\|end|>[\\/INST] \\ <s>"
+    rows = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 2, "user", "q"), (1, 3, "assistant", None), (2, 0, "user", "alone"), (3, 0, "a|b%", "x"), (None, 0, "assistant", "n")]
+    made = chat.read_back(chat.examples(chat.with_control_conversation(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    got = {r.conv_id: r for r in made.collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got[1].turns_sha256 == sha(f"user\n{odd}\nassistant\n{odd}\nuser\nq\nassistant\n\n") and got[1].n_turns == 4
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(odd), sha(odd)) and got[2].loss_chars == 0 and got[2].n_turns == 1
+    assert got[3].turns_sha256 == sha("a|b%\nx\n") and got[None].loss_sha256 == sha("n") and got[-1].loss_chars == 21
+    for text in (odd, "<", "[", "<\\\\|", "[/INST]", ""):
+        assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
+    few = chat.examples(spark.createDataFrame(rows[:4], "conv_id long, turn long, role string, text string")).orderBy("example").collect()
+    assert [r.n_turns for r in few] == [2, 4] and few[1].formatted.startswith(few[0].formatted)
+
+
+# 10
+
+
+def test_sharding_law(spark, docs, none, texts):
+    rows = [(i, words(1 + i % 40, i % 37)) for i in range(800)] + [(1000 + i, "hot " * 50) for i in range(400)] + [(2000, "y" * 9000), (2001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.sharded(df).collect()
+    assert len(got) == len(rows)
+    size = {i: len((t or "").encode()) + 1 for i, t in rows}
+    crc = {i: zlib.crc32((t or "").encode()) for i, t in rows}
+    assert all(r["size"] == size[r.doc_id] and r.text_crc32 == crc[r.doc_id] for r in got)
+    total, filled = sum(size.values()), [0] * 16
+    slots = [[] for _ in range(16)]
+    for r in got:
+        filled[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    assert max(abs(f - total / 16) for f in filled) <= max(size.values())
+    assert sharding.sharded(none).count() == 0 and sharding.sharded(docs).count() == len(texts)
+
+
+# pipeline
+
+
+def test_pipeline(spark, data):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, data)
+    rows = got.collect()
+    ids = [r.doc_id for r in rows]
+    assert 0 < len(rows) < 200 and len(set(ids)) == len(ids) and all(r.round_trip for r in rows)
+    assert not any(plain_spans(r.text) for r in rows)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    assert not plain_leaks([(r.doc_id, r.text) for r in rows], bench)

@@ -126,15 +126,42 @@ def aligned(start: Column, end: Column, reference: Column, clip: Column) -> tupl
     return F.when(inside, start).otherwise(F.greatest(F.lit(0.0), clip - length)), F.when(inside, end).otherwise(clip)
 
 
-def widened(start: Column, end: Column, duration: Column, target: float, most: float) -> tuple[Column, Column]:
-    """A clip range inside its source: widened around its centre to the target, cut to the most."""
-    lo, hi = F.greatest(F.lit(0.0), F.least(start, duration)), F.greatest(F.lit(0.0), F.least(end, duration))
-    goal = F.least(F.lit(target), duration)
-    middle = (lo + hi) / 2
-    left = F.least(F.greatest(F.lit(0.0), middle - goal / 2), duration - goal)
-    lo2 = F.when(hi - lo < goal, left).otherwise(lo)
-    hi2 = F.when(hi - lo < goal, left + goal).otherwise(F.least(hi, lo + most))
-    return F.bround(lo2, 2), F.bround(hi2, 2)
+def widened(start: Column, end: Column, duration: Column, target: float = 15.0, least: float = 8.0, most: float = 30.0) -> tuple[Column, Column]:
+    """A clip range inside its source: widened around its centre to the target if shorter than the
+    least, cut if longer than the most, rounded half-even to two places."""
+    goal = F.when(duration > 0, F.least(F.lit(target), duration)).otherwise(F.lit(target))
+    low = F.least(F.lit(least), goal, F.when(duration != 0, duration).otherwise(goal))
+    high = F.least(F.lit(most), F.when(duration != 0, duration).otherwise(F.lit(most)))
+    first = F.greatest(F.lit(0.0), F.least(start, F.greatest(F.lit(0.0), duration - low)))
+    last = F.greatest(first, F.least(end, duration))
+    length = last - first
+    wide_end = F.least(duration, F.greatest(F.lit(0.0), first + length / 2 - goal / 2) + goal)
+    new_first = F.when(length < low, F.greatest(F.lit(0.0), wide_end - goal)).otherwise(first)
+    new_last = F.when(length < low, wide_end).when(length > high, F.least(duration, first + high)).otherwise(last)
+    new_last = F.when(new_last <= new_first, F.least(duration, new_first + goal)).otherwise(new_last)
+    return F.bround(new_first, 2), F.bround(new_last, 2)
+
+
+def sample_times(duration: Column) -> Column:
+    """A quarter, half and three quarters; start, middle and end of very short clips."""
+    long = F.array(duration * 0.25, duration * 0.5, duration * 0.75)
+    short = F.array(F.lit(0.0), duration * 0.5, F.greatest(F.lit(0.0), duration - 0.05))
+    return F.when(duration <= 0, F.array(F.lit(0.0))).when(duration <= 1.5, short).otherwise(long)
+
+
+def tolerant(fields: Column, name: str) -> Column:
+    """One field of a parsed document, read tolerantly: unknown or missing values become defaults."""
+    value = fields.getField(name)
+    if name in S.LIST_CAPS:
+        clean = F.filter(F.transform(value, lambda v: F.lower(F.trim(v))), lambda v: v != "")
+        if name == "mood":
+            clean = F.array_distinct(F.array_intersect(clean, F.array(*map(F.lit, S.MOODS))))
+        return F.coalesce(F.slice(clean, 1, S.LIST_CAPS[name]), F.array().cast("array<string>"))
+    if name in S.NUMERICS:
+        return F.when(value.isNull() | F.isnan(value), 1.0 if name == "confidence" else 0.5).otherwise(clip01(value))
+    low = F.lower(F.trim(value))
+    allowed = S.SOURCES if name == "source" else S.ENUMS[name]
+    return F.coalesce(F.when(low.isin(*allowed), low), F.lit(S.ENUM_DEFAULTS[name]))
 
 
 def gain(source_db: Column, target_db: Column) -> Column:
@@ -143,13 +170,15 @@ def gain(source_db: Column, target_db: Column) -> Column:
 
 
 def failure_reason(text: Column) -> Column:
-    low = F.lower(text)
+    """What stopped a search, by the first rule whose words occur; '' for none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    some = lambda *words: F.greatest(*[low.contains(w) for w in words], F.lit(False))
     return (
-        F.when(low.contains("not a bot") | low.contains("sign in to confirm"), "bot check")
-        .when(low.contains("cookie") & low.contains("extract"), "cookie extraction")
-        .when(low.contains("cookie"), "cookie invalid")
-        .when(low.contains("429") | low.contains("too many requests"), "rate limit")
-        .when(low.contains("network") | low.contains("timed out") | low.contains("connection"), "network")
+        F.when(some("sign in to confirm", "not a bot", "captcha"), "bot check")
+        .when(some("cookie") & some("could not copy", "failed to decrypt", "extract"), "cookie extraction")
+        .when(some("cookie") & some("invalid", "expired"), "cookie invalid")
+        .when(some("http error 429", "too many requests"), "rate limit")
+        .when(some("unable to download", "network", "getaddrinfo"), "network")
         .otherwise("")
     )
 

@@ -54,6 +54,8 @@ def term_sum(tokens: Column, table: dict[str, float]) -> Column:
     if not table:
         return F.lit(0.0)
     known = _weights(table)
+    # Few tokens are in the dictionary: a hashed filter first, then the look-ups.
+    tokens = F.filter(tokens, lambda t: t.isin(*table))
     return _sum(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), F.lit(0.0))))
 
 

@@ -21,4 +21,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from cliploom.plans import clip_queries, media_queries, text_queries  # noqa: E402,F401
+from cliploom.plans import clip_queries, media_queries, more_queries, text_queries  # noqa: E402,F401

@@ -113,7 +113,7 @@ _LAST = duck("job_events") + ", l AS (SELECT job_id, arg_max(stage, (ts, event_i
 @query(_LAST + f", m(stage, limit_s) AS (VALUES {_STUCK}) SELECT job_id, l.stage, round(epoch_us(now) / 1e6 - epoch_us(ts) / 1e6, 3) AS idle_s FROM l CROSS JOIN now LEFT JOIN m ON m.stage = l.stage WHERE l.stage <> 'failed' AND epoch_us(now) / 1e6 - epoch_us(ts) / 1e6 > coalesce(limit_s, 900.0)")
 def ss1_stuck_jobs(spark, sf_dir):
     events = view(spark, sf_dir, "job_events")
-    return K.stuck_jobs(events.crossJoin(F.broadcast(events.agg(F.max("ts").alias("now")))).drop("now"), _now(events))
+    return K.stuck_jobs(events, _now(events))
 
 
 def _now(events):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import noted, scratch, sketch, stored
 
 LEAST = 100
 ARC_FIELDS = {
@@ -162,7 +162,7 @@ def _warc_record(record: dict, refers_to: int | None) -> str:
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """Write the WARC files of the ARC files below ``arc_path``."""
-    again = revisits(stored(payload_index(spark, arc_path), "payload-index"))
+    again = stored(revisits(stored(payload_index(spark, arc_path), "payload-index")), "revisits")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -188,7 +188,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     records = spark.read.format("binaryFile").load(arc_path).select("content").mapInPandas(
         parse, "page_id long, payload_digest string, url string, date string, ip string, http binary, payload binary"
     )
-    joined = records.join(again, ["page_id", "payload_digest"], "left").select("page_id", "url", "date", "ip", "http", "payload", "refers_to")
+    # Only records whose page may be a revisit move for the join; the rest are written where they were read.
+    marked = noted(records, "page_id", sketch(again, "page_id"))
+    columns = ["page_id", "url", "date", "ip", "http", "payload", "refers_to"]
+    first = marked.where("not noted").withColumn("refers_to", F.lit(None).cast("long")).select(*columns)
+    joined = first.unionByName(marked.where("noted").join(again, ["page_id", "payload_digest"], "left").select(*columns))
     joined.mapInPandas(write, "value string").write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(warc_path)
 
 

@@ -101,31 +101,58 @@ def base_spans(text: str = "text") -> Column:
     return F.concat(*parts)
 
 
+def _tokens(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+
+
+def _runs() -> Column:
+    """Structs of hit, start and place (tokens before it) of every run in ``body``.
+
+    A run begins and ends with whole tokens, so the counts of gaps and hits add up.
+    """
+    pairs = F.arrays_zip(F.split("body", INSTANCE, -1).alias("gap"), F.regexp_extract_all("body", F.lit(INSTANCE), F.lit(0)).alias("hit"))
+    counted = lambda text: F.regexp_count(text, F.lit(r"\S+"))
+
+    def step(a: Column, p: Column) -> Column:
+        start, place = a["at"] + F.length(p["gap"]), a["place"] + counted(p["gap"])
+        run = F.struct(p["hit"].alias("hit"), start.alias("start"), place.alias("place"))
+        return F.struct(
+            (start + F.coalesce(F.length(p["hit"]), F.lit(0))).alias("at"), (place + F.coalesce(counted(p["hit"]), F.lit(0))).alias("place"),
+            F.when(p["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(run))).alias("out"),
+        )
+
+    none = F.array().cast("array<struct<hit:string,start:int,place:int>>")
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(0).alias("place"), none.alias("out")), step, lambda a: a["out"])
+
+
 def _instances(rows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, end, context, instance, kind) of every identifier-like run.
 
     A run is a token with a digit or an at sign and the number tokens that follow it.
 
     ``kind`` is that of the base span it overlaps, if any.  Runs without two tokens before them
-    have no pattern.
+    have no pattern.  Only hashes and positions leave the row of a text.
     """
     open_text = rows.where(F.col("body").rlike("[0-9@]"))
-    each = computed_once(open_text, "runs", _spans("body", INSTANCE, lambda hit: F.lit(True)))
-    each = each.select("doc_id", "text_hash", "body", "base", F.explode("runs").alias("r"))
-    run = F.expr("substring(body, r.start + 1, r.end - r.start)")
-    before = F.expr("substring(body, greatest(1, r.start - 120), least(r.start, 120))")
-    kind = F.expr("get(filter(base, b -> b.start < r.end and b.end > r.start), 0).kind")
-    lead = F.length(F.regexp_extract(run, r"^[^\p{L}0-9+@(]*", 0))
-    tail = F.length(F.regexp_extract(run, r"[^\p{L}0-9)]*$", 0))
-    return each.select(
-        "doc_id", "text_hash", (F.col("r.start") + lead).alias("start"), (F.col("r.end") - tail).alias("end"),
-        F.regexp_extract(F.lower(before), r"(\S+\s+\S+)\s+$", 1).alias("context"), F.xxhash64(F.lower(run)).alias("instance"), kind.alias("kind"),
-    ).where("context <> '' and end > start").withColumn("context", F.xxhash64(F.regexp_replace("context", r"\s+", " ")))
+    each = computed_once(computed_once(open_text, "t", _tokens("body")), "runs", _runs())
+
+    def instance(r: Column) -> Column:
+        end = r["start"] + F.length(r["hit"])
+        kind = F.get(F.filter("base", lambda b: (b["start"] < end) & (b["end"] > r["start"])), F.lit(0))["kind"]
+        lead = F.length(F.regexp_extract(r["hit"], r"^[^\p{L}0-9+@(]*", 0))
+        tail = F.length(F.regexp_extract(r["hit"], r"[^\p{L}0-9)]*$", 0))
+        context = F.xxhash64(F.concat_ws(" ", F.get("t", r["place"] - 2), F.get("t", r["place"] - 1)))
+        return F.struct(
+            (r["start"] + lead).alias("start"), (end - tail).alias("end"), context.alias("context"), F.xxhash64(F.lower(r["hit"])).alias("instance"), kind.alias("kind")
+        )
+
+    behind_two = F.filter("runs", lambda r: r["place"] >= 2)
+    return each.select("doc_id", "text_hash", F.explode(F.transform(behind_two, instance)).alias("r")).select("doc_id", "text_hash", "r.*").where("end > start")
 
 
 def _occurrences(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     """How often each two-token context of the inventory occurs in the whole corpus."""
-    tokens = computed_once(rows.select("body"), "t", F.filter(F.split(F.lower("body"), r"\s+"), lambda t: t != "")).select("t")
+    tokens = computed_once(rows.select("body"), "t", _tokens("body")).select("t")
     pairs = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.xxhash64(F.concat_ws(" ", F.get("t", i), F.get("t", i + 1))))
     each = computed_once(tokens.where(F.size("t") > 1), "pairs", pairs).select(F.explode("pairs").alias("context"))
     return each.join(F.broadcast(contexts), "context").groupBy("context").agg(F.count(F.lit(1)).alias("occurs"))

@@ -243,6 +243,17 @@ def test_pii_contexts_find_unseen_identifiers(spark):
     assert "[EMAIL]" in red[50] and "user3@" not in red[3] and red[51] == rows[-1][1]
 
 
+def test_pii_contexts_far_into_a_text(spark):
+    """Contexts at and beyond 120 code points, behind a very long token, and behind several white-space characters."""
+    lead = lambda n: "é" * (n - 13) + " reach me at "
+    rows = [(i, f"{lead(n)}user{i}@mail{i}.org thanks") for i, n in enumerate([119, 120, 121, 122, 300, 5000] * 2)]
+    rows += [(50, f"{lead(900)}user50(at)mail.org thanks"), (51, lead(900).replace(" ", " \n ") + "user51(at)mail.org")]
+    edges = pii._instances(pii._prepared(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {r.doc_id for r in edges.collect()} == {i for i, _ in rows} and edges.select("context").distinct().count() == 1
+    spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[50] == "email:900:918" and spans[51] == "email:908:926"
+
+
 # 8
 
 

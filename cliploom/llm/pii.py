@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import computed_once, packed, stored, unpacked
+from .common import computed_once, noted, packed, sketch, stored, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _OCTET = "[A-Za-z0-9._%+-]", r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -37,8 +37,6 @@ PATTERNS = {
 }
 INSTANCE = r"(?<!\S)(?=\S*[0-9@])\S++(?:\x20(?=[0-9().+-]*[0-9])[0-9().+-]++(?!\S))*+"
 SUPPORT, CONFIDENT, ROUNDS = 5, 0.8, 3
-#: Patterns of the inventory, those with the most instances first: a parameter of the method.
-INVENTORY = 10_000
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -151,47 +149,47 @@ def _instances(rows: DataFrame) -> DataFrame:
 
 
 def _occurrences(rows: DataFrame, contexts: DataFrame) -> DataFrame:
-    """How often each two-token context of the inventory occurs in the whole corpus."""
+    """How often each of these two-token contexts occurs in the whole corpus, however many they are."""
     tokens = computed_once(rows.select("body"), "t", _tokens("body")).select("t")
     pairs = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.xxhash64(F.concat_ws(" ", F.get("t", i), F.get("t", i + 1))))
     each = computed_once(tokens.where(F.size("t") > 1), "pairs", pairs).select(F.explode("pairs").alias("context"))
-    return each.join(F.broadcast(contexts), "context").groupBy("context").agg(F.count(F.lit(1)).alias("occurs"))
+    near = noted(each, "context", sketch(contexts, "context")).where("noted")
+    return near.groupBy("context").agg(F.count(F.lit(1)).alias("occurs")).join(contexts, "context", "left_semi")
 
 
 def discovered(rows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, kind, start, end) that confident patterns add to the base spans.
 
-    ``rows``: doc_id, text_hash, body and base of every document.
+    ``rows``: doc_id, text_hash, body and base of every document.  A round looks at every context
+    with enough scored instances of a kind; the corpus is read again only for contexts not yet counted.
     """
     edges = stored(_instances(rows), "pii-instances")
-    distinct = edges.select("context", "instance", "kind").distinct()
-    support = distinct.groupBy("context").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= SUPPORT)
-    inventory = stored(support.orderBy(F.desc("n"), "context").limit(INVENTORY).select("context"), "pii-patterns")
-    none = edges.select("doc_id", "text_hash", "kind", "start", "end").limit(0)
-    # A context that no seed follows cannot start; if none can, there is nothing to learn from.
-    if distinct.where("kind is not null").join(inventory, "context").groupBy("context").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= SUPPORT).isEmpty():
-        return none
-    occurs = stored(_occurrences(rows, inventory), "pii-occurrences")
-    graph = stored(edges.join(F.broadcast(inventory), "context").groupBy("context", "instance", "kind").agg(F.count(F.lit(1)).alias("times")), "pii-graph")
+    # A context with fewer different instances of any kind can never get enough of one kind.
+    enough = edges.groupBy("context").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= SUPPORT).select("context")
+    graph = stored(edges.join(enough, "context", "left_semi").groupBy("context", "instance", "kind").agg(F.count(F.lit(1)).alias("times")), "pii-graph")
     seeds = graph.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    scores = seeds
+    scores, occurs = seeds, None
     for number in range(ROUNDS):
-        # INVENTORY rows times the four kinds at most: a proven bound for the broadcasts.
-        patterns = (
-            graph.drop("kind").join(scores, "instance").groupBy("context", "kind")
-            .agg(F.sum(F.col("times") * F.col("score")).alias("mass"), F.countDistinct("instance").alias("different"))
-            .join(F.broadcast(occurs), "context").where(F.col("different") >= SUPPORT)
-            .select("context", "kind", F.least(F.lit(1.0), F.col("mass") / F.col("occurs")).alias("confidence"))
-            .where(F.col("confidence") >= CONFIDENT)
-        )
-        patterns = stored(patterns, f"pii-confident-{number}")
+        mass = graph.drop("kind").join(scores, "instance").groupBy("context", "kind").agg(
+            F.sum(F.col("times") * F.col("score")).alias("mass"), F.countDistinct("instance").alias("different")
+        )
+        mass = stored(mass.where(F.col("different") >= SUPPORT), f"pii-mass-{number}")
+        fresh = mass.select("context").distinct()
+        fresh = stored(fresh if occurs is None else fresh.join(occurs, "context", "left_anti"), f"pii-contexts-{number}")
+        if not fresh.isEmpty():
+            counted = stored(_occurrences(rows, fresh), f"pii-occurrences-{number}")
+            occurs = counted if occurs is None else occurs.unionByName(counted)
+        elif occurs is None:  # no context follows enough seeds: there is nothing to learn from
+            return edges.select("doc_id", "text_hash", "kind", "start", "end").limit(0)
+        patterns = mass.join(occurs, "context").select("context", "kind", F.least(F.lit(1.0), F.col("mass") / F.col("occurs")).alias("confidence"))
+        patterns = stored(patterns.where(F.col("confidence") >= CONFIDENT), f"pii-confident-{number}")
         if number < ROUNDS - 1:
-            found = graph.where("kind is null").drop("kind").join(F.broadcast(patterns), "context").groupBy("instance", "kind").agg(
+            found = graph.where("kind is null").drop("kind").join(patterns, "context").groupBy("instance", "kind").agg(
                 (1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("score")
             )
             scores = stored(seeds.unionByName(found.join(seeds, "instance", "left_anti")), f"pii-scores-{number}")
     best = patterns.groupBy("context").agg(F.max_by("kind", "confidence").alias("kind"))
-    return edges.where("kind is null").drop("kind").join(F.broadcast(best), "context").select("doc_id", "text_hash", "kind", "start", "end")
+    return edges.where("kind is null").drop("kind").join(best, "context").select("doc_id", "text_hash", "kind", "start", "end")
 
 
 def _prepared(docs: DataFrame) -> DataFrame:

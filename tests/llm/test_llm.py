@@ -254,6 +254,16 @@ def test_pii_contexts_far_into_a_text(spark):
     assert spans[50] == "email:900:918" and spans[51] == "email:908:926"
 
 
+def test_pii_contexts_among_many_common_pairs(spark):
+    """Twelve identifiers are found although 10,050 word pairs stand before more numbers than they do."""
+    rows = [(i, f"please reach me at user{i}@mail{i}.org thanks") for i in range(12)] + [(50, "please reach me at user50(at)mail.org thanks")]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pair = lambda i: f"of {letters[i % 26]}{letters[i // 26 % 26]}{letters[i // 676]}"
+    rows += [(100 + i, " ".join(f"{pair(i)} {k}x" for k in range(14))) for i in range(10_050)]
+    added = pii.discovered(pii._prepared(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert [(r.doc_id, r.start, r.end) for r in added] == [(50, 19, 37)]
+
+
 # 8
 
 

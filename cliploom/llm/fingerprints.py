@@ -103,7 +103,8 @@ def _joined_ends(rows: DataFrame, names: list[str]) -> DataFrame:
     ends = rows.where(F.col("edge").isNotNull())
     # Two rows per range: the one window without partitions sees a number of rows that is bounded by
     # twice the number of shuffle partitions, whatever the input.
-    in_order = W.orderBy(F.col("doc_id").asc_nulls_first(), F.col("body"), F.col("edge").desc())
+    # "first" sorts before "last", so a range of one row, or of equal rows, is left behind by its last.
+    in_order = W.orderBy(F.col("doc_id").asc_nulls_first(), F.col("body"), F.col("edge"))
     following = F.struct(F.col("body"), F.col("fingerprint"))
     pairs = ends.select(
         "*",

@@ -209,6 +209,22 @@ def test_fingerprints_equal_brute_force(spark, docs, none, texts):
     assert fingerprints.canonical("ＡB  ß") == fingerprints.canonical("ab SS")
 
 
+def test_fingerprints_with_more_ranges_than_rows(spark):
+    """Ranges of one row, and a range filled by one repeated id with equal texts."""
+    rows = [(1, "a quick brown fox"), (2, "the lazy dog sleeps")] + [(3, "same words again")] * 5 + [(4, "another text here"), (5, "the last of all")]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = sorted(tuple(r) for r in fingerprints.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+    mark = lambda x: fingerprints.mark_of(fingerprints.canonical(x))[:32]
+    want = []
+    for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+        changed = fingerprints.edited(t, nxt)
+        want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), mark(t), mark(changed), float(mark(t) == mark(changed)), float(t == nxt)))
+    assert got == sorted(want)
+
+
 # 7
 
 RX = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

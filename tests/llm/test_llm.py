@@ -340,6 +340,17 @@ def test_sharding_law(spark, docs, none, texts):
     assert sharding.sharded(none).count() == 0 and sharding.sharded(docs).count() == len(texts)
 
 
+def test_sharding_keeps_whole_records(spark, docs, texts):
+    """All columns come back with their shard and slot, also of rows with equal id and text."""
+    rows = [(i, words(1 + i % 9, i), f"l{i}") for i in range(200)] + [(7, "hot " * 30, f"m{i}") for i in range(150)] + [(None, None, "n")]
+    got = sharding.records(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(r.lang for r in got) == sorted(r[2] for r in rows) and {tuple(r)[:3] for r in got} == set(rows)
+    for shard in range(16):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots and slots == list(range(len(slots)))
+    assert sharding.records(docs).columns == [*docs.columns, "shard", "slot"] and sharding.records(docs).count() == len(texts)
+
+
 # pipeline
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cliploom import schema as S
@@ -295,12 +296,15 @@ def ag13_ag14_same_style(spark, sf_dir):
     return pairs.select("ref_id", "clip_id", F.round(A.cosine("a", "b"), 6).alias("similarity"))
 
 
-def _job_candidates(spark, sf_dir):
-    """Candidates of every span: the keyword scores of its reference clip's best 24."""
-    clips = view(spark, sf_dir, "clips")
+def _job_candidates(spark, sf_dir, per_span=1):
+    """Candidates of every span: the keyword scores of its reference clip's best, as many as its largest job can take."""
+    clips, spans = view(spark, sf_dir, "clips"), view(spark, sf_dir, "spans").select("job_id", "span_idx", "ref_clip_id")
+    sizes = spans.groupBy("job_id").agg((F.countDistinct("span_idx") * per_span).alias("bound"))
+    bounds = spans.join(sizes, "job_id").groupBy("ref_clip_id").agg(F.max("bound").alias("bound"))
     scores = J.keyword_scores(clips.withColumnRenamed("clip_id", "ref_clip_id"), clips, "ref_clip_id").where("ref_clip_id <> clip_id")
-    best = J.top_k(scores, "ref_clip_id", "base", G.MAX_SPANS, F.col("clip_id")).drop("rank")
-    return view(spark, sf_dir, "spans").select("job_id", "span_idx", "ref_clip_id").join(best, "ref_clip_id").withColumnRenamed("base", "score")
+    ranked = scores.withColumn("r", F.row_number().over(W.partitionBy("ref_clip_id").orderBy(F.desc("base"), "clip_id")))
+    best = ranked.join(bounds, "ref_clip_id").where("r <= bound").drop("r", "bound")
+    return spans.join(best, "ref_clip_id").withColumnRenamed("base", "score")
 
 
 @query()
@@ -317,7 +321,7 @@ def wn16_continuity(spark, sf_dir):
 
 @query()
 def wn18_wn19_variations(spark, sf_dir):
-    return G.variations(G.greedy(_job_candidates(spark, sf_dir), per_span=2), ["job_id", "span_idx"], 3)
+    return G.variations(G.greedy(_job_candidates(spark, sf_dir, per_span=2), per_span=2), ["job_id", "span_idx"], 3)
 
 
 _TWO = duck("clips") + ", " + _BASE_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY base DESC, clip_id) AS rank, lead(base) OVER (PARTITION BY ref_id ORDER BY base DESC, clip_id) AS second FROM base)"""

@@ -209,3 +209,24 @@ def test_media_operators(spark):
     tags = spark.createDataFrame([(("sprint", [" Run "]),)], "t struct<category:string,subjects:array<string>>")
     assert tags.select(M.scene_tag(F.col("t"), "category"), M.scene_tag(F.col("t"), "subjects")).head() == ("", ["run"])
     assert one(spark, M.visual_energy(F.lit(0.3), F.lit(25.0), F.lit(13.0), F.lit(0.0)), x=1) is True
+
+
+def test_greedy_serves_jobs_of_many_spans(spark):
+    from cliploom.operators import assign
+
+    rows = [(1, span, clip, 1.0 - clip / 100) for span in range(30) for clip in range(60)]
+    df = spark.createDataFrame(rows, "job_id long, span_idx int, clip_id long, score double")
+    assert sorted((r.span_idx, r.clip_id) for r in assign.greedy(df).collect()) == [(i, i) for i in range(30)]
+    assert sorted((r.span_idx, r.rank, r.clip_id) for r in assign.greedy(df, per_span=2).collect()) == [(i // 2, i % 2 + 1, i) for i in range(60)]
+
+
+def test_candidates_suffice_for_the_largest_job(spark, data, monkeypatch):
+    from cliploom.plans import registry
+
+    Q = registry.clip_queries
+    clips = Q.view(spark, data, "clips").cache()
+    jobs = clips.orderBy("clip_id").limit(1).selectExpr("1L as job_id", "clip_id as ref_clip_id", "explode(sequence(0, 29)) as span_idx")
+    monkeypatch.setattr(Q, "view", lambda s, d, name: {"clips": clips, "spans": jobs}[name])
+    for per_span in (1, 2):
+        every = Q.J.keyword_scores(clips.withColumnRenamed("clip_id", "ref_clip_id"), clips, "ref_clip_id").join(jobs.limit(1), "ref_clip_id").where("ref_clip_id <> clip_id").count()
+        assert every > 24 and Q._job_candidates(spark, data, per_span).where("span_idx = 0").count() == min(every, 30 * per_span)

@@ -7,24 +7,25 @@ A task keeps the pieces it has met in a dictionary of bounded size.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; repeated rows and
 extra columns pass through one by one; any text, control strings included, is ordinary text.
-Pieces longer than ``LONG_PIECE`` bytes (no such word in normal text) go through an equal merge
-with a heap, whose cost does not grow with the square of the length.
+A piece of more than ``WIDE`` bytes (no such word in normal text) is a matrix of its own, in which a
+round merges all pairs of the minimum rank where that is the same as merging them one by one.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LONG_PIECE = 256
-CACHE_PIECES = 400_000
+from .common import with_made
+
+WIDE = 256
+#: Bytes of remembered pieces, and what Python adds to each.
+CACHE_BYTES, PIECE_BYTES = 32 << 20, 180
 NO_RANK = np.int32(2**31 - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,6 +111,7 @@ class ByteBPE:
         self.token_starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         self.pool = np.frombuffer(b"".join(token for token, _ in vocabulary), np.uint8)
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return self.pairs.get((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
@@ -153,31 +155,35 @@ class ByteBPE:
             ranks[go, at[go] - 1] = self._pair_ranks(rows[go, at[go] - 1], best[go])
         return done
 
-    def _merge_long(self, piece: bytes) -> np.ndarray:
-        ids = self.bytes_to_id[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        text = [bytes([b]) for b in piece]
-        heap = [(rank, i, 2) for i in range(n - 1) if (rank := self.ranks.get(text[i] + text[i + 1])) is not None]
-        heapq.heapify(heap)
-
-        def offer(i: int, j: int) -> None:
-            if (rank := self.ranks.get(text[i] + text[j])) is not None:
-                heapq.heappush(heap, (rank, i, len(text[i]) + len(text[j])))
-
-        while heap:
-            rank, i, size = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or len(text[i]) + len(text[j]) != size or self.ranks.get(text[i] + text[j]) != rank:
-                continue
-            text[i], ids[i], alive[j] = text[i] + text[j], rank, False
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                offer(i, after[i])
-            if before[i] >= 0:
-                offer(before[i], i)
-        return np.array([ids[i] for i in range(n) if alive[i]], "<u4")
+    def _merge_wide(self, piece: bytes) -> bytes:
+        """Ids of one long piece: a matrix of one row.
+
+        A round merges all pairs of the minimum rank, leftmost first, and not only the leftmost one,
+        unless a merge would form a pair that ranks before them.
+        """
+        row = self.bytes_to_id[np.frombuffer(piece, np.uint8)]
+        ranks = self._pair_ranks(row[:-1], row[1:])
+        while len(ranks) and (best := ranks.min()) != NO_RANK:
+            at = np.flatnonzero(ranks == best)
+            # Of pairs that overlap one another every second one merges.
+            starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0]
+            if len(at) > 1:
+                merges = np.zeros(len(row) + 2, bool)
+                merges[at + 2] = True
+                before, after = at[at > 0], at[at + 2 < len(row)]
+                left = np.where(merges[before], best, row[before - 1])
+                formed = np.concatenate([self._pair_ranks(left, np.full(len(left), best)), self._pair_ranks(np.full(len(after), best), row[after + 2])])
+                if len(formed) and formed.min() < best:
+                    at = at[:1]
+            keep = np.ones(len(row), bool)
+            keep[at + 1] = False
+            row[at] = best
+            row, ranks = row[keep], np.delete(ranks, at)
+            new = at - np.arange(len(at))
+            for go in (new[new > 0] - 1, new[new < len(ranks)]):
+                ranks[go] = self._pair_ranks(row[go], row[go + 1])
+        return row.astype("<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces into the cache, a matrix for each power of two of the length."""
@@ -187,8 +193,8 @@ class ByteBPE:
             whole = self.ranks.get(raw)
             if whole is not None:
                 self.cache[piece] = int(whole).to_bytes(4, "little")
-            elif len(raw) > LONG_PIECE:
-                self.cache[piece] = self._merge_long(raw).tobytes()
+            elif len(raw) > WIDE:
+                self.cache[piece] = self._merge_wide(raw)
             else:
                 by_length.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
         for length, group in by_length.items():
@@ -201,12 +207,15 @@ class ByteBPE:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(text) for text in texts]
-        if len(self.cache) > CACHE_PIECES:
+        if self.cached > CACHE_BYTES:
             self.cache.clear()
+            self.cached = 0
         new = set()
         for pieces in split:
             new.update(pieces)
-        self._learn([piece for piece in new if piece not in self.cache])
+        new = [piece for piece in new if piece not in self.cache]
+        self._learn(new)
+        self.cached += sum(len(piece) + len(self.cache[piece]) + PIECE_BYTES for piece in new)
         get = self.cache.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
@@ -219,8 +228,9 @@ class ByteBPE:
         return self.pool[np.arange(ends[-1]) + np.repeat(self.token_starts[tokens] - (ends - lengths), lengths)].tobytes()
 
 
-def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Add ``token_ids`` (little-endian uint32 binary) and ``decoded`` (bytes made from those ids).
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_decoded: bool = True) -> DataFrame:
+    """Add ``token_ids`` (little-endian uint32 binary) and ``decoded`` (bytes made from those ids), or
+    instead of the bytes only ``round_trip``: whether they are the text.
 
     A map over the input: no shuffle.  The vocabulary (fixed size, some MB) is broadcast.
     """
@@ -228,26 +238,20 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str
     ranks = read_ranks(ranks_path)
     keys, values = mergeable_pairs(ranks)
     model = spark.sparkContext.broadcast((list(ranks.items()), keys, values, pattern))
-    keep = [c for c in docs.columns if c not in ("token_ids", "decoded")]
-    names = [f"c{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.coalesce(F.col(text), F.lit("")).alias("body"))
+    last = T.StructField("decoded", T.BinaryType()) if keep_decoded else T.StructField("round_trip", T.BooleanType())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def maker() -> Callable[[list], list]:
         bpe = ByteBPE(*model.value)
-        for frame in batches:
-            body = frame.pop("body").tolist()
-            for at in range(0, len(body), 1000):
-                part = body[at : at + 1000]
-                ids = bpe.encode_batch(part)
-                out = frame.iloc[at : at + 1000].copy()
-                out["token_ids"] = ids
-                out["decoded"] = [bpe.decode(x) for x in ids]
-                yield out
-
-    fields = [T.StructField(n, docs.schema[c].dataType, True) for c, n in zip(keep, names)]
-    schema = T.StructType([*fields, T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    coded = source.mapInPandas(run, schema)
-    return coded.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "token_ids", "decoded")
+
+        def make(texts: list) -> list:
+            texts = [x or "" for x in texts]
+            ids = bpe.encode_batch(texts)
+            decoded = map(bpe.decode, ids)
+            return [ids, list(decoded) if keep_decoded else [x == t.encode("utf-8", "surrogatepass") for x, t in zip(decoded, texts)]]
+
+        return make
+
+    return with_made(docs, text, [T.StructField("token_ids", T.BinaryType()), last], maker)
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests, a laptop) a temporary folder is set.
+    Where the session names none, a local master gets a temporary folder; a cluster gets an error,
+    for its executors would each write to a disk of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-')}"
         if not current.isDefined():
             context.setCheckpointDir(root)
@@ -96,3 +103,51 @@ def text_or_empty(column: str | Column) -> Column:
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """True where crc32(doc_id as text) mod ``modulus`` is ``remainder``; a null id counts as ''."""
     return F.crc32(text_or_empty(F.col(doc_id).cast("string"))) % modulus == remainder
+
+
+#: Bytes of text that a task turns into Python objects at a time, one row at least.
+SLICE_BYTES = 1 << 20
+
+
+def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs (start, end) of rows that hold about SLICE_BYTES each."""
+    part = np.cumsum(sizes) // SLICE_BYTES
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    yield from zip(starts.tolist(), [*starts[1:].tolist(), len(sizes)])
+
+
+def text_frames(frame: pd.DataFrame, text: str = "text") -> Iterator[pd.DataFrame]:
+    """A batch in pieces of bounded text, so that a run of very long texts does not fill a task."""
+    for start, end in _cuts(frame[text].str.len().fillna(0).to_numpy(np.int64)):
+        yield frame.iloc[start:end]
+
+
+def with_made(docs: DataFrame, text: str, fields: list[T.StructField], maker: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """Every row with new columns made from its whole text, in Python but without a shuffle.
+
+    ``maker`` is called once per task and returns a function from the texts of a slice to one list
+    per new column.  All other columns pass through as Arrow buffers and never become Python objects;
+    a new column replaces one of its name.
+    """
+    made = [f.name for f in fields]
+    keep = [c for c in docs.columns if c not in made]
+    names = [f"c{i}" for i in range(len(keep))]
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)])
+    place = keep.index(text)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds, make = [to_arrow_type(f.dataType) for f in fields], maker()
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(place)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for start, end in _cuts(sizes):
+                part = batch.slice(start, end - start)
+                columns = [pa.array(values, kind) for values, kind in zip(make(part.column(place).to_pylist()), kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*names, *made])
+
+    schema = T.StructType([*[T.StructField(n, docs.schema[c].dataType, True) for c, n in zip(keep, names)], *fields])
+    out = source.mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *made)

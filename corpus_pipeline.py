@@ -3,6 +3,10 @@
 Toxic documents go; of near copies one stays; documents that leak benchmark items go; personal data
 is replaced by its kind in brackets; what is left is tokenised.  Every stage is written as Parquet
 and read again, so a lost executor costs at most one stage's tasks.
+
+Defined results: a null text passes every stage and has no tokens; empty and very long texts are
+treated like others; of rows equal in id and text one stays; extra columns of any name are kept by
+every stage (those named like the last stage's new columns are replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,12 +37,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids (little-endian uint32), count and digest."""
-    coded = byte_bpe.encode_and_decode(docs, *bpe_vocabulary())
-    return coded.withColumns({
-        "n_tokens": (F.octet_length("token_ids") / 4).cast("long"),
-        "ids_sha256": F.sha2("token_ids", 256),
-        "round_trip": F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8"),
-    }).drop("decoded")
+    coded = byte_bpe.encode_and_decode(docs, *bpe_vocabulary(), keep_decoded=False)
+    return coded.withColumns({"n_tokens": (F.octet_length("token_ids") / 4).cast("long"), "ids_sha256": F.sha2("token_ids", 256)})
 
 
 STAGES = [

@@ -10,7 +10,7 @@ from cliploom.functions import features as X
 from cliploom.operators import aggregates as A
 from cliploom.operators import assign as G
 from cliploom.operators import scoring as J
-from cliploom.plans.registry import query
+from cliploom.plans.registration import query
 from cliploom.plans.views import duck, view
 
 

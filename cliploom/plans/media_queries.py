@@ -11,7 +11,7 @@ from cliploom.operators import search as R
 from cliploom.operators import spans as P
 from cliploom.operators import transcripts as T
 from cliploom.operators.aggregates import stage_averages
-from cliploom.plans.registry import query
+from cliploom.plans.registration import query
 from cliploom.plans.views import duck, view
 
 _CUT = duck("frames") + """, c AS (SELECT video_id, frame_idx, has_face, visual, coalesce(list_distance(feat::double[], (lag(feat) OVER (PARTITION BY video_id ORDER BY frame_idx))::double[]) >= 0.85, false) AS is_cut FROM frames)"""

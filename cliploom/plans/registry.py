@@ -1,24 +1,8 @@
-"""Registered queries over the given tables and the DuckDB SQL of each."""
+"""All registered queries over the given tables and the DuckDB SQL of each."""
 
-from __future__ import annotations
+from cliploom.plans import clip_queries, media_queries, more_queries, text_queries  # noqa: F401
+from cliploom.plans.registration import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "wn13_best_window"
 
-
-def query(sql: str | None = None) -> Callable:
-    """Register a query under its function name, with SQL for it where SQL can express it."""
-
-    def register(run: Callable) -> Callable:
-        QUERIES[run.__name__] = run
-        if sql is not None:
-            ORACLES[run.__name__] = sql
-        return run
-
-    return register
-
-
-from cliploom.plans import clip_queries, media_queries, more_queries, text_queries  # noqa: E402,F401
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

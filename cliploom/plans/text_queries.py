@@ -9,7 +9,7 @@ from cliploom.functions import features as V
 from cliploom.functions import text as X
 from cliploom.operators import aggregates as A
 from cliploom.operators import transcripts as T
-from cliploom.plans.registry import query
+from cliploom.plans.registration import query
 from cliploom.plans.views import duck, view
 
 _MAP = lambda table: "MAP {" + ", ".join(f"'{k.replace(chr(39), chr(39) * 2)}': {v}::double" for k, v in table.items()) + "}"

@@ -20,7 +20,8 @@ on the full sets.  After that only members of a large cell that fell into differ
 can still link: they are searched in a tree over the cell's points, in blocks, and verified there.
 Pairs inside one component need no test, so a group of k near copies costs about k, not k * k.
 
-Classes are named by 55 hash bits and their size, shingles by 64 bits; the README gives the odds.
+Shingles are 64-bit hashes.  A class has a 128-bit digest and is named by 55 bits of it and its size; that no two
+digests share a name is tested over all documents, and if some do, all names are drawn anew.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing, not even each
 other; a text of fewer than five words has its word sequence as its only shingle; repeated rows
@@ -30,6 +31,7 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +39,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import noted, packed, sketch, stored, unpacked
+from .common import noted, packed, sketch, stored, text_frames, unpacked
 from .components import components
-from .shingles import set_digest, shingle_sets
+from .shingles import mix64, set_digest, shingle_sets
 
 #: Documents from which a shingle counts as frequent, and members from which a cell is large.
 FREQUENT = 32
 #: Frequent shingles that are told to the tasks (16 MB), the most frequent first.  Any order of
 #: shingles gives the same links; this one only decides how even the cells are.
 TOLD = 1 << 20
-BLOCK, FLUSH = 4096, 4_000_000
+BLOCK, FLUSH = 4096, 1_500_000
 _ROW = "kind int, bucket int, doc_id long, text_hash long, a long, b long, n long, keys binary, owners binary"
 _COLUMNS = [c.split()[0] for c in _ROW.split(", ")]
 #: Whole numbers travel without nulls, for pandas would make them floats: no class is -1, no id this.
@@ -54,10 +56,11 @@ NO_CLASS, NO_ID = -1, -(2**63)
 DOC, POINT, KEYS, PAIR, MEMBER = range(5)
 
 
-def class_name(values: np.ndarray) -> int:
+def class_name(digest: bytes, size: int, salt: int = 0) -> int:
     """55 bits of the set's digest and 8 bits of its size on a scale of tenths."""
-    code = min(255, int(np.log(len(values)) / np.log(1.1)))
-    return (int.from_bytes(set_digest(values)[:8], "little") >> 9) << 8 | code
+    code = min(255, int(np.log(size) / np.log(1.1)))
+    drawn = hashlib.blake2b(digest, digest_size=8, salt=bytes([salt])).digest()
+    return (int.from_bytes(drawn, "little") >> 9) << 8 | code
 
 
 def comparable(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,16 +113,18 @@ class CountTree:
         return self.order[at]
 
 
-def _classes(sets: list[np.ndarray], seen: set[int]) -> tuple[list[int], list[int]]:
-    """Name of each set (NO_CLASS if empty) and the positions of those not met before in this task."""
-    names, new = [], []
+def _classes(sets: list[np.ndarray], seen: set[int], salt: int) -> tuple[list[int], list[bytes | None], list[int]]:
+    """Name (NO_CLASS if empty) and digest of each set, and the positions of those not met before in this task."""
+    names, digests, new = [], [], []
     for i, values in enumerate(sets):
-        name = class_name(values) if len(values) else NO_CLASS
+        digest = set_digest(values) if len(values) else None
+        name = NO_CLASS if digest is None else class_name(digest, len(values), salt)
         names.append(name)
+        digests.append(digest)
         if name != NO_CLASS and name not in seen:
             seen.add(name)
             new.append(i)
-    return names, new
+    return names, digests, new
 
 
 def _split_key(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +132,6 @@ def _split_key(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64), (hashes >> np.uint64(32 - bits)).astype(np.uint32)
 
 
-def _batches(frame: pd.DataFrame, step: int = 1000) -> Iterator[pd.DataFrame]:
-    for at in range(0, len(frame), step):
-        yield frame.iloc[at : at + step]
-
-
 def frequent_shingles(source: DataFrame, bits: int) -> DataFrame:
     """(key, documents) of the shingles in more than FREQUENT classes, counted over all texts.
 
@@ -152,9 +152,9 @@ def frequent_shingles(source: DataFrame, bits: int) -> DataFrame:
             return pd.DataFrame({"bucket": there, "keys": [key[s:e].tobytes() for s, e in zip(starts, ends)], "counts": [counts[s:e].tobytes() for s, e in zip(starts, ends)]})
 
         for frame in batches:
-            for part in _batches(frame):
+            for part in text_frames(frame):
                 sets = shingle_sets(part["text"])
-                for i in _classes(sets, seen)[1]:
+                for i in _classes(sets, seen, 0)[2]:
                     held.append(sets[i])
                     size += len(sets[i])
                 if size > FLUSH:
@@ -183,7 +183,7 @@ def _told(frequent: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["key"].to_numpy(np.uint64), rows["documents"].to_numpy(np.int64)
 
 
-def cells(source: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
+def cells(source: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bits: int, salt: int) -> DataFrame:
     """One stored table of documents, points, candidate pairs and members of large cells."""
     shared = source.sparkSession.sparkContext.broadcast(frequent)
 
@@ -217,11 +217,13 @@ def cells(source: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bits: int)
             return _typed(made.assign(kind=KEYS))
 
         for frame in batches:
-            for part in _batches(frame):
+            for part in text_frames(frame):
                 sets = shingle_sets(part["text"])
-                names, new = _classes(sets, seen)
-                spread = part["text_hash"].to_numpy() & ((1 << bits) - 1)
-                yield _typed(pd.DataFrame({"kind": DOC, "bucket": spread, "doc_id": part["doc_id"], "text_hash": part["text_hash"], "a": names, "n": [len(s) for s in sets]}))
+                names, digests, new = _classes(sets, seen, salt)
+                mixed = mix64(part["doc_id"].to_numpy(np.int64).view(np.uint64) ^ part["text_hash"].to_numpy(np.int64).view(np.uint64))
+                spread = (mixed & np.uint64((1 << bits) - 1)).astype(np.int64)
+                ids = {"doc_id": part["doc_id"].to_numpy(), "text_hash": part["text_hash"].to_numpy()}
+                yield _typed(pd.DataFrame({"kind": DOC, "bucket": spread, **ids, "a": names, "n": [len(s) for s in sets], "owners": digests}))
                 if new:
                     points = [count_vector(sets[i]).tobytes() for i in new]
                     yield _typed(pd.DataFrame({"kind": POINT, "bucket": spread[new], "a": [names[i] for i in new], "n": [len(sets[i]) for i in new], "keys": points}))
@@ -319,7 +321,7 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return near.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInPandas(run, "a long, b long")
 
 
-def class_sets(source: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+def class_sets(source: DataFrame, wanted: DataFrame, docs: DataFrame, salt: int) -> DataFrame:
     """(a, s): the full shingle set of each wanted class, made from one of its texts."""
     texts = docs.groupBy("a").agg(F.min("text_hash").alias("text_hash")).join(wanted, "a")
     texts = stored(texts.select("text_hash").distinct(), "ngram-texts")
@@ -328,9 +330,9 @@ def class_sets(source: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for frame in batches:
-            for part in _batches(frame):
+            for part in text_frames(frame):
                 sets = shingle_sets(part["text"])
-                names, new = _classes(sets, seen)
+                names, _, new = _classes(sets, seen, salt)
                 if new:
                     yield pd.DataFrame({"a": [names[i] for i in new], "s": [sets[i].tobytes() for i in new]})
 
@@ -433,9 +435,13 @@ def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every document."""
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    bits = min(16, max(8, int(np.ceil(np.log2(parts * 4)))))
+    bits = min(20, max(8, int(np.ceil(np.log2(parts * 4)))))
     frequent = stored(frequent_shingles(source, bits), "ngram-frequent")
-    rows = cells(source, _told(frequent), bits)
+    for salt in range(256):
+        rows = cells(source, _told(frequent), bits, salt)
+        named = rows.where((F.col("kind") == DOC) & (F.col("a") != NO_CLASS)).groupBy("a")
+        if named.agg(F.min("owners").alias("low"), F.max("owners").alias("high")).where("low <> high").isEmpty():
+            break
     real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
     documents = rows.where(F.col("kind") == DOC).select(real, "text_hash", "a", "n")
     pairs = rows.where(F.col("kind") == PAIR).select("a", "b").distinct()
@@ -444,11 +450,11 @@ def linked(docs: DataFrame) -> DataFrame:
     with_class = documents.where(F.col("a") != NO_CLASS)
     near = stored(bounded(pairs, points), "ngram-bounded")
     wanted = near.select(F.explode(F.array("a", "b")).alias("a")).distinct()
-    edges = stored(verified(near, class_sets(source, wanted, with_class)), "ngram-edges")
+    edges = stored(verified(near, class_sets(source, wanted, with_class, salt)), "ngram-edges")
     labels = components(edges, "ngram-first")
     rest = stored(open_members(members, labels), "ngram-members")
     if not rest.isEmpty():
-        sets = class_sets(source, rest.select(F.col("node").alias("a")).distinct(), with_class)
+        sets = class_sets(source, rest.select(F.col("node").alias("a")).distinct(), with_class, salt)
         labels = components(edges.unionByName(cross_links(rest, points, sets)), "ngram-second")
     first = with_class.groupBy("a").agg(F.min("doc_id").alias("first"))
     named = first.join(labels.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import computed_once, noted, packed, sketch, stored, unpacked
 
 WIDTH, THRESHOLD = 5, 0.75
-#: Signature rows up to which they are broadcast (24 MB); beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Signature rows (24 MB) and characters of item shingles up to which they are broadcast; beyond, the joins shuffle.
+BROADCAST_ROWS, BROADCAST_CHARS = 1_000_000, 16_000_000
 
 
 def words(text: str | Column) -> Column:
@@ -73,6 +73,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # five at most
     signatures = _signatures(items)
     small = signatures.count() <= BROADCAST_ROWS
+    chars = items.agg(F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 16))).head()[0] or 0
     keyed = computed_once(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), "w", words("text")).drop("text")
     hashed = computed_once(keyed, "s", hashed_shingles("w", widths)).select("doc_id", "text_hash", F.size("s").alias("size"), F.explode("s").alias("h"))
     hits = hashed.join(F.broadcast(signatures) if small else signatures, "h").where("size >= least")
@@ -82,7 +83,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = candidates.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), "item_id")
     again = again.join(wanted, (F.col("text_hash") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("id")))
     again = again.select("doc_id", "text_hash", "item_id", "text").dropDuplicates(["doc_id", "text_hash", "item_id"])
-    exact = computed_once(again.join(F.broadcast(items) if small else items, "item_id"), "w", words("text"))
+    exact = computed_once(again.join(F.broadcast(items) if chars <= BROADCAST_CHARS else items, "item_id"), "w", words("text"))
     exact = computed_once(exact, "n_shared", F.size(F.array_intersect("shingles", _strings("w", widths or [WIDTH]))).cast("long"))
     return exact.select("doc_id", "text_hash", "item_id", F.col("n").cast("long").alias("n_item"), "n_shared").where(
         F.col("n_shared") >= F.ceil(F.col("n_item") * THRESHOLD)
@@ -91,9 +92,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, all columns kept."""
-    found = stored(leaks(docs, benchmark).select("text_hash").distinct(), "leaks")
-    marked = noted(packed(docs).withColumn("text_hash", F.xxhash64("text")), "text_hash", sketch(found, "text_hash"))
-    clean = marked.where("not noted").select("row").unionByName(marked.where("noted").join(found, "text_hash", "left_anti").select("row"))
+    found = stored(leaks(docs, benchmark).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).distinct(), "leaks")
+    marked = noted(packed(docs).withColumn("text_hash", F.xxhash64("text")), "text_hash", sketch(found, "th"))
+    same = (F.col("text_hash") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    clean = marked.where("not noted").select("row").unionByName(marked.where("noted").join(found, same, "left_anti").select("row"))
     return unpacked(clean, docs)
 
 
@@ -103,6 +105,8 @@ i AS (SELECT item_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)),
 sh AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i WHERE len(w) >= 5)),
 n AS (SELECT item_id, count(*) AS n_item FROM sh GROUP BY 1),
-c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN sh USING (s) GROUP BY 1, 2)
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN sh USING (s) GROUP BY 1, 2),
+few AS (SELECT DISTINCT item_id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM i WHERE len(w) BETWEEN 1 AND 4)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM c JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.75)
+UNION ALL SELECT DISTINCT doc_id, item_id, 1, 1, 1.0 FROM few JOIN d ON contains(' ' || array_to_string(d.w, ' ') || ' ', few.s)
 """

@@ -6,15 +6,16 @@ possessive where nothing can be given back, and a run is entered only at its sta
 last match ended), so matching is linear even in very long runs.  Positions follow from the lengths
 of what lies between matches; they count code points.
 
-Method: base finds are seeds.  An instance is a run of tokens with digits or an at sign; its lexical
-pattern is the two tokens before it, lower-cased.  Patterns and instances form a graph.  In each of
-``ROUNDS`` rounds a pattern's confidence for a kind is the score of the instances behind it over all
-occurrences of the pattern in the corpus, and an instance that is no seed gets the noisy-or of the
+Method: base finds are seeds, and so are long hexadecimal strings and access key ids (kind ``secret``).  An
+instance is a run of tokens with digits or an at sign.  Its lexical patterns are the two tokens before it, the token
+before it with the shape of the run, and the key that stands before ``=`` or ``:`` in the run's own token.
+Patterns and instances form a graph.  In each of ``ROUNDS`` rounds a pattern's confidence for a kind is the score
+of the instances behind it over all instances behind it, and an instance that is no seed gets the noisy-or of the
 confident patterns it stands behind.  Patterns with at least ``SUPPORT`` different instances of that
 kind and a confidence of ``CONFIDENT`` or more mark every instance behind them: unseen identifiers.
 
-Added spans carry the kind of their pattern.  Base spans always stay; ``n_email`` to ``n_phone`` count
-base spans.
+Added spans carry the kind of their pattern; seeds of kind ``secret`` are added too.  Base spans always stay;
+``n_email`` to ``n_phone`` count base spans.
 
 Defined results: null and empty texts have no spans; rows are reported one by one; instances of
 equal rows count once for a pattern's support; an empty table gives an empty table.
@@ -25,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import computed_once, noted, packed, sketch, stored, unpacked
+from .common import computed_once, packed, stored, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
 _LOCAL, _OCTET = "[A-Za-z0-9._%+-]", r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -36,32 +38,47 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 INSTANCE = r"(?<!\S)(?=\S*[0-9@])\S++(?:\x20(?=[0-9().+-]*[0-9])[0-9().+-]++(?!\S))*+"
-SUPPORT, CONFIDENT, ROUNDS = 5, 0.8, 3
+#: What is surely a secret: an access key id, or 16 and more hexadecimal digits of both sorts.
+SECRET_VALUE = "^(?:AKIA[A-Z0-9]{16}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,}|(?=[0-9]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{16,})$"
+KEYED = r"^[\p{L}_][\p{L}0-9_.-]*[=:]"
+SUPPORT, CONFIDENT, ROUNDS, CHUNK = 5, 0.8, 3, 256
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
+def _scanned(pairs: Column, start: Column, step, made: str) -> Column:
+    """``step(state, pair)`` gives the next state and an element (null for none); all elements, in order.
+
+    Pairs are folded in chunks, so that elements are copied about ``CHUNK`` times each, not once for every other one.
+    """
+    none = F.array().cast(f"array<{made}>")
+
+    def each(a: Column, p: Column) -> Column:
+        state, element = step(a["state"], p)
+        return F.struct(state.alias("state"), F.when(p["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(element))).alias("out"))
+
+    def chunk(a: Column, c: Column) -> Column:
+        last = F.aggregate(c, F.struct(a["last"]["state"].alias("state"), none.alias("out")), each)
+        return F.struct(last.alias("last"), F.concat(a["done"], F.array(a["last"]["out"])).alias("done"))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda i: F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK)))
+    first = F.struct(F.struct(start.alias("state"), none.alias("out")).alias("last"), F.array().cast(f"array<array<{made}>>").alias("done"))
+    return F.aggregate(chunks, first, chunk, lambda a: F.flatten(F.concat(a["done"], F.array(a["last"]["out"]))))
+
+
+def _pairs(text: str, pattern: str) -> Column:
+    """The gaps between the matches, each with the match that follows it."""
+    return F.arrays_zip(F.split(F.col(text), pattern, -1).alias("gap"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("hit"))
+
+
 def _spans(text: str, pattern: str, fields) -> Column:
-    """Structs of the matches: ``fields(match, start)`` for each, by a fold over the gaps between them."""
-    gaps = F.split(F.col(text), pattern, -1)
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
-    return F.transform(
-        F.filter(
-            F.aggregate(
-                pairs,
-                F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<hit:string,start:int>>").alias("out")),
-                lambda a, p: F.struct(
-                    (a["at"] + F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))).alias("at"),
-                    F.when(p["hit"].isNull(), a["out"])
-                    .otherwise(F.concat(a["out"], F.array(F.struct(p["hit"].alias("hit"), (a["at"] + F.length(p["gap"])).alias("start")))))
-                    .alias("out"),
-                ),
-                lambda a: a["out"],
-            ),
-            lambda m: fields(m["hit"]),
-        ),
-        lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["hit"])).alias("end")),
-    )
+    """Start and end of the matches that ``fields`` accepts: positions follow from the gaps between them."""
+
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        start = at + F.length(p["gap"])
+        return start + F.coalesce(F.length(p["hit"]), F.lit(0)), F.struct(p["hit"].alias("hit"), start.alias("start"))
+
+    every = _scanned(_pairs(text, pattern), F.lit(0), step, "struct<hit:string,start:int>")
+    return F.transform(F.filter(every, lambda m: fields(m["hit"])), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["hit"])).alias("end")))
 
 
 def _luhn(digits: Column) -> Column:
@@ -108,88 +125,79 @@ def _runs() -> Column:
 
     A run begins and ends with whole tokens, so the counts of gaps and hits add up.
     """
-    pairs = F.arrays_zip(F.split("body", INSTANCE, -1).alias("gap"), F.regexp_extract_all("body", F.lit(INSTANCE), F.lit(0)).alias("hit"))
-    counted = lambda text: F.regexp_count(text, F.lit(r"\S+"))
+    counted = lambda text: F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
-    def step(a: Column, p: Column) -> Column:
+    def step(a: Column, p: Column) -> tuple[Column, Column]:
         start, place = a["at"] + F.length(p["gap"]), a["place"] + counted(p["gap"])
         run = F.struct(p["hit"].alias("hit"), start.alias("start"), place.alias("place"))
-        return F.struct(
-            (start + F.coalesce(F.length(p["hit"]), F.lit(0))).alias("at"), (place + F.coalesce(counted(p["hit"]), F.lit(0))).alias("place"),
-            F.when(p["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(run))).alias("out"),
-        )
+        return F.struct((start + F.coalesce(F.length(p["hit"]), F.lit(0))).alias("at"), (place + counted(p["hit"])).alias("place")), run
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("place"))
+    return _scanned(_pairs("body", INSTANCE), start, step, "struct<hit:string,start:int,place:int>")
 
-    none = F.array().cast("array<struct<hit:string,start:int,place:int>>")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(0).alias("place"), none.alias("out")), step, lambda a: a["out"])
+
+def _shape(text: Column) -> Column:
+    """Digits as 9 and letters as a, runs of one sign as one."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{L}+", "a"), "[0-9]+", "9"), r"([^a9])\1+", "$1")
 
 
 def _instances(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, end, context, instance, kind) of every identifier-like run.
+    """(doc_id, text_hash, start, end, contexts, instance, kind) of every identifier-like run.
 
-    A run is a token with a digit or an at sign and the number tokens that follow it.
+    A run is a token with a digit or an at sign and the number tokens that follow it; what stands before its
+    key's ``=`` or ``:`` is no part of the instance.
 
-    ``kind`` is that of the base span it overlaps, if any.  Runs without two tokens before them
-    have no pattern.  Only hashes and positions leave the row of a text.
+    ``kind`` is that of the base span it overlaps, or ``SECRET``, if any.  ``contexts`` holds the hashes of its
+    patterns.  Only hashes and positions leave the row of a text.
     """
     open_text = rows.where(F.col("body").rlike("[0-9@]"))
     each = computed_once(computed_once(open_text, "t", _tokens("body")), "runs", _runs())
-
-    def instance(r: Column) -> Column:
-        end = r["start"] + F.length(r["hit"])
-        kind = F.get(F.filter("base", lambda b: (b["start"] < end) & (b["end"] > r["start"])), F.lit(0))["kind"]
-        lead = F.length(F.regexp_extract(r["hit"], r"^[^\p{L}0-9+@(]*", 0))
-        tail = F.length(F.regexp_extract(r["hit"], r"[^\p{L}0-9)]*$", 0))
-        context = F.xxhash64(F.concat_ws(" ", F.get("t", r["place"] - 2), F.get("t", r["place"] - 1)))
-        return F.struct(
-            (r["start"] + lead).alias("start"), (end - tail).alias("end"), context.alias("context"), F.xxhash64(F.lower(r["hit"])).alias("instance"), kind.alias("kind")
-        )
-
-    behind_two = F.filter("runs", lambda r: r["place"] >= 2)
-    return each.select("doc_id", "text_hash", F.explode(F.transform(behind_two, instance)).alias("r")).select("doc_id", "text_hash", "r.*").where("end > start")
-
-
-def _occurrences(rows: DataFrame, contexts: DataFrame) -> DataFrame:
-    """How often each of these two-token contexts occurs in the whole corpus, however many they are."""
-    tokens = computed_once(rows.select("body"), "t", _tokens("body")).select("t")
-    pairs = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.xxhash64(F.concat_ws(" ", F.get("t", i), F.get("t", i + 1))))
-    each = computed_once(tokens.where(F.size("t") > 1), "pairs", pairs).select(F.explode("pairs").alias("context"))
-    near = noted(each, "context", sketch(contexts, "context")).where("noted")
-    return near.groupBy("context").agg(F.count(F.lit(1)).alias("occurs")).join(contexts, "context", "left_semi")
+    each = each.select("doc_id", "text_hash", "t", "base", F.explode("runs").alias("r"))
+    key = F.regexp_extract("r.hit", KEYED, 0)
+    each = computed_once(each, "k", F.struct(key.alias("key"), F.substr("r.hit", F.length(key) + 1).alias("value")))
+    lead, tail = F.length(F.regexp_extract("k.value", r"^[^\p{L}0-9+@(]*", 0)), F.length(F.regexp_extract("k.value", r"[^\p{L}0-9)]*$", 0))
+    start, end = F.col("r.start") + F.length("k.key") + lead, F.col("r.start") + F.length("r.hit") - tail
+    each = each.select("*", start.alias("start"), end.alias("end"), F.substr("k.value", lead + 1, F.length("k.value") - lead - tail).alias("value")).where("end > start")
+    known = F.get(F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))), F.lit(0))["kind"]
+    kind = F.coalesce(known, F.when(F.col("value").rlike(SECRET_VALUE), SECRET))
+    before = lambda n: F.get("t", F.col("r.place") - n)
+    contexts = F.array_compact(F.array(
+        F.when(F.col("r.place") >= 2, F.xxhash64(F.lit("two"), before(2), before(1))),
+        F.when(F.col("r.place") >= 1, F.xxhash64(F.lit("shape"), before(1), _shape(F.col("k.value")))),
+        F.when(F.col("k.key") != "", F.xxhash64(F.lit("key"), F.lower("k.key"))),
+    ))
+    return each.select("doc_id", "text_hash", "start", "end", contexts.alias("contexts"), F.xxhash64(F.lower("value")).alias("instance"), kind.alias("kind"))
 
 
 def discovered(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, kind, start, end) that confident patterns add to the base spans.
+    """(doc_id, text_hash, kind, start, end) that secrets and confident patterns add to the base spans.
 
-    ``rows``: doc_id, text_hash, body and base of every document.  A round looks at every context
-    with enough scored instances of a kind; the corpus is read again only for contexts not yet counted.
+    ``rows``: doc_id, text_hash, body and base of every document, which are read once.  A round looks at every
+    pattern with enough scored instances of a kind.
     """
     edges = stored(_instances(rows), "pii-instances")
+    each = edges.select(F.explode("contexts").alias("context"), "instance", "kind").groupBy("context", "instance", "kind").agg(F.count(F.lit(1)).alias("times"))
     # A context with fewer different instances of any kind can never get enough of one kind.
-    enough = edges.groupBy("context").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= SUPPORT).select("context")
-    graph = stored(edges.join(enough, "context", "left_semi").groupBy("context", "instance", "kind").agg(F.count(F.lit(1)).alias("times")), "pii-graph")
+    totals = each.groupBy("context").agg(F.countDistinct("instance").alias("n"), F.sum("times").alias("total")).where(F.col("n") >= SUPPORT).select("context", "total")
+    graph = stored(each.join(totals, "context"), "pii-graph")
     seeds = graph.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
-    scores, occurs = seeds, None
+    scores = seeds
     for number in range(ROUNDS):
         mass = graph.drop("kind").join(scores, "instance").groupBy("context", "kind").agg(
-            F.sum(F.col("times") * F.col("score")).alias("mass"), F.countDistinct("instance").alias("different")
+            F.sum(F.col("times") * F.col("score")).alias("mass"), F.countDistinct("instance").alias("different"), F.first("total").alias("total")
         )
-        mass = stored(mass.where(F.col("different") >= SUPPORT), f"pii-mass-{number}")
-        fresh = mass.select("context").distinct()
-        fresh = stored(fresh if occurs is None else fresh.join(occurs, "context", "left_anti"), f"pii-contexts-{number}")
-        if not fresh.isEmpty():
-            counted = stored(_occurrences(rows, fresh), f"pii-occurrences-{number}")
-            occurs = counted if occurs is None else occurs.unionByName(counted)
-        elif occurs is None:  # no context follows enough seeds: there is nothing to learn from
-            return edges.select("doc_id", "text_hash", "kind", "start", "end").limit(0)
-        patterns = mass.join(occurs, "context").select("context", "kind", F.least(F.lit(1.0), F.col("mass") / F.col("occurs")).alias("confidence"))
-        patterns = stored(patterns.where(F.col("confidence") >= CONFIDENT), f"pii-confident-{number}")
+        patterns = mass.select("context", "kind", F.least(F.lit(1.0), F.col("mass") / F.col("total")).alias("confidence"), "different")
+        patterns = stored(patterns.where((F.col("different") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).drop("different"), f"pii-confident-{number}")
         if number < ROUNDS - 1:
             found = graph.where("kind is null").drop("kind").join(patterns, "context").groupBy("instance", "kind").agg(
                 (1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("score")
             )
             scores = stored(seeds.unionByName(found.join(seeds, "instance", "left_anti")), f"pii-scores-{number}")
-    best = patterns.groupBy("context").agg(F.max_by("kind", "confidence").alias("kind"))
-    return edges.where("kind is null").drop("kind").join(best, "context").select("doc_id", "text_hash", "kind", "start", "end")
+    where = ["doc_id", "text_hash", "start", "end"]
+    behind = edges.where("kind is null").select(*where, F.explode("contexts").alias("context")).join(patterns, "context")
+    unseen = behind.groupBy(*where).agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    secret = edges.where(F.col("kind") == SECRET).select(*where, "kind")
+    return unseen.unionByName(secret).select("doc_id", "text_hash", "kind", "start", "end")
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -212,7 +220,7 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def _printed(spans: str) -> Column:
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    kinds = F.array(*[F.lit(k) for k in (*KINDS, "secret")])
     return F.array_join(F.transform(F.col(spans), lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
 
 
@@ -227,14 +235,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; all columns kept."""
-    added = stored(discovered(_prepared(docs)).groupBy("text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added")), "pii-added")
+    added = discovered(_prepared(docs)).groupBy(F.col("doc_id").alias("pii_id"), "text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+    added = stored(added, "pii-added")
     body = F.coalesce(F.col("text"), F.lit(""))
     marked = computed_once(packed(docs).withColumns({"pii_body": body, "pii_hash": F.xxhash64(body)}), "pii_spans", base_spans("pii_body"))
     if not added.isEmpty():
-        marked = marked.join(added, marked["pii_hash"] == added["text_hash"], "left").withColumn(
+        same = (marked["pii_hash"] == added["text_hash"]) & marked["doc_id"].eqNullSafe(added["pii_id"])
+        marked = marked.join(added, same, "left").withColumn(
             "pii_spans", F.array_union("pii_spans", F.coalesce(F.col("added").cast(_SPAN), F.array().cast(_SPAN)))
         )
-    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "secret")])
     by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     clean = F.aggregate(
         by_start,

@@ -1,8 +1,9 @@
 """Scores of references against clips.
 
 Keyword scores come from an equi-join on exploded keys (an inverted index), so pairs that share
-nothing are never made.  The all-feature scores are asked for a stated set of references; that set
-is checked against a bound before it is broadcast, and the clips are read once, in place.
+nothing are never made; for the best matches only distinct tag signatures are joined.  The all-feature
+scores are asked for a stated set of references; that set is checked against a bound before it is
+broadcast, and the clips are spread over tasks by the number of pairs.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from cliploom import schema as S
 
 #: References up to which a stated set is broadcast; beyond, the join is left to the planner.
 BROADCAST_ROWS = 100_000
+#: Pairs that a task scores.
+TASK_PAIRS = 4_000_000
 
 
 def _keys(rows: DataFrame, key: str) -> DataFrame:
@@ -31,15 +34,36 @@ def _keys(rows: DataFrame, key: str) -> DataFrame:
 
 
 def keyword_scores(references: DataFrame, clips: DataFrame, ref_key: str = "ref_id", clip_key: str = "clip_id") -> DataFrame:
-    """(ref, clip, base) of every pair with a score above 0.
-
-    References and clips with equal tags are scored once: keys are those of distinct signatures.
-    """
+    """(ref, clip, base) of every pair with a score above 0."""
     right = _keys(clips, clip_key).withColumnRenamed("weight", "w")
     joined = _keys(references, ref_key).join(right, ["kind", "value"])
     return joined.groupBy(ref_key, clip_key).agg(F.least(F.lit(1.0), F.sum("weight") / 8.0).alias("base"))
 
 
+def best_matches(references: DataFrame, clips: DataFrame, k: int, ref_key: str = "ref_id", clip_key: str = "clip_id", only: str = "true") -> DataFrame:
+    """(ref, clip, base, rank): the k best clips of each reference by keyword score, smaller ids first,
+    of those that meet ``only`` (a condition on ``base``) and are not the reference itself.
+
+    Rows with equal tags have equal scores, so signatures are joined instead of rows.  A signature stands
+    under its smallest id; the k + 1 best clips of a reference lie in the k + 1 best signatures by score and that
+    id, and of each only its k + 1 smallest ids can be among them.  Work grows with the different signatures, and
+    rows only take part in joins that give k + 1 rows each.
+    """
+    tags = F.concat_ws("\x1f", "category", *[F.array_join(F.array_sort(F.array_distinct(c)), "\x1e") for c in ("subjects", "setting")])
+    kept = lambda rows, key: rows.select(key, "category", "subjects", "setting", tags.alias("tags"))
+    first = lambda c: F.first(c).alias(c)
+    refs = kept(references, ref_key)
+    ref_tags = refs.groupBy("tags").agg(F.min(ref_key).alias("ref_sig"), first("category"), first("subjects"), first("setting"))
+    nth = F.row_number().over(W.partitionBy("tags").orderBy(clip_key))
+    near = kept(clips, clip_key).withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    clip_tags = near.groupBy("tags").agg(F.array_sort(F.collect_list(clip_key)).alias("ids"), first("category"), first("subjects"), first("setting")).withColumn("clip_sig", F.get("ids", F.lit(0)))
+    scores = keyword_scores(ref_tags, clip_tags, "ref_sig", "clip_sig").where(only)
+    best = top_k(scores, "ref_sig", "base", k + 1, F.col("clip_sig")).drop("rank").join(clip_tags.select("clip_sig", "ids"), "clip_sig")
+    each = top_k(best.select("ref_sig", "base", F.explode("ids").alias(clip_key)), "ref_sig", "base", k + 1, F.col(clip_key)).drop("rank")
+    pairs = refs.select(ref_key, "tags").join(ref_tags.select("tags", "ref_sig"), "tags").join(each, "ref_sig").where(F.col(ref_key) != F.col(clip_key))
+    return top_k(pairs.select(ref_key, clip_key, "base"), ref_key, "base", k, F.col(clip_key))
+
+
 def top_k(scores: DataFrame, group: str, score: str, k: int, *ties: Column) -> DataFrame:
     """The k best rows of each group; ties as given.  The rank limit is pushed below the shuffle."""
     order = W.partitionBy(group).orderBy(F.desc(score), *ties)
@@ -76,8 +100,9 @@ def paired(references: DataFrame, clips: DataFrame, key: str = "clip_id") -> Dat
     """Every stated reference beside every clip: columns a_* and b_*."""
     left = references.select(*[F.col(c).alias(f"a_{c}") for c in references.columns])
     right = clips.select(*[F.col(c).alias(f"b_{c}") for c in clips.columns])
-    small = references.count() <= BROADCAST_ROWS
-    return right.join(F.broadcast(left) if small else left, F.col(f"a_{key}") != F.col(f"b_{key}"))
+    count = references.count()
+    small, tasks = count <= BROADCAST_ROWS, max(2 * clips.sparkSession.sparkContext.defaultParallelism, -(-count * clips.count() // TASK_PAIRS))
+    return right.repartition(tasks).join(F.broadcast(left) if small else left, F.col(f"a_{key}") != F.col(f"b_{key}"))
 
 
 def vibe_score() -> Column:

@@ -121,8 +121,7 @@ _BASE_SQL = """k AS (SELECT clip_id, 'category' AS kind, category AS value, 3.0e
 @query(duck("clips") + ", " + _BASE_SQL + """ SELECT ref_id, clip_id, base, rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY base DESC, clip_id) AS rank FROM base) WHERE rank <= 5""")
 def jn1_tk2_keyword_top5(spark, sf_dir):
     clips = view(spark, sf_dir, "clips")
-    scores = J.keyword_scores(clips.withColumnRenamed("clip_id", "ref_id"), clips).where("ref_id <> clip_id")
-    return J.top_k(scores, "ref_id", "base", 5, F.col("clip_id")).select("ref_id", "clip_id", "base", "rank")
+    return J.best_matches(clips.withColumnRenamed("clip_id", "ref_id"), clips, 5)
 
 
 _SIDE = duck("clips") + """, p AS (SELECT a.clip_id AS ref_id, b.clip_id AS clip_id, a AS a, b AS b FROM clips a JOIN clips b ON a.clip_id % 50 = 0 AND a.clip_id <> b.clip_id)"""
@@ -152,7 +151,9 @@ def _top_sql(score: str, k: int = 5) -> str:
 
 @query(_top_sql(f"greatest(0.0, least(1.0, {_BASE_PAIR} + 0.35 * {_VIBE} * (1.0 - {_BASE_PAIR}) + CASE WHEN {_CINEMA} < 0.6 THEN 0.5 * ({_CINEMA} - 0.6) ELSE 0.0 END))"))
 def jn2_intelligent_top5(spark, sf_dir):
-    return _top(_stated(spark, sf_dir), J.intelligent(J.base_score(), J.vibe_score(), J.cinema_score()))
+    # Each part is a column of its own: the formula uses it several times.
+    pairs = _stated(spark, sf_dir).select("a_clip_id", "b_clip_id", J.base_score().alias("base"), J.vibe_score().alias("vibe"), J.cinema_score().alias("cinema"))
+    return _top(pairs, J.intelligent(F.col("base"), F.col("vibe"), F.col("cinema")))
 
 
 @query(_top_sql(_VIBE))
@@ -301,10 +302,10 @@ def _job_candidates(spark, sf_dir, per_span=1):
     clips, spans = view(spark, sf_dir, "clips"), view(spark, sf_dir, "spans").select("job_id", "span_idx", "ref_clip_id")
     sizes = spans.groupBy("job_id").agg((F.countDistinct("span_idx") * per_span).alias("bound"))
     bounds = spans.join(sizes, "job_id").groupBy("ref_clip_id").agg(F.max("bound").alias("bound"))
-    scores = J.keyword_scores(clips.withColumnRenamed("clip_id", "ref_clip_id"), clips, "ref_clip_id").where("ref_clip_id <> clip_id")
-    ranked = scores.withColumn("r", F.row_number().over(W.partitionBy("ref_clip_id").orderBy(F.desc("base"), "clip_id")))
-    best = ranked.join(bounds, "ref_clip_id").where("r <= bound").drop("r", "bound")
-    return spans.join(best, "ref_clip_id").withColumnRenamed("base", "score")
+    most = bounds.agg(F.max("bound")).head()[0] or 1
+    ranked = J.best_matches(clips.withColumnRenamed("clip_id", "ref_clip_id"), clips, most, "ref_clip_id")
+    best = ranked.join(bounds, "ref_clip_id").where("rank <= bound").select("ref_clip_id", "clip_id", F.col("base").alias("score"))
+    return spans.join(best, "ref_clip_id")
 
 
 @query()
@@ -330,8 +331,7 @@ _TWO = duck("clips") + ", " + _BASE_SQL + """, r AS (SELECT *, row_number() OVER
 @query(_TWO + """ SELECT ref_id, clip_id, base AS score, CASE WHEN base < 0.35 THEN 'none' WHEN base >= 0.45 OR round(base - coalesce(second, 0.0), 9) >= 0.05 THEN 'clear' ELSE 'ask' END AS decision FROM r WHERE rank = 1""")
 def wn15_confident_pick(spark, sf_dir):
     clips = view(spark, sf_dir, "clips")
-    scores = J.keyword_scores(clips.withColumnRenamed("clip_id", "ref_id"), clips).where("ref_id <> clip_id").withColumnRenamed("base", "score")
-    return G.confident(J.top_k(scores, "ref_id", "score", 2, F.col("clip_id")), "ref_id")
+    return G.confident(J.best_matches(clips.withColumnRenamed("clip_id", "ref_id"), clips, 2).withColumnRenamed("base", "score"), "ref_id")
 
 
 @query(duck("clips") + ", " + _BASE_SQL + """, one AS (SELECT ref_id, clip_id, rank, 0 AS rung FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY base DESC, clip_id) AS rank FROM base) WHERE rank <= 2 AND base >= 0.5),
@@ -339,7 +339,7 @@ def wn15_confident_pick(spark, sf_dir):
  SELECT ref_id, clip_id, rung, place FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY rung, rank, clip_id) AS place FROM u) WHERE place <= 3""")
 def wn17_ladder_fill(spark, sf_dir):
     clips = view(spark, sf_dir, "clips")
-    scores = J.keyword_scores(clips.withColumnRenamed("clip_id", "ref_id"), clips).where("ref_id <> clip_id")
-    one = J.top_k(scores, "ref_id", "base", 2, F.col("clip_id")).where("base >= 0.5")
-    two = J.top_k(scores.where("base < 0.5"), "ref_id", "base", 3, F.col("clip_id"))
+    refs = clips.withColumnRenamed("clip_id", "ref_id")
+    one = J.best_matches(refs, clips, 2, only="base >= 0.5")
+    two = J.best_matches(refs, clips, 3, only="base < 0.5")
     return G.ladder([r.select("ref_id", "clip_id", "rank") for r in (one, two)], "ref_id", 3).select("ref_id", "clip_id", "rung", "place")

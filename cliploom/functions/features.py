@@ -119,11 +119,14 @@ def is_junk(url: str, title: str) -> Column:
 
 
 def aligned(start: Column, end: Column, reference: Column, clip: Column) -> tuple[Column, Column]:
-    """A reference span on a clip's time line: as is if it ends inside, else moved to the end."""
-    share = F.least(F.lit(1.0), (end - start) / reference)
-    length = F.greatest(F.lit(0.08), share * clip)
+    """A reference span on a clip's time line: as is if it ends inside, else moved to the end.
+
+    Without a clip length the span stays; without a reference length, or if empty, only its end moves.
+    """
+    length = F.greatest(F.lit(0.08), F.least(F.lit(1.0), (end - start) / F.nullif(reference, F.lit(0.0))) * clip)
+    moved = F.when((reference <= 0) | (end <= start), start).otherwise(F.greatest(F.lit(0.0), clip - length))
     inside = end <= clip
-    return F.when(inside, start).otherwise(F.greatest(F.lit(0.0), clip - length)), F.when(inside, end).otherwise(clip)
+    return F.when(inside | (clip <= 0), start).otherwise(moved), F.when(clip <= 0, F.greatest(start, end)).when(inside, end).otherwise(clip)
 
 
 def widened(start: Column, end: Column, duration: Column, target: float = 15.0, least: float = 8.0, most: float = 30.0) -> tuple[Column, Column]:

@@ -126,10 +126,18 @@ def first_number(text: Column) -> Column:
 
 def name_phrases(text: Column) -> Column:
     """Pairs of neighbouring capitalised words, possessives stripped, none a stop word, first seen first."""
-    pairs = F.regexp_extract_all(text, F.lit(r"(?=(\b\p{Lu}[\p{L}'-]+\s+\p{Lu}[\p{L}'-]+\b))"), F.lit(1))
-    plain = F.transform(pairs, lambda p: F.regexp_replace(F.regexp_replace(p, "'s\\b", ""), r"\s+", " "))
-    stop = F.array(*map(F.lit, S.STOP_WORDS))
-    return F.array_distinct(F.filter(plain, lambda p: ~F.arrays_overlap(F.split(F.lower(p), " "), stop)))
+    token = r"\b[A-Z][A-Za-z'.-]+\b"
+    pairs = F.regexp_extract_all(text, F.lit(rf"(?=({token}\s+{token}))"), F.lit(1))
+    plain = F.transform(pairs, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?:'s|')(?=\s|$)", ""), r"\s+", " "))
+    stop = F.array(*map(F.lit, S.NAME_STOP_WORDS))
+    return unique_strings(F.filter(plain, lambda p: ~F.arrays_overlap(F.split(p, " "), stop)))
+
+
+def unique_strings(values: Column) -> Column:
+    """Trimmed non-blank elements in order, the first of those that differ in case only."""
+    plain = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
+    low = F.transform(plain, lambda v: F.lower(v))
+    return F.filter(plain, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
 
 
 def manual_title(text: Column) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cliploom.functions.text import NUMBER, first_number, name_phrases
+from cliploom.functions.text import NUMBER, first_number, manual_title, name_phrases
 
 # Words too weak to be highlighted.
 WEAK_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "at", "by", "from", "this", "that", "his", "her", "is", "was", "it", "how", "why", "what", "you", "your", "i", "he")
@@ -94,3 +94,18 @@ def templated(text: Column) -> Column:
     for condition, title in rules[1:]:
         chain = chain.when(condition, title)
     return chain.otherwise(made("The Secret Rule", "Behind This Clip", "Secret", "Rule"))
+
+
+def route(mode: Column, reference_title: Column, text: Column) -> Column:
+    """Where a title comes from: manual, pattern (of the reference's title), generated or fixed."""
+    some = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return F.when(mode == "manual", "manual").when((mode == "replicate") & some(reference_title), "pattern").when(some(text), "generated").otherwise("fixed")
+
+
+def routed(mode: Column, manual: Column, reference_title: Column, text: Column, answer1: Column, answer2: Column) -> Column:
+    """Struct of two lines by the route; an answer of a model, if any, is laid out, else the templates serve."""
+    way, none = route(mode, reference_title, text), F.array().cast("array<string>")
+    one, two = manual_title(manual)
+    made, own = layout(answer1, F.coalesce(answer2, F.lit("")), none), templated(text)
+    lines = lambda a, b: F.struct(a.alias("line1"), b.alias("line2"))
+    return F.when(way == "manual", lines(one, two)).when(way.isin("pattern", "generated") & answer1.isNotNull(), lines(made["line1"], made["line2"])).otherwise(lines(own["line1"], own["line2"]))

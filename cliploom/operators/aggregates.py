@@ -120,3 +120,17 @@ def stage_averages(events: DataFrame) -> DataFrame:
     runs = spent.groupBy("job_id", "stage").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "s"))).alias("r"))
     fold = F.aggregate("r", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["s"]).otherwise(0.7 * a + 0.3 * x["s"]))
     return runs.select("job_id", "stage", F.round(fold, 3).alias("seconds"))
+
+
+def hook_description(frames: DataFrame, hooks: DataFrame, key: str = "key") -> DataFrame:
+    """Tags of the frames a third and two thirds into each hook, lists united and category by mode.
+
+    ``frames``: key, frame_idx, subjects, setting, category; ``hooks``: key, length_s, frames (their number).
+    Frames beyond the last are left out; if none is left, the first one serves.
+    """
+    at = F.transform(F.array(F.lit(0.33), F.lit(0.66)), lambda share: F.floor(F.col("length_s") * 10 * share).cast("int"))
+    inside = F.filter(at, lambda i: (i >= 0) & (i < F.col("frames")))
+    wanted = hooks.where("length_s > 0 and frames > 0").select(key, F.posexplode(F.when(F.size(inside) > 0, inside).otherwise(F.array(F.lit(0)))).alias("place", "frame_idx"))
+    tags = wanted.join(frames, [key, "frame_idx"])
+    lists = tags.groupBy(key).agg(*[ordered_union(c, "place", MERGE_CAPS[c]).alias(c) for c in ("subjects", "setting")])
+    return lists.join(ordered_modes(tags, key, "place", ["category"]), key, "left")

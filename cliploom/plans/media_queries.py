@@ -170,7 +170,7 @@ def wn22_failure_cutoff(spark, sf_dir):
 
 
 @query(duck("clips") + """, k AS (SELECT path, mtime, array_to_string(subjects, ' ') AS name_key FROM clips), r AS (SELECT *, row_number() OVER (ORDER BY mtime DESC, path) - 1 AS pos0, row_number() OVER (PARTITION BY name_key ORDER BY mtime DESC, path) AS first FROM k)
- SELECT path, mtime, name_key FROM r WHERE pos0 < 15 OR first = 1 ORDER BY pos0 LIMIT 30""")
+ SELECT path, mtime, name_key FROM r WHERE pos0 < 30 // 2 OR first = 1 ORDER BY pos0 LIMIT 30""")
 def wn21_diverse_newest(spark, sf_dir):
     files = view(spark, sf_dir, "clips").select("path", "mtime", F.array_join("subjects", " ").alias("name_key"))
     return R.diverse_newest(files, 30)

@@ -89,13 +89,14 @@ def pr21_pr25_titles(spark, sf_dir):
     return lines.select("page_id", X.highlighted(F.col("line1"), F.col("h")).alias("line1"), "line2")
 
 
-_NEAR = duck("words") + """, n AS (SELECT asset_id, pos, word, start_s, end_s, row_number() OVER (PARTITION BY asset_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY asset_id) AS n, max(end_s) OVER (PARTITION BY asset_id) AS duration FROM words),
- st AS (SELECT DISTINCT asset_id, duration, round_even(least(start_s, greatest(0.0, duration - 15.0)), 2) AS lo FROM n WHERE (i - 1) % greatest(1, n // 80) = 0 UNION SELECT asset_id, duration, 0.0 FROM n WHERE i = 1)"""
+_NEAR = duck("words", "segments") + """, n AS (SELECT asset_id, pos, word, start_s, end_s, row_number() OVER (PARTITION BY asset_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY asset_id) AS n, max(end_s) OVER (PARTITION BY asset_id) AS duration FROM words),
+ st AS (SELECT DISTINCT asset_id, duration, round_even(least(start_s, greatest(0.0, duration - 15.0)), 2) AS lo FROM n WHERE (i - 1) % greatest(1, n // 80) = 0 UNION SELECT asset_id, duration, 0.0 FROM n WHERE i = 1
+  UNION SELECT n.asset_id, duration, round_even(greatest(0.0, least(s.start_s, greatest(0.0, duration - 15.0))), 2) FROM n JOIN segments s ON s.asset_id = n.asset_id WHERE i = 1)"""
 
 
 @query(_NEAR + " SELECT asset_id, lo FROM st")
 def wn12_candidate_starts(spark, sf_dir):
-    return T.candidate_starts(view(spark, sf_dir, "words"), 15.0).select("asset_id", "lo")
+    return T.candidate_starts(view(spark, sf_dir, "words"), 15.0, view(spark, sf_dir, "segments")).select("asset_id", "lo")
 
 
 @query(_NEAR + f""", w AS (SELECT asset_id, lo, least(duration, lo + 15.0) AS hi FROM st), o AS (SELECT asset_id, lo, hi, least(hi, lo + greatest(2.5, least(4.0, (hi - lo) * 0.35))) AS mid FROM w),
@@ -104,7 +105,7 @@ def wn12_candidate_starts(spark, sf_dir):
  sc AS (SELECT whole.asset_id, whole.lo, whole.hi, round({_viral('whole.t')} + CASE WHEN op.t IS NULL THEN 0.0 ELSE 1.15 * {_viral('op.t')} + 1.65 * 0.65 * {_text_score('op.t')} + (CASE WHEN {_hooked('op.t')} THEN 4.0 ELSE 0.0 END) END, 6) AS score FROM whole LEFT JOIN op ON op.asset_id = whole.asset_id AND op.lo = whole.lo)
  SELECT asset_id, lo, hi, score FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY score DESC, lo) AS r FROM sc) WHERE r = 1""")
 def wn13_best_window(spark, sf_dir):
-    return T.best_windows(view(spark, sf_dir, "words"))
+    return T.best_windows(view(spark, sf_dir, "words"), segments=view(spark, sf_dir, "segments"))
 
 
 @query(duck("words") + """, d AS (SELECT asset_id, max(end_s) AS duration FROM words GROUP BY 1), w AS (SELECT asset_id, duration / 3 AS lo, duration / 3 + 10.0 AS hi FROM d)

@@ -78,6 +78,16 @@ STOP_WORDS = (
     "will", "with", "would", "you", "your",
 )
 
+# Words that are no part of a person's name in a title.
+NAME_STOP_WORDS = (
+    "A", "About", "After", "AI", "An", "And", "Are", "Balance", "Bought", "Built", "Business", "Can", "Caring", "Changed",
+    "Company", "Companies", "Committee", "Could", "Customers", "Day", "Dollar", "Every", "Everything", "Explains", "Fallout",
+    "For", "From", "Get", "Hacked", "He", "Her", "Here", "His", "How", "Into", "Invest", "Is", "It", "Kills", "Minute",
+    "Million", "Never", "Of", "Painted", "Per", "Proves", "Revealed", "Reveals", "Rule", "Says", "Secret", "She", "Should",
+    "Technique", "The", "This", "To", "Trillion", "University", "Was", "Watching", "What", "When", "Will", "Why", "Would",
+    "With", "Without", "Works", "Billion",
+)
+
 # Seconds of the job stages, in order, and how long each may go without an update.
 STAGE_SECONDS = {"ingested": 1.0, "analyzing": 25.0, "transcribing": 8.0, "selecting": 2.0, "titling": 2.0, "broll_recovery": 25.0, "rendering": 35.0}
 STAGE_LIMITS = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +12,20 @@ INDEX_VERSION = 1
 
 
 def media_files(spark: SparkSession, *roots: str) -> DataFrame:
-    """path, mtime and size of the media files below the roots; file contents are never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(list(roots))
+    """path, mtime and size of the media files below the roots; file contents are never read.
+
+    A root that is not there has no files.
+    """
+    every = None
+    for root in roots:
+        try:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        every = files if every is None else every.unionByName(files)
+    files = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary") if every is None else every
     rows = files.select("path", F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"))
     return rows.where(F.lower("path").rlike(MEDIA_SUFFIX)).dropDuplicates(["path"])
 
@@ -127,3 +140,10 @@ def sync_plan(assets: DataFrame, local: DataFrame) -> DataFrame:
 
 def share_id(url: str):
     return F.nullif(F.regexp_extract(url, r"/(?:share|s|r|presentations)/([A-Za-z0-9-]+)", 1), F.lit(""))
+
+
+def result_packs(items: DataFrame, key: str, order: str) -> DataFrame:
+    """One JSON document per reference: its key and its items, nested, in order."""
+    rest = [c for c in items.columns if c not in (key, order)]
+    listed = F.array_sort(F.collect_list(F.struct(order, *rest)))
+    return items.groupBy(key).agg(listed.alias("items")).select(key, F.to_json(F.struct(key, "items")).alias("pack"))

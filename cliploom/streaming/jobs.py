@@ -80,3 +80,18 @@ def running_placement(references: DataFrame) -> DataFrame:
     """Averages over all references seen so far: a streaming aggregate in complete mode."""
     ok = references.where("duration > 0")
     return ok.groupBy().agg(F.count(F.lit(1)).alias("samples"), *[F.avg(c).alias(c) for c in ("per_30s", "length", "first_start", "gap")])
+
+
+def index_stream(files: DataFrame, read_index, extract, append):
+    """Keep a clip index up with a stream of catalog rows (path, mtime, size): a query that is not yet started.
+
+    In each micro-batch only rows that are new or changed against ``read_index()`` go through ``extract`` and
+    on to ``append``; a batch that is run again finds its rows indexed and adds nothing.
+    """
+    from cliploom.sources.catalog import index_actions
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        missed = index_actions(batch.dropDuplicates(["path"]), read_index()).where("action <> 'hit'").drop("action")
+        append(extract(missed))
+
+    return files.writeStream.foreachBatch(upsert)

@@ -59,8 +59,8 @@ def ag11_motion(spark, sf_dir):
     return P.motion(view(spark, sf_dir, "frames"))
 
 
-@query(_CUT + """, g AS (SELECT *, sum(is_cut::int) OVER (PARTITION BY video_id ORDER BY frame_idx) AS seg FROM c), s AS (SELECT video_id, seg, min(frame_idx) AS a, max(frame_idx) + 1 AS b FROM g GROUP BY 1, 2),
- x AS (SELECT DISTINCT video_id, seg, unnest([floor(a + (b - a) * 0.25), floor(a + (b - a) * 0.5), floor(a + (b - a) * 0.75)])::int AS frame_idx FROM s) SELECT x.video_id, seg, x.frame_idx, f.has_face FROM x JOIN frames f ON f.video_id = x.video_id AND f.frame_idx = x.frame_idx""")
+@query(_CUT + """, g AS MATERIALIZED (SELECT video_id, frame_idx, has_face, sum(is_cut::int) OVER (PARTITION BY video_id ORDER BY frame_idx) AS seg FROM c), s AS (SELECT video_id, seg, min(frame_idx) AS a, max(frame_idx) + 1 AS b FROM g GROUP BY 1, 2),
+ x AS (SELECT DISTINCT video_id, seg, unnest([floor(a + (b - a) * 0.25), floor(a + (b - a) * 0.5), floor(a + (b - a) * 0.75)])::int AS frame_idx FROM s) SELECT x.video_id, x.seg, x.frame_idx, c.has_face FROM x JOIN g AS c ON c.video_id = x.video_id AND c.frame_idx = x.frame_idx""")
 def jn16_sampled_frames(spark, sf_dir):
     frames = view(spark, sf_dir, "frames")
     segs = P.shot_cuts(frames).withColumn("seg", F.sum(F.col("is_cut").cast("int")).over(P.W.partitionBy("video_id").orderBy("frame_idx")))
@@ -75,26 +75,43 @@ def _hashed(spark, sf_dir):
     return vectors.select("vec_id", "label", gradient_bits("grey").alias("hash"))
 
 
-@query()
+#: 64-bit signed hashes in SQL: bit i is set where grey value i is above its right neighbour in a grid of nine columns.
+_HASHED = """e AS (SELECT vec_id, label, [floor(embedding[(i % len(embedding)) + 1]::double * 1000)::int for i in range(0, 72)] AS grey FROM embeddings),
+ u AS (SELECT vec_id, label, list_sum([CASE WHEN grey[(i // 8) * 9 + i % 8 + 1] > grey[(i // 8) * 9 + i % 8 + 2] THEN 1::hugeint << i ELSE 0::hugeint END for i in range(0, 64)])::hugeint AS big FROM e),
+ h AS (SELECT vec_id, label, (CASE WHEN big >= 9223372036854775808::hugeint THEN big - 18446744073709551616::hugeint ELSE big END)::bigint AS hash FROM u)"""
+
+
+@query("WITH " + _HASHED + " SELECT vec_id, label, hash FROM h")
 def pr32_gradient_hash(spark, sf_dir):
     return _hashed(spark, sf_dir)
 
 
-@query()
+@query("WITH " + _HASHED + """, r AS (SELECT vec_id, xor(xor(hash, 1::bigint << (vec_id % 61)::int), CASE WHEN vec_id % 3 = 0 THEN 4095::bigint << (vec_id % 40)::int ELSE 5::bigint END) AS hash FROM h)
+ SELECT a.vec_id AS a_id, b.vec_id AS b_id, bit_count(xor(a.hash, b.hash))::int AS distance FROM h a JOIN r b ON bit_count(xor(a.hash, b.hash)) <= 8""")
 def jn11_near_frames(spark, sf_dir):
+    """Frames against copies of them with a few bits flipped, in a third of them more than may differ."""
     rows = _hashed(spark, sf_dir)
+    flipped = F.expr("hash ^ shiftleft(1L, cast(vec_id % 61 as int)) ^ case when vec_id % 3 = 0 then shiftleft(4095L, cast(vec_id % 40 as int)) else 5L end")
     left = rows.select(F.col("vec_id").alias("a_id"), F.col("hash").alias("a_hash"))
-    right = rows.select(F.col("vec_id").alias("b_id"), F.col("hash").alias("b_hash"))
-    return R.near_frames(left, right).where("a_id < b_id").select("a_id", "b_id", "distance")
+    right = rows.select(F.col("vec_id").alias("b_id"), flipped.alias("b_hash"))
+    return R.near_frames(left, right).select("a_id", "b_id", "distance")
 
 
-@query()
+@query("WITH " + _HASHED + """, p AS (SELECT l.label AS ref, r.label AS candidate, l.vec_id AS frame, bit_count(xor(l.hash, r.hash)) AS d, list_dot_product(le.embedding::double[], re.embedding::double[]) AS hist
+   FROM h l JOIN h r ON l.vec_id % 50 = 0 AND r.label <> l.label JOIN embeddings le ON le.vec_id = l.vec_id JOIN embeddings re ON re.vec_id = r.vec_id),
+ b AS (SELECT ref, candidate, frame, max(least(1.0, greatest(greatest(0.0, 1.0 - d / 32.0), 0.6 * greatest(0.0, 1.0 - d / 32.0) + 0.4 * greatest(0.0, hist)))) AS best, sum((d <= 8)::int) AS exact FROM p GROUP BY 1, 2, 3),
+ m AS (SELECT ref, candidate, avg(best) AS score, sum(exact) AS exact, count(*) AS frames FROM b GROUP BY 1, 2)
+ SELECT ref, candidate, round(CASE WHEN exact >= greatest(1, frames // 2) THEN greatest(score, 0.92) ELSE score END, 6) AS score, exact, CASE WHEN exact >= greatest(1, frames // 2) THEN 'exact_frame' WHEN score >= 0.72 THEN 'same_setup' ELSE 'rejected' END AS verdict FROM m""")
 def jn12_frame_set_scores(spark, sf_dir):
-    rows = _hashed(spark, sf_dir)
-    left = rows.where("vec_id % 50 = 0").select(F.col("label").alias("ref"), F.col("vec_id").alias("frame"), F.col("hash").alias("a"))
-    pairs = rows.select(F.col("label").alias("candidate"), F.col("hash").alias("b")).join(left, F.col("candidate") != F.col("ref"))
+    """Frames of the stated references against all others; the dot product of the vectors stands for the histogram term."""
+    rows = _hashed(spark, sf_dir).join(view(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id")
+    left = rows.where("vec_id % 50 = 0").select(F.col("label").alias("ref"), F.col("vec_id").alias("frame"), F.col("hash").alias("a"), F.col("v").alias("av"))
+    small = left.count() <= 100_000
+    right = rows.select(F.col("label").alias("candidate"), F.col("hash").alias("b"), F.col("v").alias("bv")).repartition(2 * spark.sparkContext.defaultParallelism)
+    pairs = right.join(F.broadcast(left) if small else left, F.col("candidate") != F.col("ref"))
+    histogram = F.aggregate(F.zip_with("av", "bv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     distance = R.hamming("a", "b")
-    scored = pairs.select("ref", "candidate", "frame", R.frame_score(distance, F.lit(0.0)).alias("score"), (distance <= 8).cast("int").alias("exact"))
+    scored = pairs.select("ref", "candidate", "frame", R.frame_score(distance, histogram).alias("score"), (distance <= 8).cast("int").alias("exact"))
     return R.frame_set_scores(scored)
 
 
@@ -155,7 +172,8 @@ def ss7_stage_durations(spark, sf_dir):
     return rows.where("seconds is not null").select("job_id", "event_id", "stage", "seconds")
 
 
-@query()
+@query(duck("job_events") + """, d AS (SELECT job_id, event_id, ts, stage, epoch_us(lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id)) / 1e6 - epoch_us(ts) / 1e6 AS s FROM job_events)
+ SELECT job_id, stage, round(list_reduce(list(s ORDER BY ts, event_id), lambda a, x: 0.7 * a + 0.3 * x), 3) AS seconds FROM d WHERE s IS NOT NULL GROUP BY 1, 2""")
 def ag16_stage_averages(spark, sf_dir):
     return stage_averages(view(spark, sf_dir, "job_events"))
 

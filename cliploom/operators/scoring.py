@@ -70,19 +70,75 @@ def top_k(scores: DataFrame, group: str, score: str, k: int, *ties: Column) -> D
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _in_pairs(a: Column, b: Column, pairs) -> Column:
-    return reduce(lambda x, y: x | y, [((a == p) & (b == q)) | ((a == q) & (b == p)) for p, q in pairs])
+#: Lists of compatible values by field: what ``paired`` prepares on each side.
+NEAR = {
+    "lighting": {"vibe": S.VIBE_NEIGHBOURS, "pairs": S.LIGHTING_PAIRS}, "energy": {"vibe": S.VIBE_NEIGHBOURS, "steps": S.ENERGY_STEPS},
+    "shot_type": {"vibe": S.VIBE_NEIGHBOURS, "pairs": S.SHOT_PAIRS, "next": S.SHOT_NEIGHBOURS}, "depth_of_field": {"vibe": S.VIBE_NEIGHBOURS},
+    "category": {"pairs": S.CATEGORY_PAIRS}, "camera_motion": {"pairs": S.MOTION_PAIRS, "contrast": S.MOTION_CONTRASTS},
+}
+HUES = ("warm", "cool", "neutral", "earthy", "monochrome", "neon", "pastel")
 
 
-def jaccard(a: str, b: str) -> Column:
-    both = F.size(F.array_union(a, b))
-    return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
+def _bit(place: Column | int) -> Column:
+    place = F.lit(place) if isinstance(place, int) else place
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
 
-def graded(a: str, b: str, pairs, part: float, other: float = 0.0) -> Column:
+def _bits(words: Column) -> Column:
+    """A bit for each word, by its hash: lists without a common bit have no common word."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseOR(_bit(F.pmod(F.xxhash64(w), F.lit(64)))))
+
+
+def _looked_up(value: Column, table: dict[str, int]) -> Column:
+    found = F.lit(0).cast("long")
+    for word, bits in table.items():
+        found = F.when(value == word, F.lit(bits).cast("long")).otherwise(found)
+    return found
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """Feature rows with what pair scores need of each side, so that a pair costs a few operations on numbers:
+    word bits and distinct counts of lists, and for each list of compatible values the bits of a value and of its partners."""
+    have, made = set(rows.columns), {}
+    lists = {c: F.col(c) for c in ("subjects", "setting", "action", "mood") if c in have}
+    if "mood" in have:
+        lists["moods"] = made["moods"] = _mood_groups("mood")
+    for name, words in lists.items():
+        made[f"{name}_bits"], made[f"{name}_n"] = _bits(words), F.size(F.array_distinct(words))
+    if "color_palette" in have:
+        first = F.slice("color_palette", 1, 3)
+        made["hues"] = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.array_contains(first, h), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, h in enumerate(HUES)])
+    for field, tables in NEAR.items():
+        for name, pairs in tables.items() if field in have else ():
+            words = list(dict.fromkeys(w for pair in pairs for w in pair))
+            partners = {w: sum(1 << words.index(v) for v in {q if p == w else p for p, q in pairs if w in (p, q)}) for w in words}
+            made[f"{field}_{name}_is"] = _looked_up(F.col(field), {w: 1 << i for i, w in enumerate(words)})
+            made[f"{field}_{name}_near"] = _looked_up(F.col(field), partners)
+    return rows.withColumns(made)
+
+
+def shared(name: str) -> Column:
+    """Number of words that both sides of a pair have in a list."""
+    a, b = f"a_{name}", f"b_{name}"
+    none = F.col(f"{a}_bits").bitwiseAND(F.col(f"{b}_bits")) == 0
+    return F.when(none, 0).otherwise(F.size(F.array_intersect(a, b)))
+
+
+def jaccard(name: str) -> Column:
+    every = F.col(f"a_{name}_n") + F.col(f"b_{name}_n")
+    none = (every == 0) | (F.col(f"a_{name}_bits").bitwiseAND(F.col(f"b_{name}_bits")) == 0)
+    both = F.size(F.array_intersect(f"a_{name}", f"b_{name}"))
+    return F.when(none, 0.0).otherwise(both / (every - both))
+
+
+def near(field: str, table: str) -> Column:
+    """Whether the two values of a pair are listed as compatible."""
+    return F.col(f"a_{field}_{table}_near").bitwiseAND(F.col(f"b_{field}_{table}_is")) != 0
+
+
+def graded(field: str, table: str, part: float, other: float = 0.0) -> Column:
     """1 if equal, ``part`` for a listed pair, else ``other``."""
-    x, y = F.col(a), F.col(b)
-    return F.when(x == y, 1.0).when(_in_pairs(x, y, pairs), part).otherwise(other)
+    return F.when(F.col(f"a_{field}") == F.col(f"b_{field}"), 1.0).when(near(field, table), part).otherwise(other)
 
 
 def _known(a: str, b: str) -> Column:
@@ -93,11 +149,12 @@ def weighted(parts: list[tuple[Column, float, Column]]) -> Column:
     """Weighted mean over the parts that have data; 0 if none has."""
     total = reduce(lambda x, y: x + y, [F.when(had, w).otherwise(0.0) for _, w, had in parts])
     value = reduce(lambda x, y: x + y, [F.when(had, s * w).otherwise(0.0) for s, w, had in parts])
-    return F.when(total > 0, value / total).otherwise(0.0)
+    return F.coalesce(F.try_divide(value, total), F.lit(0.0))
 
 
 def paired(references: DataFrame, clips: DataFrame, key: str = "clip_id") -> DataFrame:
     """Every stated reference beside every clip: columns a_* and b_*."""
+    references, clips = prepared(references), prepared(clips)
     left = references.select(*[F.col(c).alias(f"a_{c}") for c in references.columns])
     right = clips.select(*[F.col(c).alias(f"b_{c}") for c in clips.columns])
     count = references.count()
@@ -107,10 +164,9 @@ def paired(references: DataFrame, clips: DataFrame, key: str = "clip_id") -> Dat
 
 def vibe_score() -> Column:
     """Weighted agreement of mood, lighting, energy, shot and depth over what both sides have."""
-    near = S.VIBE_NEIGHBOURS
-    parts = [(jaccard("a_mood", "b_mood"), 0.40, (F.size("a_mood") > 0) & (F.size("b_mood") > 0))]
+    parts = [(jaccard("mood"), 0.40, (F.size("a_mood") > 0) & (F.size("b_mood") > 0))]
     for name, weight in (("lighting", 0.20), ("energy", 0.15), ("shot_type", 0.15), ("depth_of_field", 0.10)):
-        parts.append((graded(f"a_{name}", f"b_{name}", near, 0.5), weight, _known(f"a_{name}", f"b_{name}")))
+        parts.append((graded(name, "vibe", 0.5), weight, _known(f"a_{name}", f"b_{name}")))
     return weighted(parts)
 
 
@@ -119,7 +175,7 @@ def cinema_score(floor: float = 0.18) -> Column:
     same_class = (shot_a.isin(*S.WIDE_SHOTS) & shot_b.isin(*S.WIDE_SHOTS)) | (shot_a.isin(*S.TIGHT_SHOTS) & shot_b.isin(*S.TIGHT_SHOTS))
     shot = F.when(shot_a == shot_b, 1.0).when(same_class, 0.6).otherwise(0.25)
     a, b = F.col("a_camera_motion"), F.col("b_camera_motion")
-    motion = F.when(a == b, 0.4).when(_in_pairs(a, b, S.MOTION_CONTRASTS), 1.0).when(_in_pairs(a, b, (("pan", "tilt"),)), 0.4).otherwise(0.0)
+    motion = F.when(a == b, 0.4).when(near("camera_motion", "contrast"), 1.0).when(a.isin("pan", "tilt") & b.isin("pan", "tilt"), 0.4).otherwise(0.0)
     depth = F.when(F.col("a_depth_of_field") == F.col("b_depth_of_field"), 1.0).otherwise(0.2)
     parts = [(shot, _known("a_shot_type", "b_shot_type")), (motion, _known("a_camera_motion", "b_camera_motion")), (depth, _known("a_depth_of_field", "b_depth_of_field"))]
     count = reduce(lambda x, y: x + y, [F.when(had, 1.0).otherwise(0.0) for _, had in parts])
@@ -129,7 +185,7 @@ def cinema_score(floor: float = 0.18) -> Column:
 
 def base_score() -> Column:
     same = F.when((F.col("a_category") != "") & (F.col("a_category") == F.col("b_category")), 3.0).otherwise(0.0)
-    return F.least(F.lit(1.0), (same + F.size(F.array_intersect("a_subjects", "b_subjects")) + F.size(F.array_intersect("a_setting", "b_setting"))) / 8.0)
+    return F.least(F.lit(1.0), (same + shared("subjects") + shared("setting")) / 8.0)
 
 
 def intelligent(base: Column, vibe: Column, cinema: Column, penalty: Column | float = 0.0) -> Column:
@@ -146,38 +202,52 @@ def _mood_groups(column: str) -> Column:
     return F.array_distinct(F.flatten(F.transform(column, lambda m: F.coalesce(F.try_element_at(known, m), F.array(m)))))
 
 
-def component_score() -> Column:
-    """Subject .30, vibe .45, cinema .15, energy .10; missing parts drop out at both levels."""
+def component_parts() -> list[tuple[Column, float, Column]]:
+    """Subject .30, vibe .45, cinema .15, energy .10, each with whether it has data; missing parts drop out inside."""
     lists = lambda name: (F.size(f"a_{name}") > 0) | (F.size(f"b_{name}") > 0)
     either = lambda name: (F.col(f"a_{name}") != "") | (F.col(f"b_{name}") != "")
     subject = weighted([
-        (graded("a_category", "b_category", S.CATEGORY_PAIRS, 0.5), 0.40, either("category")),
-        (jaccard("a_subjects", "b_subjects"), 0.40, lists("subjects")), (jaccard("a_setting", "b_setting"), 0.20, lists("setting")),
+        (graded("category", "pairs", 0.5), 0.40, either("category")),
+        (jaccard("subjects"), 0.40, lists("subjects")), (jaccard("setting"), 0.20, lists("setting")),
     ])
     has_subject = either("category") | lists("subjects") | lists("setting")
-    both = F.size(F.array_union(_mood_groups("a_mood"), _mood_groups("b_mood")))
-    mood = F.when(both > 0, F.size(F.array_intersect(_mood_groups("a_mood"), _mood_groups("b_mood"))) / both).otherwise(0.0)
     tones = ("palette_warmth", "palette_saturation", "palette_brightness")
     unset = lambda side: reduce(lambda x, y: x & y, [F.col(f"{side}_{t}") == 0.0 for t in tones])
     palette = 1.0 - reduce(lambda x, y: x + y, [F.abs(F.col(f"a_{t}") - F.col(f"b_{t}")) for t in tones]) / 3.0
     has = lambda name: (F.col(f"a_{name}") != 0.0) & (F.col(f"b_{name}") != 0.0)
     close = lambda name: 1.0 - F.abs(F.col(f"a_{name}") - F.col(f"b_{name}"))
     vibe_parts = [
-        (mood, 0.30, lists("mood")), (palette, 0.20, ~(unset("a") | unset("b"))),
-        (graded("a_lighting", "b_lighting", S.LIGHTING_PAIRS, 0.4), 0.15, _known("a_lighting", "b_lighting")),
+        (jaccard("moods"), 0.30, lists("mood")), (palette, 0.20, ~(unset("a") | unset("b"))),
+        (graded("lighting", "pairs", 0.4), 0.15, _known("a_lighting", "b_lighting")),
         (close("motion_intensity"), 0.20, has("motion_intensity")), (close("contrast"), 0.15, has("contrast")),
     ]
     cinema_parts = [
-        (graded("a_shot_type", "b_shot_type", S.SHOT_PAIRS, 0.5), 0.40, _known("a_shot_type", "b_shot_type")),
-        (graded("a_camera_motion", "b_camera_motion", S.MOTION_PAIRS, 0.4), 0.30, _known("a_camera_motion", "b_camera_motion")),
+        (graded("shot_type", "pairs", 0.5), 0.40, _known("a_shot_type", "b_shot_type")),
+        (graded("camera_motion", "pairs", 0.4), 0.30, _known("a_camera_motion", "b_camera_motion")),
         (F.when(F.col("a_depth_of_field") == F.col("b_depth_of_field"), 1.0).otherwise(0.0), 0.30, _known("a_depth_of_field", "b_depth_of_field")),
     ]
     level = lambda c: F.when(F.col(c) == "low", 0.0).when(F.col(c) == "high", 1.0).otherwise(0.5)
     some = lambda parts: reduce(lambda x, y: x | y, [had for _, _, had in parts])
-    return weighted([
+    return [
         (subject, 0.30, has_subject), (weighted(vibe_parts), 0.45, some(vibe_parts)), (weighted(cinema_parts), 0.15, some(cinema_parts)),
         (1.0 - F.abs(level("a_energy") - level("b_energy")), 0.10, F.lit(True)),
-    ])
+    ]
+
+
+def component_score() -> Column:
+    return weighted(component_parts())
+
+
+def with_component_score(pairs: DataFrame, name: str = "score") -> DataFrame:
+    """Pairs with the component score.
+
+    Its parts are columns of their own first, null without data: as one expression the score is more code than the
+    virtual machine compiles, and columns that are used several times are not merged into their users.
+    """
+    parts = component_parts()
+    names = [f"component_{i}" for i in range(len(parts))]
+    known = pairs.withColumns({n: F.when(had, s) for n, (s, _, had) in zip(names, parts)})
+    return known.withColumn(name, weighted([(F.col(n), w, F.col(n).isNotNull()) for n, (_, w, _) in zip(names, parts)])).drop(*names)
 
 
 def _cauchy(name: str, gamma: float) -> Column:
@@ -187,25 +257,22 @@ def _cauchy(name: str, gamma: float) -> Column:
 
 def composite_score() -> Column:
     """Content .25, vibe .30, cinema .20, motion .25 with Cauchy kernels on the metrics."""
-    subj, sett, act = (jaccard(f"a_{n}", f"b_{n}") for n in ("subjects", "setting", "action"))
+    subj, sett, act = (jaccard(n) for n in ("subjects", "setting", "action"))
     cat = F.when((F.col("a_category") != "") & (F.col("a_category") == F.col("b_category")), 1.0).otherwise(0.0)
     # Without subjects their .40 is shared out in proportion to the other weights.
     sparse = (0.25 + 0.40 * (0.25 / 0.75)) * sett + (0.20 + 0.40 * (0.20 / 0.75)) * cat + (0.15 + 0.40 * (0.15 / 0.75)) * act
     content = F.when(F.size("a_subjects") == 0, sparse).otherwise(0.40 * subj + 0.25 * sett + 0.20 * cat + 0.15 * act)
-    hues = F.array(*map(F.lit, ("warm", "cool", "neutral", "earthy", "monochrome", "neon", "pastel")))
-    va, vb = (F.array_intersect(F.slice(f"{s}_color_palette", 1, 3), hues) for s in "ab")
-    odd = F.size(F.array_except(va, vb)) + F.size(F.array_except(vb, va))
-    hue = F.when((F.size(va) == 0) & (F.size(vb) == 0), 0.5).otherwise(1.0 - odd / 7.0)
-    energy = graded("a_energy", "b_energy", (("low", "medium"), ("medium", "high")), 0.5)
-    lighting = graded("a_lighting", "b_lighting", S.LIGHTING_PAIRS, 0.4)
+    va, vb = F.col("a_hues"), F.col("b_hues")
+    hue = F.when((va == 0) & (vb == 0), 0.5).otherwise(1.0 - F.bit_count(va.bitwiseXOR(vb)) / 7.0)
+    energy, lighting = graded("energy", "steps", 0.5), graded("lighting", "pairs", 0.4)
     vibe = (
-        0.35 * jaccard("a_mood", "b_mood") + 0.15 * energy + 0.15 * lighting + 0.15 * hue
+        0.35 * jaccard("mood") + 0.15 * energy + 0.15 * lighting + 0.15 * hue
         + 0.10 * _cauchy("palette_warmth", 0.20) + 0.05 * _cauchy("palette_saturation", 0.20) + 0.05 * _cauchy("palette_brightness", 0.20)
     )
     a, b = F.col("a_camera_motion"), F.col("b_camera_motion")
     motion = F.when(a == b, 1.0).when((a == "static") | (b == "static"), 0.4).otherwise(0.0)
     depth = F.when(F.col("a_depth_of_field") == F.col("b_depth_of_field"), 1.0).otherwise(0.5)
-    cinema = 0.45 * graded("a_shot_type", "b_shot_type", S.SHOT_NEIGHBOURS, 0.7, 0.3) + 0.35 * motion + 0.20 * depth
+    cinema = 0.45 * graded("shot_type", "next", 0.7, 0.3) + 0.35 * motion + 0.20 * depth
     moving = 0.55 * _cauchy("motion_intensity", 0.25) + 0.25 * _cauchy("contrast", 0.30) + 0.20 * _cauchy("edge_density", 0.30)
     return 0.25 * content + 0.30 * vibe + 0.20 * cinema + 0.25 * moving
 

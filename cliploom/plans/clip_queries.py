@@ -189,7 +189,7 @@ _JN4 = _renorm([
 
 @query(_top_sql(_JN4))
 def jn4_component_top5(spark, sf_dir):
-    return _top(_stated(spark, sf_dir), J.component_score())
+    return _top(J.with_component_score(_stated(spark, sf_dir)), F.col("score"))
 
 
 _CAUCHY = lambda n, g: f"(1.0 / (1.0 + ((a.{n} - b.{n}) / {g}) * ((a.{n} - b.{n}) / {g})))"
@@ -219,7 +219,8 @@ def jn6_hook_match(spark, sf_dir):
 
 @query(_SIDE + f""", s AS (SELECT ref_id, clip_id, round({_JN4}, 6) AS score, (b.confidence > 0)::int AS ok FROM p) SELECT ref_id, clip_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, ok DESC, clip_id) AS rank FROM s) WHERE rank <= 3""")
 def tk1_signal_first(spark, sf_dir):
-    pairs = _stated(spark, sf_dir).select(F.col("a_clip_id").alias("ref_id"), F.col("b_clip_id").alias("clip_id"), F.round(J.component_score(), 6).alias("score"), (F.col("b_confidence") > 0).cast("int").alias("ok"))
+    scored = J.with_component_score(_stated(spark, sf_dir))
+    pairs = scored.select(F.col("a_clip_id").alias("ref_id"), F.col("b_clip_id").alias("clip_id"), F.round("score", 6).alias("score"), (F.col("b_confidence") > 0).cast("int").alias("ok"))
     return J.top_k(pairs, "ref_id", "score", 3, F.desc("ok"), F.col("clip_id")).select("ref_id", "clip_id", "score", "rank")
 
 

@@ -62,7 +62,7 @@ def pr29_sample_times(spark, sf_dir):
 
 @query(_SIDE + f", s AS (SELECT ref_id, clip_id, round({_JN4}, 6) AS score FROM p) SELECT CASE WHEN score >= 0.8 THEN 'strong' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.4 THEN 'weak' ELSE 'poor' END AS label, count(*) AS n FROM s GROUP BY 1")
 def pr30_match_labels(spark, sf_dir):
-    return _stated(spark, sf_dir).select(X.match_label(F.round(J.component_score(), 6)).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return J.with_component_score(_stated(spark, sf_dir)).select(X.match_label(F.round("score", 6)).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 _STDERR = "(CASE event_type WHEN 'error' THEN 'ERROR: HTTP Error 429' WHEN 'view' THEN 'Sign in to confirm you are not a bot' WHEN 'click' THEN 'could not copy the cookie database' WHEN 'signup' THEN 'cookies are expired' ELSE 'getaddrinfo failed' END)"

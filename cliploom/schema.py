@@ -35,6 +35,7 @@ CATEGORY_PAIRS = (("sports", "lifestyle"), ("money", "lifestyle"))
 SHOT_NEIGHBOURS = (
     ("wide", "medium"), ("medium", "close-up"), ("close-up", "extreme-close-up"), ("close-up", "two-shot"), ("aerial", "overhead"),
 )
+ENERGY_STEPS = (("low", "medium"), ("medium", "high"))
 MOOD_GROUPS = (
     ("mysterious", "ominous"), ("energetic", "aggressive"), ("calm", "melancholic"), ("joyful", "uplifting"), ("epic", "dramatic"),
 )

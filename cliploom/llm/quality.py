@@ -19,12 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, stored
 
 FEATURES, RIDGE, BINS, SEED = 255, 1e-3, 1000, 11
+#: Partitions whose sums are added in one group of the first level.
+LANE = 512
 NAMES = (
     "log_chars", "log_words", "word_mean", "word_std", "letters", "upper", "digits", "marks", "other_marks", "spaces",
     "distinct_words", "top_word", "repeated_neighbours", "marked_words", "upper_words", "titled_words", "log_lines",
@@ -93,7 +96,11 @@ def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _normal_equations(train: DataFrame, fourier: Fourier) -> np.ndarray:
-    """Sum of x x' beside x y over all rows: partial sums per partition, added by matrix row."""
+    """Sum of x x' beside x y over all rows: partial sums per partition, added by matrix row.
+
+    Two levels: LANE partitions first, then the lanes, so that a group holds at most LANE short rows
+    and at 100,000 partitions some 200 in the second level.
+    """
     shared = train.sparkSession.sparkContext.broadcast(fourier)
     width = FEATURES + 1
 
@@ -102,13 +109,16 @@ def _normal_equations(train: DataFrame, fourier: Fourier) -> np.ndarray:
         for frame in batches:
             x = shared.value(np.stack(frame["stats"]))
             total += np.column_stack([x.T @ x, x.T @ frame["quality"].to_numpy(np.float64)])
-        yield pd.DataFrame({"line": range(width), "sums": [row.tobytes() for row in total]})
+        lane = TaskContext.get().partitionId() // LANE
+        yield pd.DataFrame({"line": range(width), "lane": lane, "sums": [row.tobytes() for row in total]})
 
     def added(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.float64) for x in frame["sums"])
-        return pd.DataFrame({"line": [key[0]], "sums": [total.tobytes()]})
+        return pd.DataFrame({"line": [key[0]], "lane": [key[-1]], "sums": [total.tobytes()]})
 
-    sums = train.select("stats", "quality").mapInPandas(partial, "line int, sums binary").groupBy("line").applyInPandas(added, "line int, sums binary")
+    schema = "line int, lane int, sums binary"
+    lanes = train.select("stats", "quality").mapInPandas(partial, schema).groupBy("line", "lane").applyInPandas(added, schema)
+    sums = lanes.groupBy("line").applyInPandas(added, schema)
     rows = sums.orderBy("line").collect()  # FEATURES + 1 rows of fixed width
     return np.stack([np.frombuffer(bytes(r["sums"]), np.float64) for r in rows])
 

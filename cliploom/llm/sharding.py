@@ -3,7 +3,7 @@
 The range key of a row is (CRC-32 of its text, row id), so equal texts lie together.  A sample of
 keys is drawn with a chance in proportion to the size; its quantiles cut the key space into fine
 ranges, each about 1/``FINE`` of a shard.  Ranges that came out overfull (one text repeated often, a
-rare streak) are subdivided by a hash of the row.  Whole rows then move once to their ranges, where a
+rare streak), or hold more than ``PART_BYTES``, are subdivided by a hash of the row.  Whole rows then move once to their ranges, where a
 running sum gives each row its place, and are stored, so that hash is drawn once.  Exact bytes per
 range give each range its offset in the total, and the row's shard is where its middle byte falls:
 ``shard = floor(16 * middle / total)``.  Shards therefore differ from total/16 by less than one row's
@@ -28,6 +28,8 @@ from .common import stored
 LAW = "bytes"
 #: Fine ranges per shard, sampled keys per fine range, and the overfull factor that subdivides.
 FINE, PER_RANGE, OVERFULL = 16, 24, 2.0
+#: Bytes of a subdivision at most, so that a task's sort stays small and many tasks work at any size.
+PART_BYTES = 1 << 29
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,8 +65,9 @@ def ranged(rows: DataFrame, keys: DataFrame, total: int, shards: int) -> DataFra
     """Add ``range`` (position of the key among the splitters) and ``part`` (its subdivision) to the rows of these keys."""
     cuts = splitters(keys, total, shards)
     where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("text_crc32"))) if cuts else F.lit(0)
-    # One row per range, FINE * shards at most: a proven bound.  Subdivisions have about the size of a range.
-    fair = max(1.0, total / (FINE * shards))
+    # One row per range, FINE * shards at most: a proven bound.  Subdivisions have about the size of a
+    # range, and PART_BYTES where ranges are larger than that.
+    fair = min(max(1.0, total / (FINE * shards)), PART_BYTES)
     sizes = keys.groupBy(where.alias("range")).agg(F.sum("size").alias("filled"))
     parts = sizes.select("range", F.when(F.col("filled") > OVERFULL * fair, F.ceil(F.col("filled") / fair)).otherwise(1).cast("int").alias("parts"))
     return rows.withColumn("range", where).join(F.broadcast(parts), "range").withColumn("part", F.pmod(F.col("spread"), F.col("parts")).cast("int"))
@@ -81,7 +84,8 @@ def placed(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str
         F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)).alias("end"), F.row_number().over(inside).alias("nth"),
     )
     rows = stored(rows, "shard-rows")
-    # Offsets of the ranges: at most a few times FINE * shards rows, whatever the input.
+    # Offsets of the ranges: at most a few times FINE * shards rows and one per half PART_BYTES,
+    # which is some 20 MB for 100 TB.
     before = W.orderBy("range", "part").rowsBetween(W.unboundedPreceding, -1)
     offsets = rows.groupBy("range", "part").agg(F.sum("size").alias("filled")).select(
         "range", "part", F.coalesce(F.sum("filled").over(before), F.lit(0)).alias("offset")

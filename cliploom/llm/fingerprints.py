@@ -20,6 +20,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,8 +59,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """Fingerprints of every text, of its edited form and of the next text.
 
     Texts are moved once, range-partitioned by id.  A task reads its range in order and finishes
-    each row when it sees the next; its first and last row meet the neighbouring ranges in a table
-    with two rows per range.
+    each row when it sees the next; its last row meets the first row of the next filled range by a
+    join on the range's number.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -82,43 +83,42 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
                 held = (doc_id, body, mark)
             if out:
                 done = pd.DataFrame(out, columns=names)
-                done["edge"], done["body"] = None, None
+                done["part"], done["edge"], done["body"] = None, None, None
                 yield _typed(done)
         if held is not None:
             edges.append((held[0], held[2], "last", held[1]))
             ends = pd.DataFrame(edges, columns=["doc_id", "fingerprint", "edge", "body"])
-            yield _typed(ends.reindex(columns=[*names, "edge", "body"]))
+            ends["part"] = TaskContext.get().partitionId()
+            yield _typed(ends.reindex(columns=[*names, "part", "edge", "body"]))
 
-    return _joined_ends(stored(ordered.mapInPandas(run, f"{_COLUMNS}, edge string, body string"), "fingerprints"), names)
+    return _joined_ends(stored(ordered.mapInPandas(run, f"{_COLUMNS}, part long, edge string, body string"), "fingerprints"), names)
 
 
 def _typed(frame: pd.DataFrame) -> pd.DataFrame:
     frame["doc_id"] = frame["doc_id"].astype("Int64")
     frame["n_chars"] = frame["n_chars"].astype("Int64")
-    return frame.astype({c: object for c in frame.columns if c not in ("doc_id", "n_chars")}).where(frame.notna(), None)
+    if "part" in frame:
+        frame["part"] = frame["part"].astype("Int64")
+    return frame.astype({c: object for c in frame.columns if c not in ("doc_id", "n_chars", "part")}).where(frame.notna(), None)
 
 
 def _joined_ends(rows: DataFrame, names: list[str]) -> DataFrame:
     """The last row of each range with the first row of the next range that has rows."""
     ends = rows.where(F.col("edge").isNotNull())
-    # Two rows per range: the one window without partitions sees a number of rows that is bounded by
-    # twice the number of shuffle partitions, whatever the input.
-    # "first" sorts before "last", so a range of one row, or of equal rows, is left behind by its last.
-    in_order = W.orderBy(F.col("doc_id").asc_nulls_first(), F.col("body"), F.col("edge"))
-    following = F.struct(F.col("body"), F.col("fingerprint"))
-    pairs = ends.select(
-        "*",
-        F.lead(following).over(in_order).alias("after"),
-        F.first(following).over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("start"),
-    ).where("edge = 'last'")
+    # The one window without partitions sees a number per filled range, and no text.  Ranges are numbered in
+    # the order of their ids, and a repeated id lies in one range.
+    in_order = W.orderBy("part")
+    every = in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    follows = ends.where("edge = 'last'").select("part").select("part", F.coalesce(F.lead("part").over(in_order), F.first("part").over(every)).alias("next_part"))
+    starts = ends.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("body").alias("b"), F.col("fingerprint").alias("f"))
+    pairs = ends.where("edge = 'last'").join(follows, "part").join(starts, "next_part")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out = [_row(None if pd.isna(i) else int(i), *rest) for i, *rest in frame.itertuples(index=False)]
             yield _typed(pd.DataFrame(out, columns=names))
 
-    after = F.coalesce(F.col("after"), F.col("start"))
-    finished = pairs.select("doc_id", "body", "fingerprint", after["body"].alias("b"), after["fingerprint"].alias("f")).mapInPandas(finish, _COLUMNS)
+    finished = pairs.select("doc_id", "body", "fingerprint", "b", "f").mapInPandas(finish, _COLUMNS)
     return rows.where(F.col("edge").isNull()).select(*names).unionByName(finished)
 
 

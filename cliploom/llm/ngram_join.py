@@ -366,14 +366,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the large cells that still hold several components.
 
-    (cell, node, root, main, blocks, cells): ``main`` is the cell's largest component, ``cells`` all such
-    cells of the node.
+    (cell, node, root, main, blocks, asking, cells): ``main`` is the cell's largest component, ``blocks`` and
+    ``asking`` count the blocks of all members and of those outside it, ``cells`` are all such cells of the node.
     """
     placed = members.select(F.col("a").alias("cell"), F.col("b").alias("node")).join(labels, "node", "left")
     placed = placed.select("cell", "node", F.coalesce("root", "node").alias("root"))
     sizes = placed.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k"))
-    several = sizes.groupBy("cell").agg(F.max_by("root", "k").alias("main"), F.sum("k").alias("members"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    rows = stored(placed.join(several, "cell").select("cell", "node", "root", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "ngram-open")
+    several = sizes.groupBy("cell").agg(F.max_by("root", "k").alias("main"), F.sum("k").alias("members"), F.max("k").alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    deal = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = (deal(F.col("members")).alias("blocks"), deal(F.col("members") - F.col("largest")).alias("asking"))
+    rows = stored(placed.join(several, "cell").select("cell", "node", "root", "main", *counts), "ngram-open")
     return rows.join(rows.groupBy("node").agg(F.collect_list("cell").alias("cells")), "node")
 
 
@@ -381,22 +383,30 @@ def cross_links(rows: DataFrame, points: DataFrame, sets: DataFrame) -> DataFram
     """Links between members of a cell that are in different components.
 
     A cell's members are dealt to blocks; each block is a tree.  Members outside the main component
-    ask every block; what the tree leaves is verified on the full sets in the same task, so only links
-    come out.  A pair that shares several cells is tested in the first of them only, and once two
-    components have met in a task they are not compared again there.
+    are dealt to asking blocks too, and each of those asks every block in a group of its own, so that a
+    group holds about two blocks however large the cell is.  What the tree leaves is verified on the
+    full sets in the same task, so only links come out.  A pair that shares several cells is tested in
+    the first of them only, and once two components have met in a task they are not compared again there.
     """
     full = rows.join(points.select(F.col("a").alias("node"), "n", F.col("keys").alias("point")), "node").join(sets.select(F.col("a").alias("node"), "s"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     asks = F.col("root") != F.col("main")
-    every = F.when(asks, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    dealt = full.select("cell", "node", "root", "n", "point", "s", "cells", asks.alias("asks"), own.alias("own"), F.explode(every).alias("block"))
+    asker = F.when(asks, F.pmod(F.xxhash64("node", F.lit(1)), F.col("asking")).cast("int")).otherwise(-1)
+    # A member stands in its own block for every asking block, and asks every other block from its asking block.
+    stands = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda q: F.struct(F.col("own").alias("block"), q.alias("from")))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: t != F.col("own"))
+    asked = F.when(F.col("asker") >= 0, F.transform(others, lambda t: F.struct(t.alias("block"), F.col("asker").alias("from")))).otherwise(F.array())
+    dealt = full.select("cell", "node", "root", "n", "point", "s", "cells", own.alias("own"), asker.alias("asker"), "blocks", "asking").select(
+        "cell", "node", "root", "n", "point", "s", "cells", "own", "asker", F.inline(F.concat(stands, asked))
+    )
 
     def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         vectors = [_vector(p, n) for p, n in zip(frame["point"], frame["n"])]
         groups = min(map(len, vectors))
         points = np.stack([folded(v, groups) for v in vectors])
         sets = [np.frombuffer(s, np.uint64) for s in frame["s"]]
-        n, node, root, asking = (frame[c].to_numpy() for c in ("n", "node", "root", "asks"))
+        n, node, root, asker = (frame[c].to_numpy() for c in ("n", "node", "root", "asker"))
+        asking = asker == key[2]
         inside = np.flatnonzero(frame["own"].to_numpy() == key[1])
         earlier = [[c for c in cells if c < key[0]] for cells in frame["cells"]]
         place = {c: i for i, c in enumerate(sorted({c for cells in earlier for c in cells}))}
@@ -417,8 +427,8 @@ def cross_links(rows: DataFrame, points: DataFrame, sets: DataFrame) -> DataFram
             for q in np.flatnonzero(asking):
                 hit = inside[tree.search(points[q], n[q])]
                 hit = hit[(4 * np.minimum(n[hit], n[q]) >= 3 * np.maximum(n[hit], n[q])) & ~(shares[hit] & shares[q]).any(axis=1)]
-                # Two asking members of one block would meet twice.
-                hit = hit[~asking[hit] | (node[hit] < node[q]) | (frame["own"].to_numpy()[q] != key[1])]
+                # Two asking members would meet twice: here, or in the group where the other asks.
+                hit = hit[(asker[hit] < 0) | (node[hit] < node[q])]
                 hit = np.array([h for h in hit.tolist() if of(int(root[h])) != of(int(root[q]))], np.int64)
                 if len(hit):
                     linked = hit[may_link(overlaps(sets[q], [sets[h] for h in hit]), n[hit], n[q])]
@@ -428,7 +438,7 @@ def cross_links(rows: DataFrame, points: DataFrame, sets: DataFrame) -> DataFram
                             links.append((node[q], node[h]))
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    return dealt.groupBy("cell", "block").applyInPandas(search, "a long, b long")
+    return dealt.groupBy("cell", "block", "from").applyInPandas(search, "a long, b long")
 
 
 def linked(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Legacy ARC archives converted to WARC, written and read through Spark.
 
-Pages are first kept as ARC files: one file per input partition, version 1 or 2 by turns, a version
-block, then for each page a header line, the HTTP response of the declared length and a line end.
+Pages are first kept as ARC files: version 1 or 2 by turns of the input partition, a new file after
+FILE_CHUNKS chunks of CHUNK_CHARS characters, so that no archive outgrows a task; a version block, then for each page a header line, the HTTP response of the declared length and a line end.
 The converter reads the version block, parses header lines by that version's field list, and takes
 exactly the declared number of bytes; it never searches payloads for separators.  Each record
 becomes a WARC record: an id made from URL, date and digest, the 14-digit ARC date as a timestamp,
@@ -23,7 +23,7 @@ import gzip
 import hashlib
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import noted, scratch, sketch, stored
 
 LEAST = 100
+#: Text gathered in one output row, and such rows in one archive.
+CHUNK_CHARS, FILE_CHUNKS = 4_000_000, 16
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -57,6 +59,27 @@ def _unfold(url: str) -> str:
     return "".join(out)
 
 
+def _rolled(records: Iterable[str], head: str, separator: str, chars: int, chunks: int) -> Iterator[pd.DataFrame]:
+    """Rows of about ``chars`` characters; where the writer starts a file, each ``chunks`` rows, a row starts with ``head``."""
+    held, size, number = [], 0, 0
+
+    def row() -> pd.DataFrame:
+        return pd.DataFrame({"value": [separator.join([head] * (number % chunks == 0) + held)]})
+
+    for record in records:
+        held.append(record)
+        size += len(record)
+        if size >= chars:
+            yield row()
+            held, size, number = [], 0, number + 1
+    if held:
+        yield row()
+
+
+def _archives(rows: DataFrame, separator: str, path: str) -> None:
+    rows.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_CHUNKS).option("lineSep", separator).text(path)
+
+
 def _arc_head(version: int) -> str:
     line = "1 0 cliploom" if version == 1 else "2 0 cliploom"
     body = f"{line}\n{ARC_FIELDS[version]}\n"
@@ -76,15 +99,11 @@ def write_arc(pages: DataFrame, path: str) -> None:
     rows = pages.select(F.coalesce(F.col("page_id").cast("string"), F.lit("-")).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        version, first = 1 + TaskContext.get().partitionId() % 2, True
-        for frame in batches:
-            records = [_arc_record(version, *row) for row in frame.itertuples(index=False)]
-            if first and records:
-                records.insert(0, _arc_head(version))
-                first = False
-            yield pd.DataFrame({"value": records})
+        version = 1 + TaskContext.get().partitionId() % 2
+        records = (_arc_record(version, *row) for frame in batches for row in frame.itertuples(index=False))
+        yield from _rolled(records, _arc_head(version), "\n", CHUNK_CHARS, FILE_CHUNKS)
 
-    rows.mapInPandas(run, "value string").write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    _archives(rows.mapInPandas(run, "value string"), "\n", path)
 
 
 def _archive(content: bytes) -> BinaryIO:
@@ -178,12 +197,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         info = "WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 20\r\n\r\nsoftware: cliploom\r\n"
-        for number, frame in enumerate(batches):
-            records = [
-                _warc_record({"page_id": None if pd.isna(row.page_id) else int(row.page_id), "url": row.url, "date": row.date, "ip": row.ip, "http": row.http, "payload": row.payload}, None if pd.isna(row.refers_to) else int(row.refers_to))
-                for row in frame.itertuples(index=False)
-            ]
-            yield pd.DataFrame({"value": [info] * (number == 0) + records})
+        records = (
+            _warc_record({"page_id": None if pd.isna(row.page_id) else int(row.page_id), "url": row.url, "date": row.date, "ip": row.ip, "http": row.http, "payload": row.payload}, None if pd.isna(row.refers_to) else int(row.refers_to))
+            for frame in batches for row in frame.itertuples(index=False)
+        )
+        yield from _rolled(records, info, "\r\n\r\n", CHUNK_CHARS, FILE_CHUNKS)
 
     records = spark.read.format("binaryFile").load(arc_path).select("content").mapInPandas(
         parse, "page_id long, payload_digest string, url string, date string, ip string, http binary, payload binary"
@@ -193,7 +211,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     columns = ["page_id", "url", "date", "ip", "http", "payload", "refers_to"]
     first = marked.where("not noted").withColumn("refers_to", F.lit(None).cast("long")).select(*columns)
     joined = first.unionByName(marked.where("noted").join(again, ["page_id", "payload_digest"], "left").select(*columns))
-    joined.mapInPandas(write, "value string").write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(warc_path)
+    _archives(joined.mapInPandas(write, "value string"), "\r\n\r\n", warc_path)
 
 
 def _arc_frame(rows: list[tuple]) -> pd.DataFrame:
@@ -247,3 +265,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     write_arc(pages.select("page_id", "url", "html"), arc)
     convert(spark, arc, warc)
     return read_warc(spark, warc)
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest AS d, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f ON d = payload_digest
+"""

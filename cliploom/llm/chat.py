@@ -166,3 +166,20 @@ def with_control_conversation(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
     ).unionByName(extra)
+
+
+ORACLE = r"""
+WITH c AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY conv_id) AS turns, sum(
+      length('<|' || replace(replace(replace(role, '%', '%25'), '|', '%7C'), chr(10), '%0A') || '|>' || chr(10))
+      + length(text) + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\])')) + length('<|end|>' || chr(10))) OVER w AS prefix
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  coalesce(sum(prefix) FILTER (role = 'assistant' OR nth = turns), 0)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -80,4 +80,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op3_ngram_join": ngram_join.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op8_warc": warc.ORACLE, "op9_chat_formatting": chat.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, fingerprints, ngram_join, pii, quality, sharding, toxicity, warc
+from . import byte_bpe, chat, decontaminate, fingerprints, langid, merkle, ngram_join, pii, quality, sharding, toxicity, warc, whitening
 from .common import held_out, table
 
 
@@ -67,6 +67,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = langid.identified(docs.select("doc_id", "text"), langid.learn(docs))
+    return got.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -78,6 +92,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
+    "op11_whitening": op11_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_language_id": op13_language_id,
 }
 
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op8_warc": warc.ORACLE, "op9_chat_formatting": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op8_warc": warc.ORACLE, "op9_chat_formatting": chat.ORACLE, "op12_merkle_manifest": merkle.ORACLE}

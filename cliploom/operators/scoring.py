@@ -1,8 +1,8 @@
 """Scores of references against clips.
 
 Keyword scores come from an equi-join on exploded keys (an inverted index), so pairs that share
-nothing are never made; for the best matches only distinct tag signatures are joined.  The all-feature
-scores are asked for a stated set of references; that set is checked against a bound before it is
+nothing are never made; the best matches come from short lists under sets of words, whose number does
+not grow with the library.  The all-feature scores are asked for a stated set of references; that set is checked against a bound before it is
 broadcast, and the clips are spread over tasks by the number of pairs.
 """
 
@@ -40,30 +40,117 @@ def keyword_scores(references: DataFrame, clips: DataFrame, ref_key: str = "ref_
     return joined.groupBy(ref_key, clip_key).agg(F.least(F.lit(1.0), F.sum("weight") / 8.0).alias("base"))
 
 
-def best_matches(references: DataFrame, clips: DataFrame, k: int, ref_key: str = "ref_id", clip_key: str = "clip_id", only: str = "true") -> DataFrame:
-    """(ref, clip, base, rank): the k best clips of each reference by keyword score, smaller ids first,
-    of those that meet ``only`` (a condition on ``base``) and are not the reference itself.
+#: Words of a clip up to which all their subsets are keys; rows with more are joined by posting lists.
+SHORT = 6
+#: Parts in which the rows of one key are ranked before they meet.
+SALT = 32
 
-    Rows with equal tags have equal scores, so signatures are joined instead of rows.  A signature stands
-    under its smallest id; the k + 1 best clips of a reference lie in the k + 1 best signatures by score and that
-    id, and of each only its k + 1 smallest ids can be among them.  Work grows with the different signatures, and
-    rows only take part in joins that give k + 1 rows each.
+
+def _tagged(rows: DataFrame, key: str, *more: Column | str) -> DataFrame:
+    """(key, tags, words, category, ...): category and words in a canonical form, absent ones empty."""
+    none = F.array().cast("array<string>")
+    words = F.array_sort(F.array_distinct(F.concat(*[
+        F.transform(F.filter(F.coalesce(c, none), lambda w: w.isNotNull()), lambda w: F.concat(F.lit(k), w)) for k, c in (("u", "subjects"), ("e", "setting"))
+    ])))
+    kept = rows.select(key, F.coalesce("category", F.lit("")).alias("category"), words.alias("words"), *more)
+    return kept.withColumn("tags", F.concat_ws("\x1e", "category", F.array_join("words", "\x1e")))
+
+
+def _subsets(rows: DataFrame) -> DataFrame:
+    """Each row under every set of words it has, with its category and without: (..., found, units).
+
+    ``units`` is the score of a pair that shares just that: 1 a word, 3 the category.
+    """
+    each = rows.where(F.size("words") <= SHORT).withColumn("mask", F.explode(F.expr("sequence(0, shiftleft(1, size(words)) - 1)")))
+    chosen = F.filter("words", lambda w, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1)
+    each = each.withColumn("chosen", chosen)
+    both = F.array(F.struct(F.col("category").alias("c"), F.lit(3).alias("u")), F.struct(F.lit("").alias("c"), F.lit(0).alias("u")))
+    each = each.withColumn("with", F.explode(both)).where("with.c <> '' or with.u = 0").withColumn("units", F.size("chosen") + F.col("with.u")).where("units > 0")
+    return each.withColumn("found", F.concat_ws("\x1e", F.col("with.c"), F.array_join("chosen", "\x1e"))).drop("mask", "chosen", "with", "words")
+
+
+def reached(references: DataFrame, clips: DataFrame, bound: str, ref_key: str = "ref_id", clip_key: str = "clip_id", style: str | None = None, look: str | None = None) -> DataFrame:
+    """(tags, clip, units, depth): for the tags of the references, clips among which are the best ``bound`` + 1 of each.
+
+    A threshold scheme on subsets.  Clips are listed under every set of words they have, with and without
+    their category, and of a list only the smallest ids are kept: whoever stands behind ``bound`` + 1 clips
+    that share at least as much and have smaller ids is not among the best.  So a reference meets a
+    number of rows that depends on its words and its bound, and not on the library; the library's rows are
+    read once, with at most 2 ** (SHORT + 1) keys each.  Rows of more than SHORT words are joined word by word.
+
+    With ``style`` (an id of the style vector) and ``look`` (an id of its one-hot part) the lists also serve
+    a choice in which an unknown penalty lowers clips of up to two looks (see ``assign.continuous``): ``bound`` + 1
+    clips of each style are kept, until ``bound`` + 3 looks have been seen.
+    """
+    more = [c for c in (style, look) if c]
+    refs = _tagged(references, ref_key, F.col(bound).alias("depth"))
+    refs = refs.groupBy("tags", "category", "words").agg((F.max("depth") + 1).alias("depth"))
+    rows = _tagged(clips, clip_key, *more)
+    asked = _subsets(refs)
+    depths = asked.groupBy("found").agg(F.max("depth").alias("deepest"))
+    listed = _subsets(rows).drop("tags", "category", "units").join(depths, "found")
+    groups = ["found", style] if style else ["found"]
+    salt = F.pmod(F.xxhash64(clip_key), F.lit(SALT))
+    for extra in ([salt], []):
+        listed = listed.withColumn("nth", F.row_number().over(W.partitionBy(*groups, *extra).orderBy(clip_key))).where("nth <= deepest")
+    if style:
+        order = W.partitionBy("found").orderBy(clip_key)
+        fresh = (F.row_number().over(W.partitionBy("found", look).orderBy(clip_key)) == 1).cast("int")
+        listed = listed.withColumn("fresh", fresh).withColumn("looks", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        near = asked.join(listed.select("found", clip_key, "nth", "looks", style, look), "found").where("nth <= depth and looks <= depth + 2")
+    else:
+        near = asked.join(listed.select("found", clip_key, "nth"), "found").where("nth <= depth")
+    near = near.select("tags", clip_key, "units", "depth", *more)
+
+    long_refs, long_rows = refs.where(F.size("words") > SHORT), rows.where(F.size("words") > SHORT)
+    meet = lambda a, b: _shared_words(a.select("tags", "depth", "category", "words"), b.select(clip_key, "category", "words", *more), clip_key, more)
+    found = near.unionByName(meet(long_refs, rows)).unionByName(meet(refs.where(F.size("words") <= SHORT), long_rows))
+    found = found.groupBy("tags", clip_key, "depth", *more).agg(F.max("units").alias("units"))
+    if style:
+        # The same cut once more over all lists of a reference, the best first.
+        by = [F.desc("units"), F.col(clip_key)]
+        found = found.withColumn("nth", F.row_number().over(W.partitionBy("tags", style).orderBy(*by))).where("nth <= depth")
+        fresh = (F.row_number().over(W.partitionBy("tags", look).orderBy(*by)) == 1).cast("int")
+        seen = F.sum("fresh").over(W.partitionBy("tags").orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
+        found = found.withColumn("fresh", fresh).withColumn("looks", seen).where("looks <= depth + 2").drop("nth", "fresh", "looks")
+    return found
+
+
+def _shared_words(refs: DataFrame, rows: DataFrame, clip_key: str, more: list[str]) -> DataFrame:
+    """(tags, clip, units, depth, ...) by posting lists: one row for each shared word or category, added up."""
+    item = lambda value, units: F.struct(value.alias("value"), F.lit(units).alias("units"))
+    entries = F.filter(F.concat(F.array(item(F.concat(F.lit("c"), "category"), 3)), F.transform("words", lambda w: item(w, 1))), lambda x: x["value"] != "c")
+    left = refs.select("tags", "depth", F.explode(entries).alias("k")).select("tags", "depth", "k.*")
+    right = rows.select(clip_key, *more, F.explode(entries).alias("k")).select(clip_key, *more, F.col("k.value").alias("value"))
+    return left.join(right, "value").groupBy("tags", clip_key, "depth", *more).agg(F.sum("units").cast("int").alias("units")).select("tags", clip_key, "units", "depth", *more)
+
+
+def best_matches(references: DataFrame, clips: DataFrame, k: int, ref_key: str = "ref_id", clip_key: str = "clip_id", least: float = 0.0) -> DataFrame:
+    """(ref, clip, base, rank): the k best clips of each reference by keyword score above 0 and at least
+    ``least``, smaller ids first, without the reference itself.
+
+    Rows with equal tags have equal scores, so tags are matched (see ``reached``), the best k + 1 of each
+    are kept, and a reference then leaves out itself.
     """
-    tags = F.concat_ws("\x1f", "category", *[F.array_join(F.array_sort(F.array_distinct(c)), "\x1e") for c in ("subjects", "setting")])
-    kept = lambda rows, key: rows.select(key, "category", "subjects", "setting", tags.alias("tags"))
-    first = lambda c: F.first(c).alias(c)
-    refs = kept(references, ref_key)
-    ref_tags = refs.groupBy("tags").agg(F.min(ref_key).alias("ref_sig"), first("category"), first("subjects"), first("setting"))
-    nth = F.row_number().over(W.partitionBy("tags").orderBy(clip_key))
-    near = kept(clips, clip_key).withColumn("nth", nth).where(F.col("nth") <= k + 1)
-    clip_tags = near.groupBy("tags").agg(F.array_sort(F.collect_list(clip_key)).alias("ids"), first("category"), first("subjects"), first("setting")).withColumn("clip_sig", F.get("ids", F.lit(0)))
-    scores = keyword_scores(ref_tags, clip_tags, "ref_sig", "clip_sig").where(only)
-    best = top_k(scores, "ref_sig", "base", k + 1, F.col("clip_sig")).drop("rank").join(clip_tags.select("clip_sig", "ids"), "clip_sig")
-    each = top_k(best.select("ref_sig", "base", F.explode("ids").alias(clip_key)), "ref_sig", "base", k + 1, F.col(clip_key)).drop("rank")
-    pairs = refs.select(ref_key, "tags").join(ref_tags.select("tags", "ref_sig"), "tags").join(each, "ref_sig").where(F.col(ref_key) != F.col(clip_key))
+    asked = references.withColumn("_bound", F.lit(k))
+    scores = reached(asked, clips, "_bound", ref_key, clip_key).select("tags", clip_key, F.least(F.lit(1.0), F.col("units") / 8.0).alias("base")).where(F.col("base") >= least)
+    best = top_k(scores, "tags", "base", k + 1, F.col(clip_key)).drop("rank")
+    pairs = _tagged(references, ref_key).select(ref_key, "tags").join(best, "tags").where(F.col(ref_key) != F.col(clip_key))
     return top_k(pairs.select(ref_key, clip_key, "base"), ref_key, "base", k, F.col(clip_key))
 
 
+def candidates(references: DataFrame, clips: DataFrame, bound: str, ref_key: str, clip_key: str = "clip_id", style: str | None = None, look: str | None = None) -> DataFrame:
+    """(ref, clip, score, and the style if asked): enough clips for every reference to serve ``bound`` of them, whatever other picks take."""
+    near = reached(references, clips, bound, ref_key, clip_key, style, look)
+    base = F.least(F.lit(1.0), F.col("units") / 8.0).alias("score")
+    own = _tagged(references, ref_key, F.col(bound).alias("own")).select(ref_key, "tags", "own")
+    if style is not None:
+        return own.join(near.select("tags", clip_key, base, style), "tags").where(F.col(ref_key) != F.col(clip_key)).select(ref_key, clip_key, "score", style)
+    # Of equal tags the deepest bound was served; a reference takes its own.
+    near = near.withColumn("nth", F.row_number().over(W.partitionBy("tags").orderBy(base.desc(), clip_key))).where("nth <= depth")
+    return own.join(near.select("tags", clip_key, base, "nth"), "tags").where("nth <= own + 1").where(F.col(ref_key) != F.col(clip_key)).select(ref_key, clip_key, "score")
+
+
 def top_k(scores: DataFrame, group: str, score: str, k: int, *ties: Column) -> DataFrame:
     """The k best rows of each group; ties as given.  The rank limit is pushed below the shuffle."""
     order = W.partitionBy(group).orderBy(F.desc(score), *ties)

@@ -298,14 +298,19 @@ def ag13_ag14_same_style(spark, sf_dir):
     return pairs.select("ref_id", "clip_id", F.round(A.cosine("a", "b"), 6).alias("similarity"))
 
 
-def _job_candidates(spark, sf_dir, per_span=1):
-    """Candidates of every span: the keyword scores of its reference clip's best, as many as its largest job can take."""
+def _styled(clips):
+    """Clips with their style vector, an id of it, and an id of its one-hot part."""
+    look = F.concat_ws("|", "shot_type", "camera_motion", "depth_of_field")
+    return clips.withColumn("vector", A.style_vector()).withColumns({"style": F.xxhash64("vector"), "look": look})
+
+
+def _job_candidates(spark, sf_dir, per_span=1, styled=False):
+    """Candidates of every span: of its reference clip's best, as many as the largest job of that clip can take."""
     clips, spans = view(spark, sf_dir, "clips"), view(spark, sf_dir, "spans").select("job_id", "span_idx", "ref_clip_id")
     sizes = spans.groupBy("job_id").agg((F.countDistinct("span_idx") * per_span).alias("bound"))
     bounds = spans.join(sizes, "job_id").groupBy("ref_clip_id").agg(F.max("bound").alias("bound"))
-    most = bounds.agg(F.max("bound")).head()[0] or 1
-    ranked = J.best_matches(clips.withColumnRenamed("clip_id", "ref_clip_id"), clips, most, "ref_clip_id")
-    best = ranked.join(bounds, "ref_clip_id").where("rank <= bound").select("ref_clip_id", "clip_id", F.col("base").alias("score"))
+    asked = clips.withColumnRenamed("clip_id", "ref_clip_id").join(bounds, "ref_clip_id")
+    best = J.candidates(asked, _styled(clips) if styled else clips, "bound", "ref_clip_id", "clip_id", *(("style", "look") if styled else ()))
     return spans.join(best, "ref_clip_id")
 
 
@@ -314,6 +319,13 @@ def wn14_greedy_assignment(spark, sf_dir):
     return G.greedy(_job_candidates(spark, sf_dir))
 
 
+@query()
+def wn14_wn16_continuous_assignment(spark, sf_dir):
+    """The tax on repeated looks decides the picks; the penalty column says which picks were made in spite of it."""
+    styles = _styled(view(spark, sf_dir, "clips")).select("style", "vector")
+    return G.continuous(_job_candidates(spark, sf_dir, 2, styled=True), styles, per_span=2)
+
+
 @query()
 def wn16_continuity(spark, sf_dir):
     clips = view(spark, sf_dir, "clips").select("clip_id", A.style_vector().alias("v"))
@@ -336,11 +348,11 @@ def wn15_confident_pick(spark, sf_dir):
 
 
 @query(duck("clips") + ", " + _BASE_SQL + """, one AS (SELECT ref_id, clip_id, rank, 0 AS rung FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY base DESC, clip_id) AS rank FROM base) WHERE rank <= 2 AND base >= 0.5),
- two AS (SELECT ref_id, clip_id, rank, 1 AS rung FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY base DESC, clip_id) AS rank FROM base WHERE base < 0.5) WHERE rank <= 3), u AS (SELECT * FROM one UNION ALL SELECT * FROM two)
+ two AS (SELECT ref_id, clip_id, rank, 1 AS rung FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY base DESC, clip_id) AS rank FROM base) WHERE rank <= 3), u AS (SELECT * FROM one UNION ALL SELECT * FROM two)
  SELECT ref_id, clip_id, rung, place FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY rung, rank, clip_id) AS place FROM u) WHERE place <= 3""")
 def wn17_ladder_fill(spark, sf_dir):
+    """Strong matches first, then the best of all, up to three rows."""
     clips = view(spark, sf_dir, "clips")
     refs = clips.withColumnRenamed("clip_id", "ref_id")
-    one = J.best_matches(refs, clips, 2, only="base >= 0.5")
-    two = J.best_matches(refs, clips, 3, only="base < 0.5")
-    return G.ladder([r.select("ref_id", "clip_id", "rank") for r in (one, two)], "ref_id", 3).select("ref_id", "clip_id", "rung", "place")
+    rungs = [J.best_matches(refs, clips, 2, least=0.5), J.best_matches(refs, clips, 3)]
+    return G.ladder([r.select("ref_id", "clip_id", "rank") for r in rungs], "ref_id", 3).select("ref_id", "clip_id", "rung", "place")

@@ -6,7 +6,7 @@ $ % + only) and plain lower-casing for learning.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +33,12 @@ def window_tokens(text: Column) -> Column:
     return F.filter(F.split(window_text(text), " +"), lambda t: t != "")
 
 
-def _marks(text: Column) -> Column:
+def marks(text: Column) -> Column:
     count = lambda sign: F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
     return 1.5 * count("?") + 1.0 * count("!")
 
 
-def _numbers(text: Column) -> Column:
+def numbers(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
 
 
@@ -93,12 +93,31 @@ def prepared(df: DataFrame, text: str) -> tuple[DataFrame, Prepared]:
     return out, Prepared(*[F.col(f"{name}.{c}") for c in ("text", "normal", "tokens", "window", "window_tokens")])
 
 
+@dataclass(frozen=True)
+class Profile:
+    """Weights of terms and phrases: the defaults overridden by learned ones, and learned openings."""
+
+    terms: dict[str, float] = field(default_factory=lambda: dict(S.TERM_WEIGHTS))
+    phrases: dict[str, float] = field(default_factory=lambda: dict(S.PHRASE_WEIGHTS))
+    opening_terms: dict[str, float] = field(default_factory=dict)
+    opening_phrases: dict[str, float] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, learned: DataFrame) -> Profile:
+        """From ``aggregates.learned_profile``: (part, gram, weight), 140 rows at most."""
+        parts: dict[str, dict[str, float]] = {}
+        for r in learned.select("part", "gram", "weight").orderBy("part", "gram").collect():
+            parts.setdefault(r["part"], {})[r["gram"].lower()] = float(r["weight"])
+        known = lambda name: parts.get(name, {})
+        return cls(dict(S.TERM_WEIGHTS) | known("terms"), dict(S.PHRASE_WEIGHTS) | known("phrases"), known("opening_terms"), known("opening_phrases"))
+
+
 def score_text(t: Prepared, terms: dict[str, float] = S.TERM_WEIGHTS, phrases: dict[str, float] = S.PHRASE_WEIGHTS) -> Column:
     """Dictionary score of a text; 0 without tokens.  A token has no apostrophe, so "don't" never counts."""
     some = lambda *words: F.arrays_overlap(t.tokens, F.array(*map(F.lit, words)))
     score = (
-        F.least(F.size(t.tokens), F.lit(80)) / 55.0 + term_sum(t.tokens, terms) + phrase_sum(t.normal, phrases) + 2.8 * _numbers(t.normal)
-        + _marks(t.text) + F.when(some("but", "however", "actually", "instead"), 1.6).otherwise(0.0)
+        F.least(F.size(t.tokens), F.lit(80)) / 55.0 + term_sum(t.tokens, terms) + phrase_sum(t.normal, phrases) + 2.8 * numbers(t.normal)
+        + marks(t.text) + F.when(some("but", "however", "actually", "instead"), 1.6).otherwise(0.0)
         + F.when(some("never", "wrong", "bullshit"), 2.2).otherwise(0.0)
     )
     return F.when(F.size(t.tokens) > 0, score).otherwise(0.0)
@@ -112,7 +131,7 @@ def score_opening(t: Prepared, terms: dict[str, float] | None = None, phrases: d
 def viral_score(t: Prepared, dictionary: Column | None = None) -> Column:
     """Window score; ``dictionary`` is the text's dictionary score if it is at hand."""
     hooks = F.size(F.filter(t.window_tokens, lambda w: w.isin(*S.HOOK_WORDS)))
-    return F.size(t.window_tokens) / 50.0 + 2.0 * hooks + 2.5 * _numbers(t.window) + _marks(t.text) + (score_text(t) if dictionary is None else dictionary)
+    return F.size(t.window_tokens) / 50.0 + 2.0 * hooks + 2.5 * numbers(t.window) + marks(t.text) + (score_text(t) if dictionary is None else dictionary)
 
 
 def starts_with_hook(t: Prepared, opening_terms: tuple[str, ...] = ()) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cliploom import schema as S
+from cliploom.functions.text import WORD, profile_text
 
 MERGE_CAPS = {"subjects": 4, "setting": 2, "action": 2, "mood": 3, "color_palette": 3}
 
@@ -83,15 +86,51 @@ def ngram_counts(tokens: DataFrame, size: int, key: str = "asset_id") -> DataFra
     return ends.groupBy(F.array_join("g", " ").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def weighted_terms(counts: DataFrame, take: int = 80, keep: int = 45, base: float = 1.5, step: float = 0.35, bonus: float = 2.5, cap: int = 8) -> DataFrame:
+def weighted_terms(counts: DataFrame, take: int = 80, keep: int = 45, base: float = 1.5, step: float = 0.35, bonus: float = 2.5, cap: int = 8, seeds: tuple[str, ...] = S.SEED_WORDS) -> DataFrame:
     """Weights of the most frequent terms; short terms that are no numbers drop out."""
-    seeds = list(S.TERM_WEIGHTS)
     number = F.col("gram").rlike(r"^\$?[0-9][0-9,.]*(?:k|m|b|%|x|\+)?$")
     top = counts.orderBy(F.desc("n"), "gram").limit(take).where((F.length("gram") > 2) | number)
-    weight = base + F.least(F.col("n"), F.lit(cap)) * step + F.when(F.col("gram").isin(seeds) | number, bonus).otherwise(0.0)
+    weight = base + F.least(F.col("n"), F.lit(cap)) * step + F.when(F.col("gram").isin(*seeds) | number, bonus).otherwise(0.0)
     return top.select("gram", "n", F.bround(weight, 2).alias("weight")).orderBy(F.desc("weight"), F.desc("n"), "gram").limit(keep)
 
 
+def weighted_phrases(counts: DataFrame, take: int = 120, keep: int = 35, base: float = 2.0, step: float = 0.5, bonus: float = 2.0, cap: int = 6, seeds: tuple[str, ...] = S.SEED_WORDS) -> DataFrame:
+    """Weights of the most frequent phrases; one that was met once stays only if it holds a seed word."""
+    seeded = F.greatest(*[F.col("gram").contains(seed) for seed in seeds])
+    top = counts.orderBy(F.desc("n"), "gram").limit(take).where((F.col("n") >= 2) | seeded)
+    weight = base + F.least(F.col("n"), F.lit(cap)) * step + F.when(seeded, bonus).otherwise(0.0)
+    return top.select("gram", "n", F.bround(weight, 2).alias("weight")).orderBy(F.desc("weight"), F.desc("n"), "gram").limit(keep)
+
+
+#: Words of a text that count as its opening when a profile is learned.
+OPENING_WORDS = 28
+
+
+def learned_profile(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(part, gram, n, weight): terms, phrases, opening_terms and opening_phrases of a corpus.
+
+    Phrases have two or three tokens; openings are the first 28 words.  At most 45, 35, 35 and 25 rows.
+    """
+    opening = F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, OPENING_WORDS), " ")
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    whole, first = (texts.select(tokens(c).alias("tokens")) for c in (F.coalesce(F.col(text), F.lit("")), F.coalesce(opening, F.lit(""))))
+    phrases = lambda rows: ngram_counts(rows, 2).unionByName(ngram_counts(rows, 3))
+    parts = {
+        "terms": weighted_terms(ngram_counts(whole, 1)), "phrases": weighted_phrases(phrases(whole)),
+        "opening_terms": weighted_terms(ngram_counts(first, 1), 80, 35, 1.2, 0.45, 1.8), "opening_phrases": weighted_phrases(phrases(first), 100, 25, 1.8, 0.55, 1.6),
+    }
+    return reduce(lambda a, b: a.unionByName(b), [rows.withColumn("part", F.lit(name)) for name, rows in parts.items()])
+
+
+def opening_from_records(records: DataFrame, opening: str = "opening") -> DataFrame:
+    """(part, gram, n, weight) of the two opening parts, rebuilt from the openings kept in a profile's records."""
+    tokens = records.select(F.regexp_extract_all(profile_text(F.coalesce(F.col(opening), F.lit(""))), F.lit(WORD), F.lit(0)).alias("tokens"))
+    known = tuple(S.TERM_WEIGHTS)
+    terms = weighted_terms(ngram_counts(tokens, 1), 80, 35, 1.2, 0.45, 1.8, seeds=known).withColumn("part", F.lit("opening_terms"))
+    phrases = weighted_phrases(ngram_counts(tokens, 2).unionByName(ngram_counts(tokens, 3)), 80, 25, 1.8, 0.55, 1.6, seeds=known)
+    return terms.unionByName(phrases.withColumn("part", F.lit("opening_phrases")))
+
+
 def merged_dictionary(defaults: DataFrame, learned: DataFrame) -> DataFrame:
     """Default weights overridden key by key by the learned ones."""
     a, b = defaults.select(F.lower("term").alias("term"), F.col("weight").alias("d")), learned.select(F.lower("term").alias("term"), F.col("weight").alias("l"))

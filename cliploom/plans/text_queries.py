@@ -99,13 +99,77 @@ def wn12_candidate_starts(spark, sf_dir):
     return T.candidate_starts(view(spark, sf_dir, "words"), 15.0, view(spark, sf_dir, "segments")).select("asset_id", "lo")
 
 
-@query(_NEAR + f""", w AS (SELECT asset_id, lo, least(duration, lo + 15.0) AS hi FROM st), o AS (SELECT asset_id, lo, hi, least(hi, lo + greatest(2.5, least(4.0, (hi - lo) * 0.35))) AS mid FROM w),
- whole AS (SELECT o.asset_id, o.lo, o.hi, string_agg(x.word, ' ' ORDER BY x.pos) AS t FROM o JOIN words x ON x.asset_id = o.asset_id AND x.end_s > o.lo AND x.start_s < o.hi GROUP BY 1, 2, 3),
- op AS (SELECT o.asset_id, o.lo, string_agg(x.word, ' ' ORDER BY x.pos) AS t FROM o JOIN words x ON x.asset_id = o.asset_id AND x.end_s > o.lo AND x.start_s < o.mid GROUP BY 1, 2),
- sc AS (SELECT whole.asset_id, whole.lo, whole.hi, round({_viral('whole.t')} + CASE WHEN op.t IS NULL THEN 0.0 ELSE 1.15 * {_viral('op.t')} + 1.65 * 0.65 * {_text_score('op.t')} + (CASE WHEN {_hooked('op.t')} THEN 4.0 ELSE 0.0 END) END, 6) AS score FROM whole LEFT JOIN op ON op.asset_id = whole.asset_id AND op.lo = whole.lo)
+_PART_COUNTS = {"terms": (1, 80, 45, 1.5, 0.35, 8, 2.5), "phrases": (2, 120, 35, 2.0, 0.5, 6, 2.0), "opening_terms": (1, 80, 35, 1.2, 0.45, 8, 1.8), "opening_phrases": (2, 100, 25, 1.8, 0.55, 6, 1.6)}
+
+
+def _learned_sql() -> str:
+    """Named tables ``p_terms`` to ``p_opening_phrases``(gram, n, weight) of a profile learned from the documents."""
+    stop = _IN(S.STOP_WORDS)
+    first = "array_to_string([w for w in regexp_split_to_array(text, '\\s+') if w <> ''][1:28], ' ')"
+    tables = [f"lw AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9$%+-]+') AS l FROM documents)", f"lo AS (SELECT regexp_extract_all(lower(coalesce({first}, '')), '[a-z0-9$%+-]+') AS l FROM documents)"]
+    for name, (size, take, keep, base, step, cap, bonus) in _PART_COUNTS.items():
+        source = "lo" if name.startswith("opening") else "lw"
+        if size == 1:
+            grams, met = f"SELECT unnest(l) AS gram FROM {source}", f"gram NOT IN {stop}"
+            seeded, kept = f"gram IN {_IN(S.SEED_WORDS)} OR regexp_full_match(gram, '{_NUM}')", f"len(gram) > 2 OR regexp_full_match(gram, '{_NUM}')"
+        else:
+            each = lambda k: f"SELECT array_to_string(l[i:i + {k - 1}], ' ') AS gram, l[i] AS a, l[i + {k - 1}] AS z FROM (SELECT l, unnest(range(1, len(l) - {k - 2})) AS i FROM {source})"
+            grams, met = f"{each(2)} UNION ALL {each(3)}", f"a NOT IN {stop} AND z NOT IN {stop}"
+            seeded = " OR ".join(f"contains(gram, '{w}')" for w in S.SEED_WORDS)
+            kept = f"n >= 2 OR {seeded}"
+        tables += [
+            f"c_{name} AS (SELECT gram, count(*) AS n FROM ({grams}) WHERE {met} GROUP BY 1 ORDER BY n DESC, gram LIMIT {take})",
+            f"p_{name} AS (SELECT gram, n, round_even({base} + least(n, {cap}) * {step} + CASE WHEN {seeded} THEN {bonus} ELSE 0 END, 2) AS weight FROM c_{name} WHERE {kept} ORDER BY weight DESC, n DESC, gram LIMIT {keep})",
+        ]
+    return ", ".join(tables)
+
+
+@query(f"WITH {_learned_sql()} " + " UNION ALL ".join(f"SELECT '{name}' AS part, gram, n, weight FROM p_{name}" for name in _PART_COUNTS))
+def ag8_ag9_learned_profile(spark, sf_dir):
+    return A.learned_profile(view(spark, sf_dir, "documents")).select("part", "gram", "n", "weight")
+
+
+@query(f"""WITH r AS (SELECT regexp_extract_all({_normal("array_to_string([w for w in regexp_split_to_array(text, '\\s+') if w <> ''][1:28], ' ')")}, '[a-z0-9$%+-]+') AS l FROM documents),
+ c AS (SELECT gram, count(*) AS n FROM (SELECT unnest(l) AS gram FROM r) WHERE gram NOT IN {_IN(S.STOP_WORDS)} GROUP BY 1 ORDER BY n DESC, gram LIMIT 80),
+ t AS (SELECT gram, n, round_even(1.2 + least(n, 8) * 0.45 + CASE WHEN gram IN {_IN(S.TERM_WEIGHTS)} OR regexp_full_match(gram, '{_NUM}') THEN 1.8 ELSE 0 END, 2) AS weight FROM c WHERE len(gram) > 2 OR regexp_full_match(gram, '{_NUM}') ORDER BY weight DESC, n DESC, gram LIMIT 35),
+ g AS (SELECT l[i] || ' ' || l[i + 1] AS gram, l[i] AS a, l[i + 1] AS z FROM (SELECT l, unnest(range(1, len(l))) AS i FROM r) UNION ALL SELECT l[i] || ' ' || l[i + 1] || ' ' || l[i + 2], l[i], l[i + 2] FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM r)),
+ d AS (SELECT gram, count(*) AS n FROM g WHERE a NOT IN {_IN(S.STOP_WORDS)} AND z NOT IN {_IN(S.STOP_WORDS)} GROUP BY 1 ORDER BY n DESC, gram LIMIT 80),
+ p AS (SELECT gram, n, round_even(1.8 + least(n, 6) * 0.55 + CASE WHEN {" OR ".join(f"contains(gram, '{w}')" for w in S.TERM_WEIGHTS)} THEN 1.6 ELSE 0 END, 2) AS weight FROM d WHERE n >= 2 OR {" OR ".join(f"contains(gram, '{w}')" for w in S.TERM_WEIGHTS)} ORDER BY weight DESC, n DESC, gram LIMIT 25)
+ SELECT 'opening_terms' AS part, gram, n, weight FROM t UNION ALL SELECT 'opening_phrases', gram, n, weight FROM p""")
+def ag17_openings_from_records(spark, sf_dir):
+    """The opening maps of a profile that kept its records only: the first 28 words of each text."""
+    opening = F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, A.OPENING_WORDS), " ")
+    return A.opening_from_records(view(spark, sf_dir, "documents").select(opening.alias("opening"))).select("part", "gram", "n", "weight")
+
+
+#: Transcripts of two kinds: documents have words, conversations (under ids of their own, too) segments only.
+_SILENT = 1_000_000_000
+_HEARD = duck("words", "segments") + f""", seg AS (SELECT * FROM segments UNION ALL SELECT asset_id + {_SILENT}, seg_idx, start_s, end_s, text FROM segments),
+ items AS (SELECT asset_id, pos, start_s, end_s, trim(word) AS word FROM words WHERE trim(word) <> '' UNION ALL SELECT asset_id, seg_idx, start_s, end_s, trim(text) FROM seg WHERE trim(text) <> '' AND asset_id NOT IN (SELECT asset_id FROM words)),
+ len AS (SELECT asset_id, max(end_s) AS duration FROM items GROUP BY 1), num AS (SELECT asset_id, start_s, row_number() OVER (PARTITION BY asset_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY asset_id) AS n FROM words),
+ beg AS (SELECT asset_id, start_s FROM num WHERE (i - 1) % greatest(1, n // 80) = 0 UNION ALL SELECT asset_id, start_s FROM seg),
+ st AS (SELECT asset_id, duration, 0.0 AS lo FROM len UNION SELECT beg.asset_id, duration, round_even(greatest(0.0, least(start_s, greatest(0.0, duration - 15.0))), 2) FROM beg JOIN len ON len.asset_id = beg.asset_id)"""
+
+
+def _opening_sql(t: str) -> str:
+    """Opening score with the learned terms and phrases in ``m``."""
+    return f"""(CASE WHEN len({_tokens(t)}) = 0 THEN 0.0 ELSE coalesce(list_sum([coalesce(m.terms[x], 0.0) for x in {_tokens(t)}]), 0.0) + coalesce(list_sum([CASE WHEN contains({_normal(t)}, g) THEN m.phrases[g] ELSE 0.0 END for g in map_keys(m.phrases)]), 0.0) + 0.65 * {_text_score(t)} END)"""
+
+
+@query(_HEARD + f""", {_learned_sql()}, m AS (SELECT (SELECT map(list(gram), list(weight)) FROM p_opening_terms) AS terms, (SELECT map(list(gram), list(weight)) FROM p_opening_phrases) AS phrases),
+ w AS (SELECT asset_id, lo, least(duration, lo + 15.0) AS hi FROM st), o AS (SELECT asset_id, lo, hi, least(hi, lo + greatest(2.5, least(4.0, (hi - lo) * 0.35))) AS mid FROM w),
+ whole AS (SELECT o.asset_id, o.lo, string_agg(x.word, ' ' ORDER BY x.pos) AS t FROM o JOIN items x ON x.asset_id = o.asset_id AND x.end_s > o.lo AND x.start_s < o.hi GROUP BY 1, 2),
+ op AS (SELECT o.asset_id, o.lo, string_agg(x.word, ' ' ORDER BY x.pos) AS t FROM o JOIN items x ON x.asset_id = o.asset_id AND x.end_s > o.lo AND x.start_s < o.mid GROUP BY 1, 2),
+ sc AS (SELECT o.asset_id, o.lo, o.hi, round(CASE WHEN whole.t IS NULL THEN 0.0 ELSE {_viral('whole.t')} END + CASE WHEN op.t IS NULL THEN 0.0 ELSE 1.15 * {_viral('op.t')} + 1.65 * {_opening_sql('op.t')}
+   + (CASE WHEN {_hooked('op.t')} OR len([x for x in {_window_tokens('op.t')}[1:8] if list_contains(map_keys(m.terms), x)]) > 0 THEN 4.0 ELSE 0.0 END) END, 6) AS score
+  FROM o CROSS JOIN m LEFT JOIN whole ON whole.asset_id = o.asset_id AND whole.lo = o.lo LEFT JOIN op ON op.asset_id = o.asset_id AND op.lo = o.lo)
  SELECT asset_id, lo, hi, score FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY score DESC, lo) AS r FROM sc) WHERE r = 1""")
 def wn13_best_window(spark, sf_dir):
-    return T.best_windows(view(spark, sf_dir, "words"), segments=view(spark, sf_dir, "segments"))
+    """Strongest windows of all transcripts under a profile whose openings are learned from the documents."""
+    segments = view(spark, sf_dir, "segments")
+    segments = segments.unionByName(segments.withColumn("asset_id", F.col("asset_id") + _SILENT))
+    learned = A.learned_profile(view(spark, sf_dir, "documents")).where("part like 'opening%'")
+    return T.best_windows(view(spark, sf_dir, "words"), segments=segments, profile=X.Profile.of(learned))
 
 
 @query(duck("words") + """, d AS (SELECT asset_id, max(end_s) AS duration FROM words GROUP BY 1), w AS (SELECT asset_id, duration / 3 AS lo, duration / 3 + 10.0 AS hi FROM d)
@@ -179,7 +243,7 @@ def ag8_phrase_counts(spark, sf_dir):
 
 
 _TOP80 = f"""WITH {_GRAMS}, g AS (SELECT unnest(l) AS gram FROM t), c AS (SELECT gram, count(*) AS n FROM g WHERE gram NOT IN {_STOP} GROUP BY 1 ORDER BY n DESC, gram LIMIT 80),
- w AS (SELECT gram, n, round_even(1.5 + least(n, 8) * 0.35 + CASE WHEN gram IN {_IN(S.TERM_WEIGHTS)} OR regexp_full_match(gram, '{_NUM}') THEN 2.5 ELSE 0 END, 2) AS weight FROM c WHERE len(gram) > 2 OR regexp_full_match(gram, '{_NUM}'))"""
+ w AS (SELECT gram, n, round_even(1.5 + least(n, 8) * 0.35 + CASE WHEN gram IN {_IN(S.SEED_WORDS)} OR regexp_full_match(gram, '{_NUM}') THEN 2.5 ELSE 0 END, 2) AS weight FROM c WHERE len(gram) > 2 OR regexp_full_match(gram, '{_NUM}'))"""
 
 
 @query(_TOP80 + " SELECT gram, n, weight FROM w ORDER BY weight DESC, n DESC, gram LIMIT 45")

@@ -72,6 +72,13 @@ PHRASE_WEIGHTS = {
     "secret technique": 3.5, "faster horses": 3.5, "built amazon": 3.0, "built apple": 3.0, "built the iphone": 3.0,
     "don't ask customers": 3.0,
 }
+# Words that mark learned terms and phrases as hooks.
+SEED_WORDS = (
+    "secret", "rule", "technique", "mistake", "hidden", "revealed", "never", "wrong", "truth", "bullshit", "kill", "kills", "ai",
+    "money", "million", "billion", "trillion", "startup", "founder", "company", "amazon", "apple", "iphone", "bezos", "musk",
+    "jobs", "ford",
+)
+# Words that no learned term is and no learned phrase begins or ends with.
 STOP_WORDS = (
     "a", "about", "after", "all", "an", "and", "are", "as", "at", "be", "because", "but", "by", "can", "did", "do", "does",
     "for", "from", "had", "has", "have", "he", "her", "his", "i", "if", "in", "is", "it", "its", "just", "like", "not", "of",

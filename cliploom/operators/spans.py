@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,29 +25,59 @@ def shot_cuts(frames: DataFrame) -> DataFrame:
     return frames.withColumn("is_cut", F.coalesce(distance(feat, F.lag(feat).over(order)) >= CUT, F.lit(False)))
 
 
-def primary_flags(frames: DataFrame) -> DataFrame:
-    """(video_id, frame_idx, is_primary): near the centre of the largest leader cluster.
+class _Leaders:
+    """Leader clusters of one video, fed frame by frame: unit centres, sums and counts."""
+
+    def __init__(self, width: int):
+        self.centres, self.sums, self.counts = np.zeros((0, width)), np.zeros((0, width)), np.zeros(0, np.int64)
+
+    def add(self, frame: np.ndarray) -> None:
+        if len(self.centres):
+            gaps = np.sqrt(((self.centres - frame) ** 2).sum(axis=1))
+            k = int(gaps.argmin())
+            if gaps[k] < NEAR:
+                self.sums[k] += frame
+                self.counts[k] += 1
+                mean = self.sums[k] / self.counts[k]
+                self.centres[k] = mean / (np.linalg.norm(mean) or 1)
+                return
+        self.centres, self.sums = np.vstack([self.centres, frame]), np.vstack([self.sums, frame])
+        self.counts = np.append(self.counts, 1)
+
+    def centre(self) -> list[float]:
+        return self.centres[int(self.counts.argmax())].tolist()
 
-    Clusters depend on frame order, so a video is one group; its frames are bounded by its length.
+
+def primary_centres(frames: DataFrame) -> DataFrame:
+    """(video_id, centre): the centre of the largest leader cluster of each video, the first on ties.
+
+    Clusters depend on the order of frames.  Videos are dealt by id and sorted; a task goes through its frames
+    batch by batch and carries the clusters of the open video, never its frames.
     """
+    rows = frames.select("video_id", "frame_idx", F.col("feat").cast("array<double>").alias("feat")).repartition("video_id").sortWithinPartitions("video_id", "frame_idx")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, open_, out = None, None, []
+        for frame in batches:
+            for name, feat in zip(frame["video_id"].tolist(), frame["feat"]):
+                feat = np.asarray(feat, np.float64)
+                if open_ is None or name != video:
+                    if open_ is not None:
+                        out.append((video, open_.centre()))
+                    video, open_ = name, _Leaders(len(feat))
+                open_.add(feat)
+            yield pd.DataFrame(out, columns=["video_id", "centre"])
+            out = []
+        if open_ is not None:
+            yield pd.DataFrame([(video, open_.centre())], columns=["video_id", "centre"])
+
+    return rows.mapInPandas(run, f"video_id {rows.schema['video_id'].dataType.simpleString()}, centre array<double>")
 
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("frame_idx")
-        feats = np.stack([np.asarray(x, np.float64) for x in frame["feat"]])
-        centres, sums, counts = [], [], []
-        for f in feats:
-            gaps = [float(np.linalg.norm(f - c)) for c in centres]
-            if gaps and min(gaps) < NEAR:
-                k = int(np.argmin(gaps))
-                sums[k], counts[k] = sums[k] + f, counts[k] + 1
-                mean = sums[k] / counts[k]
-                centres[k] = mean / (np.linalg.norm(mean) or 1)
-            else:
-                centres.append(f.copy()), sums.append(f.copy()), counts.append(1)
-        centre = centres[int(np.argmax(counts))]
-        return pd.DataFrame({"video_id": key[0], "frame_idx": frame["frame_idx"].to_numpy(), "is_primary": np.linalg.norm(feats - centre, axis=1) <= NEAR})
-
-    return frames.select("video_id", "frame_idx", "feat").groupBy("video_id").applyInPandas(fold, "video_id int, frame_idx int, is_primary boolean")
+
+def primary_flags(frames: DataFrame) -> DataFrame:
+    """(video_id, frame_idx, is_primary): near the centre of the video's largest leader cluster."""
+    near = distance(F.col("feat").cast("array<double>"), F.col("centre")) <= NEAR
+    return frames.join(primary_centres(frames), "video_id").select("video_id", "frame_idx", near.alias("is_primary"))
 
 
 def segment_spans(flags: DataFrame, most_primary: float = 0.45, least_visual: float = 0.5) -> DataFrame:

@@ -97,24 +97,68 @@ def jn11_near_frames(spark, sf_dir):
     return R.near_frames(left, right).select("a_id", "b_id", "distance")
 
 
-@query("WITH " + _HASHED + """, p AS (SELECT l.label AS ref, r.label AS candidate, l.vec_id AS frame, bit_count(xor(l.hash, r.hash)) AS d, list_dot_product(le.embedding::double[], re.embedding::double[]) AS hist
+def _corr(a: str, b: str) -> str:
+    """Pearson correlation of two lists in SQL; 1 where one is flat."""
+    n, x, y = f"len({a})", f"{a}::double[]", f"{b}::double[]"
+    spread = f"((list_dot_product({x}, {x}) - list_sum({x}) * list_sum({x}) / {n}) * (list_dot_product({y}, {y}) - list_sum({y}) * list_sum({y}) / {n}))"
+    return f"(CASE WHEN {spread} > 2.220446049250313e-16 THEN (list_dot_product({x}, {y}) - list_sum({x}) * list_sum({y}) / {n}) / sqrt({spread}) ELSE 1.0 END)"
+
+
+@query("WITH " + _HASHED + f""", p AS (SELECT l.label AS ref, r.label AS candidate, l.vec_id AS frame, bit_count(xor(l.hash, r.hash)) AS d, {_corr('le.embedding', 're.embedding')} AS hist
    FROM h l JOIN h r ON l.vec_id % 50 = 0 AND r.label <> l.label JOIN embeddings le ON le.vec_id = l.vec_id JOIN embeddings re ON re.vec_id = r.vec_id),
  b AS (SELECT ref, candidate, frame, max(least(1.0, greatest(greatest(0.0, 1.0 - d / 32.0), 0.6 * greatest(0.0, 1.0 - d / 32.0) + 0.4 * greatest(0.0, hist)))) AS best, sum((d <= 8)::int) AS exact FROM p GROUP BY 1, 2, 3),
  m AS (SELECT ref, candidate, avg(best) AS score, sum(exact) AS exact, count(*) AS frames FROM b GROUP BY 1, 2)
  SELECT ref, candidate, round(CASE WHEN exact >= greatest(1, frames // 2) THEN greatest(score, 0.92) ELSE score END, 6) AS score, exact, CASE WHEN exact >= greatest(1, frames // 2) THEN 'exact_frame' WHEN score >= 0.72 THEN 'same_setup' ELSE 'rejected' END AS verdict FROM m""")
 def jn12_frame_set_scores(spark, sf_dir):
-    """Frames of the stated references against all others; the dot product of the vectors stands for the histogram term."""
+    """Frames of the stated references against all others; the numbers of a vector stand for its histogram bins."""
     rows = _hashed(spark, sf_dir).join(view(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id")
     left = rows.where("vec_id % 50 = 0").select(F.col("label").alias("ref"), F.col("vec_id").alias("frame"), F.col("hash").alias("a"), F.col("v").alias("av"))
     small = left.count() <= 100_000
     right = rows.select(F.col("label").alias("candidate"), F.col("hash").alias("b"), F.col("v").alias("bv")).repartition(2 * spark.sparkContext.defaultParallelism)
     pairs = right.join(F.broadcast(left) if small else left, F.col("candidate") != F.col("ref"))
-    histogram = F.aggregate(F.zip_with("av", "bv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    histogram = R.correlation("av", "bv")
     distance = R.hamming("a", "b")
     scored = pairs.select("ref", "candidate", "frame", R.frame_score(distance, histogram).alias("score"), (distance <= 8).cast("int").alias("exact"))
     return R.frame_set_scores(scored)
 
 
+#: Sources of some twenty frames, a frame a second, out of the embeddings; every other second shows the source's first
+#: frame again.  References are excerpts of that recurring shot with two bits of the hash changed.
+_SOURCES = _HASHED + """, g AS (SELECT h.label::bigint * 1000000 + h.vec_id // 200 AS source, h.vec_id, row_number() OVER (PARTITION BY h.label, h.vec_id // 200 ORDER BY h.vec_id) - 1 AS second, h.hash, e.embedding AS bins FROM h JOIN embeddings e ON e.vec_id = h.vec_id),
+ f AS (SELECT g.source, g.second, CASE WHEN g.second % 2 = 0 THEN z.hash ELSE g.hash END AS hash, CASE WHEN g.second % 2 = 0 THEN z.bins ELSE g.bins END AS bins FROM g JOIN g z ON z.source = g.source AND z.second = 0),
+ s AS (SELECT source, count(*)::double AS duration FROM f GROUP BY 1), x AS (SELECT source, -1 - source AS ref, duration * 0.5 AS target FROM s WHERE source % 50 = 0),
+ k AS (SELECT x.ref, i AS frame, xor(f.hash, 5::bigint) AS hash, f.bins FROM (SELECT *, unnest(range(0, 5)) AS i FROM x) x JOIN f ON f.source = x.source AND f.second = 2 * floor(greatest(0.1, target) * (i + 0.5) / 5 / 2)::int)"""
+
+
+def _passed(probes: str, keys: str) -> str:
+    """Scores of probes (ref, source, second, ...) against the key frames of their reference."""
+    return f"""SELECT {keys}, round(CASE WHEN sum(exact) >= greatest(1, count(*) // 2) THEN greatest(avg(v), 0.92) ELSE avg(v) END, 6) AS score FROM (
+  SELECT p.*, (d <= 8)::int AS exact, least(1.0, greatest(greatest(0.0, 1.0 - d / 32.0), 0.6 * greatest(0.0, 1.0 - d / 32.0) + 0.4 * greatest(0.0, c))) AS v FROM (
+  SELECT {', '.join('p.' + k.strip() for k in keys.split(','))}, bit_count(xor(f.hash, k.hash)) AS d, {_corr('k.bins', 'f.bins')} AS c FROM {probes} p JOIN f ON f.source = p.source AND f.second = p.second JOIN k ON k.ref = p.ref) p) GROUP BY {keys}"""
+
+
+@query("WITH " + _SOURCES + f""", l AS (SELECT x.ref, s.source, x.target, s.duration FROM x JOIN s ON s.duration >= 0.8 * x.target),
+ o AS (SELECT *, floor(greatest(0.0, least(duration - 0.1, duration * 0.2)))::int AS second FROM l), a AS ({_passed('o', 'ref, source')}), w AS (SELECT ref, source FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, source) AS r FROM a) WHERE r <= 3),
+ c AS (SELECT l.*, unnest(CASE WHEN duration <= target OR greatest(0.5, target / 2) > duration - greatest(0.5, target / 2) THEN [duration / 2] ELSE [greatest(0.5, target / 2) + i * greatest(2.0, target / 2) for i in range(0, 12) if greatest(0.5, target / 2) + i * greatest(2.0, target / 2) <= duration - greatest(0.5, target / 2) + 1e-9] END) AS centre FROM l JOIN w ON w.ref = l.ref AND w.source = l.source),
+ q AS (SELECT *, floor(centre)::int AS second FROM c), b AS ({_passed('q', 'ref, source, target, duration, centre')})
+ SELECT ref, source, greatest(0.0, centre - target / 2) AS start_s, least(duration, greatest(0.0, centre - target / 2) + target) AS end_s, score FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, source, centre) AS r FROM b) WHERE r = 1 AND score >= 0.65""")
+def jn13_two_pass_sources(spark, sf_dir):
+    """Excerpts of the stated sources (id divisible by 50) among all sources; the second pass reads the winners' frames only."""
+    rows = _hashed(spark, sf_dir).join(view(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("bins")), "vec_id")
+    rows = rows.withColumn("source", F.col("label").cast("long") * 1_000_000 + F.floor(F.col("vec_id") / 200))
+    order = P.W.partitionBy("source").orderBy("vec_id")
+    second = F.row_number().over(order) - 1
+    held = lambda c: F.when(F.col("second") % 2 == 0, F.first(c).over(order)).otherwise(F.col(c)).alias(c)
+    frames = rows.withColumn("second", second).select("source", "second", held("hash"), held("bins"))
+    sources = frames.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("duration"))
+    excerpts = sources.where("source % 50 = 0").select("source", (-1 - F.col("source")).alias("ref"), (F.col("duration") * 0.5).alias("duration"))
+    times = excerpts.select("source", "ref", F.posexplode(R.key_times(F.lit(0.0), F.col("duration"))).alias("frame", "at"))
+    shown = times.withColumn("second", (2 * F.floor(F.col("at") / 2)).cast("int")).join(frames, ["source", "second"])
+    keyframes = shown.select("ref", "frame", F.col("hash").bitwiseXOR(F.lit(5).cast("long")).alias("hash"), "bins")
+    refs = excerpts.select("ref", "duration")
+    return R.found_sources(refs, keyframes, sources, frames, F.get(R.sample_times(F.col("duration")), F.lit(0)))
+
+
 @query(duck("levels") + """, r AS (SELECT asset_id, sec - 10 AS i, level AS r FROM levels WHERE sec BETWEEN 10 AND 19), k AS (SELECT asset_id, count(*) AS k FROM r GROUP BY 1),
  d AS (SELECT l.asset_id, l.sec - r.i AS off, round(sum(l.level * r.r), 4) AS dot, count(*) AS n FROM levels l JOIN r ON r.asset_id = l.asset_id AND l.sec >= r.i GROUP BY 1, 2),
  e AS (SELECT d.asset_id, off, dot, avg(dot) OVER (PARTITION BY d.asset_id) AS mean, row_number() OVER (PARTITION BY d.asset_id ORDER BY dot DESC, off) AS p FROM d JOIN k ON k.asset_id = d.asset_id AND d.n = k.k)
@@ -154,9 +198,20 @@ def ss2_remaining_time(spark, sf_dir):
     return K.remaining_time(jobs).withColumn("eta_s", F.round("eta_s", 6))
 
 
-@query()
+#: The breaker as a fold: (event, time, state, 429s in a row, time of the first, time of the last change, changes so far).
+_BREAKER = """list_reduce(list_prepend({'event_id': 0::bigint, 'at': 0.0::double, 'status': 0, 'state': 'closed', 'n': 0, 'first': 0.0::double, 'since': 0.0::double, 'out': ''}, list({'event_id': event_id, 'at': epoch_us(ts) / 1e6, 'status': status, 'state': '', 'n': 0, 'first': 0.0::double, 'since': 0.0::double, 'out': ''} ORDER BY ts, event_id)),
+  lambda a, x: CASE WHEN a.state = 'open' AND x.at < a.since + 120.0 THEN a
+   WHEN x.status <> 429 THEN {'event_id': x.event_id, 'at': x.at, 'status': x.status, 'state': 'closed', 'n': 0, 'first': a.first, 'since': CASE WHEN a.state = 'open' OR (a.state = 'probe' AND x.at >= a.since + 180.0) THEN x.at ELSE a.since END, 'out': a.out || CASE WHEN a.state <> 'closed' THEN ',' || x.event_id || ':closed' ELSE '' END}
+   WHEN a.state IN ('open', 'probe') THEN {'event_id': x.event_id, 'at': x.at, 'status': x.status, 'state': 'open', 'n': 0, 'first': a.first, 'since': x.at, 'out': a.out || CASE WHEN a.state = 'probe' THEN ',' || x.event_id || ':open' ELSE '' END}
+   WHEN a.n > 0 AND x.at - a.first <= 60.0 AND a.n + 1 >= 5 THEN {'event_id': x.event_id, 'at': x.at, 'status': x.status, 'state': 'open', 'n': 0, 'first': a.first, 'since': x.at, 'out': a.out || ',' || x.event_id || ':open'}
+   WHEN a.n > 0 AND x.at - a.first <= 60.0 THEN {'event_id': x.event_id, 'at': x.at, 'status': x.status, 'state': 'closed', 'n': a.n + 1, 'first': a.first, 'since': a.since, 'out': a.out}
+   ELSE {'event_id': x.event_id, 'at': x.at, 'status': x.status, 'state': 'closed', 'n': 1, 'first': x.at, 'since': a.since, 'out': a.out} END).out"""
+
+
+@query(duck("calls") + f""", o AS (SELECT provider, {_BREAKER} AS out FROM calls GROUP BY 1), e AS (SELECT provider, unnest([x for x in string_split(out, ',') if x <> '']) AS c FROM o),
+ k AS (SELECT provider, split_part(c, ':', 1)::bigint AS event_id, split_part(c, ':', 2) AS state FROM e) SELECT k.provider, round(epoch_us(ts) / 1e6, 3) AS at, k.event_id, state FROM k JOIN calls ON calls.provider = k.provider AND calls.event_id = k.event_id""")
 def ss3_breaker_changes(spark, sf_dir):
-    return K.breaker_changes(view(spark, sf_dir, "calls"))
+    return K.breaker_changes(view(spark, sf_dir, "calls")).withColumn("at", F.round("at", 3))
 
 
 @query(duck("calls") + ", b AS (SELECT provider, event_id, ts, status, max(CASE WHEN status IN (401, 402, 429) THEN epoch_us(ts) / 1e6 END) OVER (PARTITION BY provider ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bad FROM calls) SELECT provider, event_id, coalesce(epoch_us(ts) / 1e6 < bad + 300, false) AS cooling FROM b")

@@ -34,8 +34,8 @@ select doc_id as asset_id, pos, case when pos % 37 = 5 then case (doc_id + pos)
 """
 _SEGMENTS = "select conv_id as asset_id, turn as seg_idx, turn * 6.0e0 as start_s, turn * 6.0e0 + 5.0e0 as end_s, text from conversations"
 _FRAMES = """
-select label as video_id, cast(g * 10 + r as int) as frame_idx, case when g % 2 = 0 then first_e else embedding end as feat, (g % 2 = 0) as has_face, (g % 5 <> 3) as visual
-from (select label, embedding, row_number() over (partition by label order by vec_id) - 1 as g, first_value(embedding) over (partition by label order by vec_id) as first_e from embeddings) t cross join (RANGE10) rr
+select video_id, cast(g * 10 + r as int) as frame_idx, case when g % 2 = 0 then first_e else embedding end as feat, (g % 2 = 0) as has_face, (g % 5 <> 3) as visual
+from (select video_id, embedding, row_number() over (partition by video_id order by vec_id) - 1 as g, first_value(embedding) over (partition by video_id order by vec_id) as first_e from (select cast(label as bigint) * 1000000 + vec_id div 400 as video_id, vec_id, embedding from embeddings) v) t cross join (RANGE10) rr
 """
 _SEARCH = """
 select page_id % 5 as query_id, page_id as pos, concat('v', cast(page_id % 120 as string)) as id, case when page_id % 13 = 0 then concat(url, '/shorts/') else url end as url,
@@ -44,7 +44,10 @@ select page_id % 5 as query_id, page_id as pos, concat('v', cast(page_id % 120 a
 _JOB_EVENTS = """
 select user_id as job_id, event_id, ts, case event_type when 'signup' then 'ingested' when 'view' then 'analyzing' when 'click' then 'transcribing' when 'purchase' then 'rendering' else 'failed' end as stage from events
 """
-_CALLS = "select user_id % 10 as provider, event_id, ts, case when event_type in ('error', 'signup') then 429 else 200 end as status from events"
+_CALLS = """
+select user_id as provider, event_id * 10 + r as event_id, ts + r * interval '5' second as ts, case when event_type in ('error', 'signup') then 429 else 200 end as status
+from (select * from events) t cross join (RANGE10) rr where r = 0 or (event_type = 'error' and r < 7)
+"""
 _LEVELS = "select user_id as asset_id, row_number() over (partition by user_id order by ts, event_id) - 1 as sec, value / 100.0e0 as level from events"
 
 TEXTS = {

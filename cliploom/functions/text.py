@@ -140,7 +140,8 @@ def starts_with_hook(t: Prepared, opening_terms: tuple[str, ...] = ()) -> Column
 
 
 def first_number(text: Column) -> Column:
-    return F.regexp_extract(text, f"(?i){NUMBER}", 0)
+    """The first number of a title: also hours and times of day."""
+    return F.regexp_extract(text, f"(?i){S.TITLE_NUMBER}", 0)
 
 
 def name_phrases(text: Column) -> Column:
@@ -149,7 +150,7 @@ def name_phrases(text: Column) -> Column:
     pairs = F.regexp_extract_all(text, F.lit(rf"(?=({token}\s+{token}))"), F.lit(1))
     plain = F.transform(pairs, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?:'s|')(?=\s|$)", ""), r"\s+", " "))
     stop = F.array(*map(F.lit, S.NAME_STOP_WORDS))
-    return unique_strings(F.filter(plain, lambda p: ~F.arrays_overlap(F.split(p, " "), stop)))
+    return unique_strings(F.filter(plain, lambda p: p.rlike(r"^[A-Z][A-Za-z'.-]+ [A-Z][A-Za-z'.-]+$") & ~F.arrays_overlap(F.split(p, " "), stop)))
 
 
 def unique_strings(values: Column) -> Column:
@@ -162,7 +163,7 @@ def unique_strings(values: Column) -> Column:
 def manual_title(text: Column) -> tuple[Column, Column]:
     """Up to three words in one line; else line one grows while it stays within half the length."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    half = F.length(F.array_join(words, " ")) / 2
+    half = F.length(text) / 2
     fits = F.aggregate(
         words,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(True).alias("open")),
@@ -173,17 +174,26 @@ def manual_title(text: Column) -> tuple[Column, Column]:
         lambda a: a["n"],
     )
     cut = F.when(F.size(words) <= 3, F.size(words)).otherwise(fits)
-    line = lambda part: F.substring(F.array_join(part, " "), 1, 40)
+    clean = lambda part: F.trim(F.regexp_replace(F.replace(F.array_join(part, " "), F.lit("."), F.lit("")), r"\s+", " "))
+    line = lambda part: F.substring(clean(part), 1, 40)
     return line(F.slice(words, F.lit(1), cut)), line(F.slice(words, cut + 1, F.greatest(F.lit(0), F.size(words) - cut)))
 
 
-def highlighted(line: Column, highlights: Column) -> Column:
-    """The longest highlight found in a line, its first occurrence put between asterisks."""
+def _marked(line: Column, highlights: Column) -> tuple[Column, Column]:
+    """A line with its longest highlight, the first of equally long, between asterisks; and that highlight."""
     found = F.filter(highlights, lambda h: (h != "") & F.lower(line).contains(F.lower(h)))
     best = F.aggregate(found, F.lit(""), lambda a, h: F.when(F.length(h) > F.length(a), h).otherwise(a))
     at = F.instr(F.lower(line), F.lower(best))
     marked = F.concat(F.substr(line, F.lit(1), at - 1), F.lit("*"), F.substr(line, at, F.length(best)), F.lit("*"), F.substr(line, at + F.length(best)))
-    return F.when(best == "", line).otherwise(marked)
+    return F.when(best == "", line).otherwise(marked), best
+
+
+def highlighted(line1: Column, line2: Column, highlights: Column) -> tuple[Column, Column]:
+    """Both lines with one highlight each at most; a highlight that line one used is not used again."""
+    one, used = _marked(line1, highlights)
+    place = F.array_position(highlights, used)
+    left = F.filter(highlights, lambda h, i: (used == "") | (i + 1 != place))
+    return one, _marked(line2, left)[0]
 
 
 def ass_time(seconds: Column) -> Column:

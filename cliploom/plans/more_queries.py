@@ -37,13 +37,28 @@ def pr22_layout(spark, sf_dir):
 
 @query()
 def pr23_pr24_highlights(spark, sf_dir):
-    rows = _titles(spark, sf_dir)
-    return rows.select("page_id", F.array_join(T.one_per_line(F.col("a"), F.col("b"), F.col("h")), "|").alias("highlights"), T.hook_word(F.col("a"), F.col("b")).alias("hook"))
+    """Titles as a model might answer them, under all rules."""
+    rows = T.finished(_titles(spark, sf_dir).withColumnsRenamed({"a": "line1", "b": "line2", "h": "highlights"}))
+    return rows.select("page_id", "line1", "line2", F.array_join("highlights", "|").alias("highlights"), "hook_word")
 
 
 @query()
 def pr20_templated_titles(spark, sf_dir):
-    return view(spark, sf_dir, "documents").select("doc_id", T.templated(F.col("text")).alias("x")).select("doc_id", "x.line1", "x.line2", F.array_join("x.highlights", "|").alias("highlights"))
+    rows = view(spark, sf_dir, "documents").select("doc_id", T.templated(F.col("text")).alias("x")).select("doc_id", "x.*")
+    return T.finished(rows).select("doc_id", "line1", "line2", F.array_join("highlights", "|").alias("highlights"), "hook_word")
+
+
+@query()
+def pr33_routed_titles(spark, sf_dir):
+    """A quarter each: typed by hand, after a reference's title, generated with an answer, and without any text."""
+    modes = F.array(*map(F.lit, ("manual", "replicate", "auto", "auto")))
+    docs = view(spark, sf_dir, "documents").withColumn("kind", (F.col("doc_id") % 4).cast("int"))
+    first = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 9)
+    docs = docs.select(
+        "doc_id", F.get(modes, F.col("kind")).alias("mode"), F.array_join(first, " ").alias("manual"), F.col("lang").alias("pattern"),
+        F.when(F.col("kind") == 3, "").otherwise(F.col("text")).alias("text"), F.when(F.col("kind") == 2, F.array_join(F.slice(first, 1, 4), " ")).alias("one"), F.array_join(F.slice(first, 5, 5), " ").alias("two"),
+    )
+    return T.routed(docs, "mode", "manual", "pattern", "text", "one", "two").select("doc_id", "route", "line1", "line2", F.array_join("highlights", "|").alias("highlights"), "hook_word")
 
 
 @query(duck("spans") + """, s AS (SELECT job_id, span_idx, start_s, end_s * 1.7 AS end_s, 40.0e0 AS d FROM spans), f AS (SELECT *, greatest(0.0, least(start_s, greatest(0.0, d - 8.0))) AS a FROM s), g AS (SELECT *, greatest(a, least(end_s, d)) AS b FROM f),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cliploom import schema as S
 from cliploom.functions import features as V
 from cliploom.functions import text as X
+from cliploom.functions import titles as L
 from cliploom.operators import aggregates as A
 from cliploom.operators import transcripts as T
 from cliploom.plans.registration import query
@@ -71,7 +72,7 @@ def pr15_pr17_pr18_text_scores(spark, sf_dir):
     return rows.select("doc_id", F.round(X.score_text(t), 6).alias("text_score"), F.round(X.viral_score(t), 6).alias("viral_score"), X.starts_with_hook(t).alias("hooked"))
 
 
-@query(f"SELECT doc_id, regexp_extract(text, '(?i){_NUM}') AS number FROM documents WHERE regexp_matches(text, '[0-9]')")
+@query(f"SELECT doc_id, regexp_extract(text, '(?i){S.TITLE_NUMBER}') AS number FROM documents WHERE regexp_matches(text, '[0-9]')")
 def pr19_first_number(spark, sf_dir):
     return view(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", X.first_number(F.col("text")).alias("number"))
 
@@ -83,10 +84,13 @@ def pr19_name_phrases(spark, sf_dir):
 
 @query()
 def pr21_pr25_titles(spark, sf_dir):
+    """Typed titles in two lines, with the markup of their highlights."""
     pages = view(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("t"))
     one, two = X.manual_title(F.col("t"))
-    lines = pages.select("page_id", one.alias("line1"), two.alias("line2"), F.slice(F.split("t", " "), 1, 3).alias("h"))
-    return lines.select("page_id", X.highlighted(F.col("line1"), F.col("h")).alias("line1"), "line2")
+    lines = pages.select("page_id", one.alias("line1"), two.alias("line2")).withColumn("highlights", L.heuristic_highlights(F.concat("line1", F.lit(" "), "line2")))
+    made = L.finished(lines)
+    first, second = X.highlighted(F.col("line1"), F.col("line2"), F.col("highlights"))
+    return made.select("page_id", first.alias("line1"), second.alias("line2"))
 
 
 _NEAR = duck("words", "segments") + """, n AS (SELECT asset_id, pos, word, start_s, end_s, row_number() OVER (PARTITION BY asset_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY asset_id) AS n, max(end_s) OVER (PARTITION BY asset_id) AS duration FROM words),

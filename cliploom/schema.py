@@ -96,6 +96,16 @@ NAME_STOP_WORDS = (
     "With", "Without", "Works", "Billion",
 )
 
+# Words too weak to be highlighted.
+WEAK_WORDS = (
+    "a", "an", "and", "are", "for", "from", "he", "her", "his", "how", "i", "in", "is", "it", "of", "on", "she", "that", "the",
+    "this", "to", "was", "what", "when", "why", "with", "without", "you",
+)
+
+# Patterns of numbers and words in titles.
+TITLE_NUMBER = r"\$?[0-9][0-9,.]*(?:h\+?|k|m|b|%|am|pm|x|\+)?"
+TITLE_WORD = r"[A-Za-z][A-Za-z'.-]*|\$?[0-9][\w,.%+:-]*"
+
 # Seconds of the job stages, in order, and how long each may go without an update.
 STAGE_SECONDS = {"ingested": 1.0, "analyzing": 25.0, "transcribing": 8.0, "selecting": 2.0, "titling": 2.0, "broll_recovery": 25.0, "rendering": 35.0}
 STAGE_LIMITS = {

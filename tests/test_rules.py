@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from cliploom.functions import features as X
 from cliploom.functions import text as T
-from cliploom.functions import titles
 from cliploom.operators import search as R
 from cliploom.sources import catalog
 from cliploom.streaming import jobs as J
@@ -36,15 +35,6 @@ def test_unique_strings_and_names(spark):
     assert one(spark, T.name_phrases(text)) == (["Jeff Bezos", "Elon Musk"],)
 
 
-def test_title_routes(spark):
-    lit = lambda x: F.lit(x).cast("string")
-    lines = lambda *a: tuple(one(spark, titles.routed(*map(lit, a)))[0])
-    assert lines("manual", "My own title", None, "text", "x", "y") == ("My own title", "")
-    assert lines("replicate", "", "Pattern", "text", "A Model Made This One", "") == ("A Model Made This One", "")
-    assert lines("auto", "", None, "", None, None) == ("The Secret Rule", "Behind This Clip")
-    assert lines("auto", "", None, "we spent 300 on it", None, None) == ("The 300 Rule", "Nobody Talks About")
-
-
 def test_odd_limits_keep_half_rounded_down(spark):
     rows = [(f"p{i}", 100 - i, "same") for i in range(8)] + [("q", 1, "other")]
     got = R.diverse_newest(spark.createDataFrame(rows, "path string, mtime long, name_key string"), 5).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,9 +32,30 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/cliploom/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that are still lazy read them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_CLEARED: set[str] = set()
+
+
+def _at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        clear(spark)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/cliploom/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; the application's folder there goes when the driver's Python ends."""
+    if (application := spark.sparkContext.applicationId) not in _CLEARED:
+        _CLEARED.add(application)
+        atexit.register(_at_exit, spark)
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

@@ -49,6 +49,8 @@ FREQUENT = 32
 #: shingles gives the same links; this one only decides how even the cells are.
 TOLD = 1 << 20
 BLOCK, FLUSH = 4096, 1_500_000
+#: Bytes of full sets in a block of a large cell, one set at least.
+BLOCK_BYTES = 64 << 20
 _ROW = "kind int, bucket int, doc_id long, text_hash long, a long, b long, n long, keys binary, owners binary"
 _COLUMNS = [c.split()[0] for c in _ROW.split(", ")]
 #: Whole numbers travel without nulls, for pandas would make them floats: no class is -1, no id this.
@@ -363,18 +365,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInPandas(test, "a long, b long")
 
 
-def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+def open_members(members: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
     """Members of the large cells that still hold several components.
 
     (cell, node, root, main, blocks, asking, cells): ``main`` is the cell's largest component, ``blocks`` and
-    ``asking`` count the blocks of all members and of those outside it, ``cells`` are all such cells of the node.
+    ``asking`` count the blocks of all members and of those outside it, by rows and by bytes of their sets;
+    ``cells`` are all such cells of the node.
     """
     placed = members.select(F.col("a").alias("cell"), F.col("b").alias("node")).join(labels, "node", "left")
-    placed = placed.select("cell", "node", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k"))
-    several = sizes.groupBy("cell").agg(F.max_by("root", "k").alias("main"), F.sum("k").alias("members"), F.max("k").alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    deal = lambda n: F.ceil(n / BLOCK).cast("int")
-    counts = (deal(F.col("members")).alias("blocks"), deal(F.col("members") - F.col("largest")).alias("asking"))
+    placed = placed.join(points.select(F.col("a").alias("node"), "n"), "node").select("cell", "node", F.coalesce("root", "node").alias("root"), "n")
+    sizes = placed.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("held"))
+    most = F.max(F.struct("k", "root", "held"))
+    several = sizes.groupBy("cell").agg(most.alias("most"), F.sum("k").alias("members"), F.sum("held").alias("held"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    several = several.withColumn("main", F.col("most.root"))
+    deal = lambda k, n: F.greatest(F.ceil(k / BLOCK), F.ceil(n * 8 / BLOCK_BYTES)).cast("int")
+    counts = (deal(F.col("members"), F.col("held")).alias("blocks"), deal(F.col("members") - F.col("most.k"), F.col("held") - F.col("most.held")).alias("asking"))
     rows = stored(placed.join(several, "cell").select("cell", "node", "root", "main", *counts), "ngram-open")
     return rows.join(rows.groupBy("node").agg(F.collect_list("cell").alias("cells")), "node")
 
@@ -408,11 +413,14 @@ def cross_links(rows: DataFrame, points: DataFrame, sets: DataFrame) -> DataFram
         n, node, root, asker = (frame[c].to_numpy() for c in ("n", "node", "root", "asker"))
         asking = asker == key[2]
         inside = np.flatnonzero(frame["own"].to_numpy() == key[1])
-        earlier = [[c for c in cells if c < key[0]] for cells in frame["cells"]]
-        place = {c: i for i, c in enumerate(sorted({c for cells in earlier for c in cells}))}
-        shares = np.zeros((len(frame), len(place)), bool)
-        for i, cells in enumerate(earlier):
-            shares[i, [place[c] for c in cells]] = True
+        # Cells before this one, per row; looked at for hits only.
+        earlier = [np.sort(np.asarray(cells, np.int64)[np.asarray(cells, np.int64) < key[0]]) for cells in frame["cells"]]
+
+        def met_before(i: int, j: int) -> bool:
+            a, b = sorted((earlier[i], earlier[j]), key=len)
+            at = np.searchsorted(b, a)
+            return bool(len(b)) and bool((b[np.minimum(at, len(b) - 1)] == a).any())
+
         met = {r: r for r in root.tolist()}
 
         def of(r: int) -> int:
@@ -426,10 +434,10 @@ def cross_links(rows: DataFrame, points: DataFrame, sets: DataFrame) -> DataFram
             tree = CountTree(points[inside], n[inside], root[inside])
             for q in np.flatnonzero(asking):
                 hit = inside[tree.search(points[q], n[q])]
-                hit = hit[(4 * np.minimum(n[hit], n[q]) >= 3 * np.maximum(n[hit], n[q])) & ~(shares[hit] & shares[q]).any(axis=1)]
+                hit = hit[4 * np.minimum(n[hit], n[q]) >= 3 * np.maximum(n[hit], n[q])]
                 # Two asking members would meet twice: here, or in the group where the other asks.
                 hit = hit[(asker[hit] < 0) | (node[hit] < node[q])]
-                hit = np.array([h for h in hit.tolist() if of(int(root[h])) != of(int(root[q]))], np.int64)
+                hit = np.array([h for h in hit.tolist() if of(int(root[h])) != of(int(root[q])) and not met_before(h, q)], np.int64)
                 if len(hit):
                     linked = hit[may_link(overlaps(sets[q], [sets[h] for h in hit]), n[hit], n[q])]
                     for h in linked.tolist():
@@ -445,7 +453,8 @@ def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every document."""
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    bits = min(20, max(8, int(np.ceil(np.log2(parts * 4)))))
+    # Four buckets a partition, so they follow the session's partitions; a bucket's number has 30 bits at most.
+    bits = min(30, max(8, int(np.ceil(np.log2(parts * 4)))))
     frequent = stored(frequent_shingles(source, bits), "ngram-frequent")
     for salt in range(256):
         rows = cells(source, _told(frequent), bits, salt)
@@ -462,7 +471,7 @@ def linked(docs: DataFrame) -> DataFrame:
     wanted = near.select(F.explode(F.array("a", "b")).alias("a")).distinct()
     edges = stored(verified(near, class_sets(source, wanted, with_class, salt)), "ngram-edges")
     labels = components(edges, "ngram-first")
-    rest = stored(open_members(members, labels), "ngram-members")
+    rest = stored(open_members(members, labels, points), "ngram-members")
     if not rest.isEmpty():
         sets = class_sets(source, rest.select(F.col("node").alias("a")).distinct(), with_class, salt)
         labels = components(edges.unionByName(cross_links(rest, points, sets)), "ngram-second")

@@ -6,16 +6,17 @@ possessive where nothing can be given back, and a run is entered only at its sta
 last match ended), so matching is linear even in very long runs.  Positions follow from the lengths
 of what lies between matches; they count code points.
 
-Method: base finds are seeds, and so are long hexadecimal strings and access key ids (kind ``secret``).  An
+Method: base finds are seeds, and so are access key ids and hexadecimal strings that change often between digits
+and letters (kind ``secret``), which random strings mostly do and other ones hardly.  An
 instance is a run of tokens with digits or an at sign.  Its lexical patterns are the two tokens before it, the token
 before it with the shape of the run, and the key that stands before ``=`` or ``:`` in the run's own token.
 Patterns and instances form a graph.  In each of ``ROUNDS`` rounds a pattern's confidence for a kind is the score
-of the instances behind it over all instances behind it, and an instance that is no seed gets the noisy-or of the
+of the instances behind it over all instances behind it, those of no known kind counted half, and an instance that is no seed gets the noisy-or of the
 confident patterns it stands behind.  Patterns with at least ``SUPPORT`` different instances of that
 kind and a confidence of ``CONFIDENT`` or more mark every instance behind them: unseen identifiers.
 
 Added spans carry the kind of their pattern; seeds of kind ``secret`` are added too.  Base spans always stay;
-``n_email`` to ``n_phone`` count base spans.
+``n_email`` to ``n_phone`` count base spans, ``n_secret_seeds`` and ``n_discovered`` those that seeds and patterns add.
 
 Defined results: null and empty texts have no spans; rows are reported one by one; instances of
 equal rows count once for a pattern's support; an empty table gives an empty table.
@@ -38,10 +39,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 INSTANCE = r"(?<!\S)(?=\S*[0-9@])\S++(?:\x20(?=[0-9().+-]*[0-9])[0-9().+-]++(?!\S))*+"
-#: What is surely a secret: an access key id, or 16 and more hexadecimal digits of both sorts.
-SECRET_VALUE = "^(?:AKIA[A-Z0-9]{16}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,}|(?=[0-9]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{16,})$"
+#: What is surely a secret: an access key id, or 16 and more hexadecimal digits of one case in at least eight changes from
+#: digits to letters.  One in eight random strings of 40 digits has fewer: those are left to the patterns.
+_MIXED = "(?=[0-9{x}]{{16,}}+$)[{x}]*+(?:[0-9]++[{x}]++){{8,}}+[0-9]*+"
+SECRET_VALUE = f"^(?:AKIA[A-Z0-9]{{16}}|{_MIXED.format(x='a-f')}|{_MIXED.format(x='A-F')})$"
 KEYED = r"^[\p{L}_][\p{L}0-9_.-]*[=:]"
 SUPPORT, CONFIDENT, ROUNDS, CHUNK = 5, 0.8, 3, 256
+#: Weight of an instance of no known kind against a pattern: less than one of another kind, which is surely none.
+UNKNOWN = 0.5
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -141,8 +146,10 @@ def _shape(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{L}+", "a"), "[0-9]+", "9"), r"([^a9])\1+", "$1")
 
 
-def _instances(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, end, contexts, instance, kind) of every identifier-like run.
+def _scan(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, base, start, end, contexts, instance, kind) of every identifier-like run.
+
+    ``base`` stands in the first row of a document only, and in its one row, without a run, if it has none.
 
     A run is a token with a digit or an at sign and the number tokens that follow it; what stands before its
     key's ``=`` or ``:`` is no part of the instance.
@@ -150,14 +157,16 @@ def _instances(rows: DataFrame) -> DataFrame:
     ``kind`` is that of the base span it overlaps, or ``SECRET``, if any.  ``contexts`` holds the hashes of its
     patterns.  Only hashes and positions leave the row of a text.
     """
-    open_text = rows.where(F.col("body").rlike("[0-9@]"))
-    each = computed_once(computed_once(open_text, "t", _tokens("body")), "runs", _runs())
-    each = each.select("doc_id", "text_hash", "t", "base", F.explode("runs").alias("r"))
-    key = F.regexp_extract("r.hit", KEYED, 0)
+    open_text = F.col("body").rlike("[0-9@]")
+    none = F.array().cast("array<struct<hit:string,start:int,place:int>>")
+    each = computed_once(rows, "runs", F.when(open_text, _runs()).otherwise(none))
+    each = computed_once(each, "t", F.when(F.size("runs") > 0, _tokens("body")))
+    each = each.select("doc_id", "text_hash", "t", "base", F.posexplode_outer("runs").alias("at", "r"))
+    key = F.coalesce(F.regexp_extract("r.hit", KEYED, 0), F.lit(""))
     each = computed_once(each, "k", F.struct(key.alias("key"), F.substr("r.hit", F.length(key) + 1).alias("value")))
     lead, tail = F.length(F.regexp_extract("k.value", r"^[^\p{L}0-9+@(]*", 0)), F.length(F.regexp_extract("k.value", r"[^\p{L}0-9)]*$", 0))
     start, end = F.col("r.start") + F.length("k.key") + lead, F.col("r.start") + F.length("r.hit") - tail
-    each = each.select("*", start.alias("start"), end.alias("end"), F.substr("k.value", lead + 1, F.length("k.value") - lead - tail).alias("value")).where("end > start")
+    each = each.select("*", start.alias("start"), end.alias("end"), F.substr("k.value", lead + 1, F.length("k.value") - lead - tail).alias("value"))
     known = F.get(F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))), F.lit(0))["kind"]
     kind = F.coalesce(known, F.when(F.col("value").rlike(SECRET_VALUE), SECRET))
     before = lambda n: F.get("t", F.col("r.place") - n)
@@ -166,19 +175,33 @@ def _instances(rows: DataFrame) -> DataFrame:
         F.when(F.col("r.place") >= 1, F.xxhash64(F.lit("shape"), before(1), _shape(F.col("k.value")))),
         F.when(F.col("k.key") != "", F.xxhash64(F.lit("key"), F.lower("k.key"))),
     ))
-    return each.select("doc_id", "text_hash", "start", "end", contexts.alias("contexts"), F.xxhash64(F.lower("value")).alias("instance"), kind.alias("kind"))
+    first = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("base")).alias("base")
+    return each.select("doc_id", "text_hash", first, "start", "end", contexts.alias("contexts"), F.xxhash64(F.lower("value")).alias("instance"), kind.alias("kind"))
+
+
+def _instances(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, end, contexts, instance, kind): the runs that hold anything."""
+    return _runs_of(_scan(rows))
+
+
+def _runs_of(scanned: DataFrame) -> DataFrame:
+    return scanned.where("end > start").drop("base")
 
 
 def discovered(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, kind, start, end) that secrets and confident patterns add to the base spans.
+    """(doc_id, text_hash, kind, start, end, seed) that secrets and confident patterns add to the base spans.
 
-    ``rows``: doc_id, text_hash, body and base of every document, which are read once.  A round looks at every
-    pattern with enough scored instances of a kind.
+    ``rows``: doc_id, text_hash, body and base of every document, which are read once.
     """
-    edges = stored(_instances(rows), "pii-instances")
+    return _bootstrapped(stored(_scan(rows), "pii-instances"))
+
+
+def _bootstrapped(scanned: DataFrame) -> DataFrame:
+    """The same from the stored rows of ``_scan``; a round looks at every pattern with enough scored instances of a kind."""
+    edges = _runs_of(scanned)
     each = edges.select(F.explode("contexts").alias("context"), "instance", "kind").groupBy("context", "instance", "kind").agg(F.count(F.lit(1)).alias("times"))
     # A context with fewer different instances of any kind can never get enough of one kind.
-    totals = each.groupBy("context").agg(F.countDistinct("instance").alias("n"), F.sum("times").alias("total")).where(F.col("n") >= SUPPORT).select("context", "total")
+    totals = each.groupBy("context").agg(F.countDistinct("instance").alias("n"), F.sum(F.col("times") * F.when(F.col("kind").isNull(), UNKNOWN).otherwise(1.0)).alias("total")).where(F.col("n") >= SUPPORT).select("context", "total")
     graph = stored(each.join(totals, "context"), "pii-graph")
     seeds = graph.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     scores = seeds
@@ -196,8 +219,8 @@ def discovered(rows: DataFrame) -> DataFrame:
     where = ["doc_id", "text_hash", "start", "end"]
     behind = edges.where("kind is null").select(*where, F.explode("contexts").alias("context")).join(patterns, "context")
     unseen = behind.groupBy(*where).agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    secret = edges.where(F.col("kind") == SECRET).select(*where, "kind")
-    return unseen.unionByName(secret).select("doc_id", "text_hash", "kind", "start", "end")
+    secret = edges.where(F.col("kind") == SECRET).select(*where, "kind", F.lit(True).alias("seed"))
+    return unseen.withColumn("seed", F.lit(False)).unionByName(secret).select("doc_id", "text_hash", "kind", "start", "end", "seed")
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -206,17 +229,18 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, base, spans) of every row: base spans, and with those the patterns add."""
-    rows = _prepared(docs)
-    added = discovered(rows).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+    """(doc_id, text_hash, base, spans, n_secret_seeds, n_discovered) of every row: base spans, and with those the patterns add."""
+    scanned = stored(_scan(_prepared(docs)), "pii-instances")
+    count = lambda test: F.size(F.collect_set(F.when(test, F.struct("start", "end")))).cast("long")
+    added = _bootstrapped(scanned).groupBy("doc_id", "text_hash").agg(
+        F.collect_set(F.struct("kind", "start", "end")).alias("added"), count(F.col("seed")).alias("seeds"), count(~F.col("seed")).alias("discovered")
+    )
     added = stored(added, "pii-added")
-    base = rows.select("doc_id", "text_hash", "base")
-    if added.isEmpty():
-        return base.withColumn("spans", F.col("base"))
-    key = base["text_hash"] == added["text_hash"]
-    joined = base.join(added, key & base["doc_id"].eqNullSafe(added["doc_id"]), "left")
+    base = scanned.where("base is not null").select("doc_id", "text_hash", "base")
+    joined = base.join(added, (base["text_hash"] == added["text_hash"]) & base["doc_id"].eqNullSafe(added["doc_id"]), "left")
     every = F.array_sort(F.array_union("base", F.coalesce(F.col("added").cast(_SPAN), F.array().cast(_SPAN))))
-    return joined.select(base["doc_id"], base["text_hash"], "base", every.alias("spans"))
+    zero = F.lit(0).cast("long")
+    return joined.select(base["doc_id"], base["text_hash"], "base", every.alias("spans"), F.coalesce("seeds", zero).alias("n_secret_seeds"), F.coalesce("discovered", zero).alias("n_discovered"))
 
 
 def _printed(spans: str) -> Column:
@@ -230,7 +254,7 @@ def report(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long")
 
     counts = [count(number).alias(f"n_{kind}") for number, kind in enumerate(KINDS)]
-    return found(docs).select("doc_id", *counts, F.sha2(_printed("base"), 256).alias("base_sha256"), _printed("spans").alias("spans"))
+    return found(docs).select("doc_id", *counts, F.sha2(_printed("base"), 256).alias("base_sha256"), _printed("spans").alias("spans"), "n_secret_seeds", "n_discovered")
 
 
 def redacted(docs: DataFrame) -> DataFrame:

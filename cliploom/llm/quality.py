@@ -9,7 +9,10 @@ Ridge scores become probabilities by isotonic regression over ``BINS`` equal bin
 Every labelled row outside the held-out fold is used; nothing is sampled.
 
 Defined results: a null or empty text has all statistics 0 and is scored like any other; null
-labels are not learned from; without labels of both kinds every score is the share of label 1.
+labels are not learned from; a label or document that is repeated counts as often as it stands there; without
+labels of both kinds every score is exactly the share of label 1 (0 without any).  Documents are scored row by row, repeated
+or not; equal statistics have equal scores; very long texts are read whole, one at a time; an empty
+table gives an empty table; only ``doc_id`` and ``text`` are read, so other columns of any name play no part.
 """
 
 from __future__ import annotations
@@ -139,11 +142,14 @@ class Model:
     def __init__(self, fourier: Fourier, beta: np.ndarray):
         self.fourier, self.beta = fourier, beta
         self.centres, self.values = np.array([0.0]), np.array([0.0])
+        self.constant: float | None = None
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.fourier(stats) @ self.beta
 
     def __call__(self, stats: np.ndarray) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(stats), self.constant)
         raw = self.raw(stats)
         # Between block centres the line keeps the order of raw scores; outside, a narrow logistic tail does.
         level = np.interp(raw, self.centres, self.values)
@@ -157,7 +163,7 @@ def learn(rows: DataFrame, labels: DataFrame) -> Model:
     counts = train.agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("share")).head()
     if not counts["n"] or counts["share"] in (0.0, 1.0):
         model = Model(fourier, np.zeros(FEATURES + 1))
-        model.values = np.array([counts["share"] or 0.0])
+        model.constant = float(counts["share"] or 0.0)
         return model
     sums = _normal_equations(train, fourier)
     beta = np.linalg.solve(sums[:, :-1] + RIDGE * counts["n"] / FEATURES * np.eye(len(sums)), sums[:, -1])

@@ -14,7 +14,7 @@ slot; ``sharded`` derives sizes and checksums from those rows.
 
 Defined results: a null text has size 1 and CRC 0; repeated rows are rows of their own (ties are
 broken by size, then arbitrarily but gaplessly); an empty table gives an empty table; a null id
-sorts first.
+sorts first; very long texts move like others; extra columns are kept, those named ``shard`` or ``slot`` replaced.
 """
 
 from __future__ import annotations
@@ -102,8 +102,9 @@ def placed(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str
 
 
 def records(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with all their columns, and ``shard`` and ``slot`` behind them."""
-    return placed(docs, shards, doc_id, text).select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "shard", "slot")
+    """The documents with all their columns, and ``shard`` and ``slot`` behind them, which replace columns of those names."""
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return placed(docs, shards, doc_id, text).select(*[F.col("row").getField(c).alias(c) for c in kept], "shard", "slot")
 
 
 def sharded(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,8 +32,8 @@ def test_literal_titles(spark):
         ("Steve Jobs' Secret Technique Won.", "A Trillion-Dollar Company Was Revealed.", ["Steve Jobs", "Trillion-Dollar"]),
         ("", "", []),
         (None, None, None),
-        ("They Work Until 9am Every Day", "And Never Stop At All", [], "never"),
-        ("They Work Until 9am Every Day", "And Never Stop At All", ["Stop"], "absent"),
+        ("they work until 9am every day", "and never stop at all", [], "never"),
+        ("they work until 9am every day", "and never stop at all", ["Stop"], "absent"),
     )
     lines = [(r.line1, r.line2) for r in got]
     assert lines[1] == ("Steve Jobs Rule For Founders", "") and lines[2] == ("His Secret Rule For Building", "Apple")

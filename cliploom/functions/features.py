@@ -97,11 +97,33 @@ def wide_queries(query: str) -> Column:
 
 
 def path_tokens(path: str) -> Column:
-    """Distinct lower-case tokens of the parent folder and the stem, in order, two signs at least."""
+    """Distinct lower-case tokens of the parent folder and the stem, in order, two signs at least, no stop words."""
     tail = F.regexp_extract(F.col(path), r"([^/]*/)?[^/]*$", 0)
     stem = F.regexp_replace(F.regexp_replace(tail, r"\.[^./]*$", ""), "_", " ")
     tokens = F.regexp_extract_all(F.lower(stem), F.lit(r"[a-z0-9$]+"), F.lit(0))
-    return F.array_distinct(F.filter(tokens, lambda t: F.length(t) >= 2))
+    return F.array_distinct(F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.isin(*S.PATH_STOP_WORDS)))
+
+
+def folder_category(path: str) -> Column:
+    """The category of the nearest folder above a file whose name stands for one, else other."""
+    folders = F.reverse(F.split(F.regexp_replace(F.lower(F.col(path)), "_", " "), "/"))
+    above = F.slice(folders, 2, F.greatest(F.lit(0), F.size(folders) - 1))
+
+    def named(folder: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for mark, category in reversed(S.FOLDER_CATEGORIES):
+            found = F.when(folder.contains(mark), category).otherwise(found)
+        return found
+
+    return F.coalesce(F.get(F.filter(F.transform(above, named), lambda c: c.isNotNull()), F.lit(0)), F.lit("other"))
+
+
+def path_tags(path: str) -> Column:
+    """Struct of subjects (four tokens), setting (none), category (of the folders) and query (eight tokens, or the stem)."""
+    tokens = path_tokens(path)
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_extract(F.col(path), "[^/]*$", 0), r"\.[^./]*$", ""), "_", " ")
+    text = F.when(F.size(tokens) > 0, F.array_join(tokens, " ")).otherwise(stem)
+    return F.struct(F.slice(tokens, 1, 4).alias("subjects"), F.array().cast("array<string>").alias("setting"), folder_category(path).alias("category"), first_words(text).alias("query"))
 
 
 def cache_key(query: str, per_query: int) -> Column:

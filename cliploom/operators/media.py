@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from cliploom import schema as S
 from cliploom.functions.features import first_words
-from cliploom.operators.search import frame_set_scores
 
 
 def visual_energy(lit: Column, mean: Column, std: Column, edges: Column) -> Column:
@@ -26,11 +25,15 @@ def live_tags(tags: DataFrame, version: int) -> DataFrame:
     return tags.where(F.col("prompt_version") == version)
 
 
-def scene_tag(fields: Column, name: str) -> Column:
-    """A field of a tag answer: unknown words are absent ('' or no elements), not defaults."""
+def scene_tag(fields: Column, name: str, scalar: bool = False) -> Column:
+    """A field of a tag answer: unknown words are absent ('' or no elements), not defaults.
+
+    Lists are trimmed, lower-cased and capped; moods are from their vocabulary.  ``scalar``: a list field that came as one text.
+    """
     value = fields.getField(name)
     if name in S.LIST_CAPS:
-        clean = F.filter(F.transform(value, lambda v: F.lower(F.trim(v))), lambda v: v != "")
+        value = F.array(value) if scalar else value
+        clean = F.filter(F.transform(value, lambda v: F.lower(F.trim(v))), lambda v: v.isin(*S.MOODS) if name == "mood" else v != "")
         return F.coalesce(F.slice(clean, 1, S.LIST_CAPS[name]), F.array().cast("array<string>"))
     low = F.lower(F.trim(value))
     return F.coalesce(F.when(low.isin(*S.ENUMS[name]), low), F.lit(""))
@@ -52,26 +55,21 @@ def face_centre(boxes: DataFrame) -> DataFrame:
 
 
 def error_summary(errors: DataFrame, only_search: bool = False) -> DataFrame:
-    """First error and number of different ones per job; it fails a job that has no other source."""
-    made = errors.groupBy("job_id").agg(F.min_by("error", "pos").alias("first_error"), F.countDistinct("error").alias("different"))
+    """(job_id, first_error, different, errors, outcome): the different errors of a job in order; they fail a job that has no other source."""
+    made = errors.groupBy("job_id", "error").agg(F.min("pos").alias("pos")).groupBy("job_id").agg(
+        F.min_by("error", "pos").alias("first_error"), F.count(F.lit(1)).alias("different"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "error"))), lambda x: x["error"]).alias("errors")
+    )
     return made.withColumn("outcome", F.lit("failed" if only_search else "warning"))
 
 
 def job_summary(jobs: DataFrame, base: str = "/outputs") -> DataFrame:
-    """The public view of a job: urls of its pack items in (span, rank) order."""
-    items = F.array_sort(F.transform("items", lambda i: F.struct(i["span_index"].alias("s"), i["rank"].alias("r"))))
-    urls = F.transform(items, lambda i: F.concat_ws("/", F.lit(base), F.col("job_id"), F.concat(i["s"], F.lit("_"), i["r"], F.lit(".mp4"))))
-    return jobs.select("job_id", "status", urls.alias("urls"), F.coalesce("warning", F.lit("")).alias("warning"))
+    """The public view of a job: urls of its pack items in (span, rank) order and of its variations, forecast, timings, warning.
 
-
-def two_pass_sources(first: DataFrame, second: DataFrame, windows: DataFrame, duration: float, accept: float = 0.65) -> DataFrame:
-    """Best window of the best sources: three per reference by one frame each, then all their windows.
-
-    ``first`` and ``second``: pairs for ``frame_set_scores`` (``second`` by window as candidate);
-    ``windows``: candidate (window id), source, centre.
+    ``jobs``: job_id, status, items (span_index, rank), variations (their number), eta_s, timings (stage, seconds), warning.
     """
-    order = W.partitionBy("ref").orderBy(F.desc("score"), "candidate")
-    near = frame_set_scores(first).withColumn("r", F.row_number().over(order)).where("r <= 3").select("ref", F.col("candidate").alias("source"))
-    deep = frame_set_scores(second).join(windows, "candidate").join(near, ["ref", "source"], "left_semi")
-    best = deep.withColumn("r", F.row_number().over(order)).where(F.col("r") == 1).where(F.col("score") >= accept)
-    return best.select("ref", "source", F.greatest(F.lit(0.0), F.col("centre") - duration / 2).alias("start_s"), "score")
+    items = F.array_sort(F.transform("items", lambda i: F.struct(i["span_index"].alias("s"), i["rank"].alias("r"))))
+    urls = F.transform(items, lambda i: F.concat_ws("/", F.lit(base), F.col("job_id"), F.concat(i["s"], F.lit("_"), i["r"], F.lit(".mp4"))))
+    numbers = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("variations"))), lambda v: v > 0)
+    made = F.transform(numbers, lambda v: F.concat_ws("/", F.lit(base), F.col("job_id"), F.concat(F.lit("v"), v, F.lit(".mp4"))))
+    timings = F.map_from_entries(F.transform("timings", lambda t: F.struct(t["stage"], F.round(t["seconds"], 1))))
+    return jobs.select("job_id", "status", urls.alias("urls"), made.alias("variation_urls"), F.when(F.col("status").isin(*S.TERMINAL), 0.0).otherwise(F.col("eta_s")).alias("eta_s"), timings.alias("timings"), F.coalesce("warning", F.lit("")).alias("warning"))

@@ -129,8 +129,33 @@ def motion(frames: DataFrame) -> DataFrame:
 
 
 def sampled_frames(spans: DataFrame, frames: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Frames of each span at the given shares of its frame range."""
-    first, last = F.floor(F.col("start_s") * FPS), F.floor(F.col("end_s") * FPS)
-    picks = F.array_distinct(F.array(*[F.floor(first + (last - first) * s) for s in shares]))
-    wanted = spans.select("*", F.explode(picks).alias("frame_idx")).withColumn("frame_idx", F.col("frame_idx").cast("int"))
+    """Frames of each span at the given shares of its frame range, which ends at the video's last frame."""
+    ends = frames.groupBy("video_id").agg(F.max("frame_idx").alias("final"))
+    first, last = F.least(F.floor(F.col("start_s") * FPS), F.col("final")), F.least(F.floor(F.col("end_s") * FPS), F.col("final") + 1)
+    picks = F.array_distinct(F.array(*[F.least(F.floor(first + (last - first) * s), F.col("final")) for s in shares]))
+    wanted = spans.join(ends, "video_id").select(*[F.col(c) for c in spans.columns], F.explode(picks).alias("frame_idx")).withColumn("frame_idx", F.col("frame_idx").cast("int"))
     return wanted.join(frames, ["video_id", "frame_idx"])
+
+
+def content_band(rows: DataFrame, key: str = "clip_id", bright: float = 20.0, least: float = 0.2, whole: bool = True) -> DataFrame:
+    """(key, top, height): the first longest run of bright rows of a picture, as shares of its height.
+
+    ``rows``: key, row, mean.  Bands of less than ``least`` are none (a dark scene), and neither are those that fill nearly the whole
+    picture (0.9 and more from the top 0.05 on) unless ``whole`` is off.
+    """
+    heights = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    band = longest_run(rows, key, "row", F.col("mean") > bright).join(heights, key)
+    band = band.select(key, (F.col("run_start") / F.col("rows")).alias("top"), (F.col("run_length") / F.col("rows")).alias("height"))
+    full = (F.col("height") >= 0.9) & (F.col("top") <= 0.05)
+    return band.where(F.col("height") >= least).where(~full if whole else F.lit(True)).select(key, F.round("top", 4).alias("top"), F.round("height", 4).alias("height"))
+
+
+def metric_means(frames: DataFrame, names: list[str], key: str = "video_id") -> DataFrame:
+    """Mean of each metric over the frames that have it, clipped to [0, 1]; 0 where none has."""
+    clipped = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.avg(c), F.lit(0.0))))
+    return frames.groupBy(key).agg(*[F.round(clipped(n), 6).alias(n) for n in names])
+
+
+def middle_frames(spans: DataFrame, frames: DataFrame) -> DataFrame:
+    """The middle frame of each span's frame range, inside the video: (the columns of spans, frame_idx, ...)."""
+    return sampled_frames(spans, frames, (0.5,))

@@ -68,11 +68,18 @@ def pr11_wide_queries(spark, sf_dir):
     return pages.select("page_id", F.explode(X.wide_queries("t")).alias("query"))
 
 
-@query(duck("clips") + """, t AS (SELECT clip_id, regexp_extract_all(lower(replace(regexp_replace(regexp_extract(path, '([^/]*/)?[^/]*$', 0), '\\.[^./]*$', ''), '_', ' ')), '[a-z0-9$]+') AS l FROM clips),
- e AS (SELECT clip_id, unnest(range(0, len(l))) AS i, unnest(l) AS tok FROM t), f AS (SELECT clip_id, tok, min(i) AS i FROM e WHERE len(tok) >= 2 GROUP BY 1, 2)
- SELECT clip_id, string_agg(tok, ' ' ORDER BY i) AS tokens FROM f GROUP BY 1""")
+_FOLDERED = "CASE category WHEN 'movie' THEN 'The_Good_Stuff/' WHEN 'sports' THEN 'NBA finals/' WHEN 'tech' THEN 'ronaldo/good stuff/' ELSE '' END || replace(path, '_', '_of_')"
+
+
+@query(duck("clips") + f""", p AS (SELECT clip_id, {_FOLDERED} AS path FROM clips), t AS (SELECT clip_id, path, regexp_extract_all(lower(replace(regexp_replace(regexp_extract(path, '([^/]*/)?[^/]*$', 0), '\\.[^./]*$', ''), '_', ' ')), '[a-z0-9$]+') AS l FROM p),
+ e AS (SELECT clip_id, unnest(range(0, len(l))) AS i, unnest(l) AS tok FROM t), f AS (SELECT clip_id, tok, min(i) AS i FROM e WHERE len(tok) >= 2 AND tok NOT IN {_in(S.PATH_STOP_WORDS)} GROUP BY 1, 2),
+ g AS (SELECT clip_id, list(tok ORDER BY i) AS l FROM f GROUP BY 1), c AS (SELECT clip_id, list_reverse(string_split(replace(lower(path), '_', ' '), '/'))[2:] AS up FROM p),
+ k AS (SELECT clip_id, coalesce([x for x in [CASE WHEN contains(u, 'good stuff') THEN 'movie' WHEN contains(u, 'nba') OR contains(u, 'ronaldo') THEN 'sports' END for u in up] if x IS NOT NULL][1], 'other') AS category FROM c)
+ SELECT g.clip_id, array_to_string(l[1:4], '|') AS subjects, category, array_to_string(l[1:8], ' ') AS query FROM g JOIN k ON k.clip_id = g.clip_id""")
 def pr12_path_tags(spark, sf_dir):
-    return view(spark, sf_dir, "clips").select("clip_id", F.array_join(X.path_tokens("path"), " ").alias("tokens"))
+    folder = F.when(F.col("category") == "movie", "The_Good_Stuff/").when(F.col("category") == "sports", "NBA finals/").when(F.col("category") == "tech", "ronaldo/good stuff/").otherwise("")
+    clips = view(spark, sf_dir, "clips").select("clip_id", F.concat(folder, F.replace("path", F.lit("_"), F.lit("_of_"))).alias("path"))
+    return clips.select("clip_id", X.path_tags("path").alias("t")).select("clip_id", F.array_join("t.subjects", "|").alias("subjects"), "t.category", "t.query")
 
 
 @query("SELECT page_id, substr(sha256(lower(trim(url)) || '|8'), 1, 24) AS key, md5(html) AS page_md5, sha256(html) AS page_sha256 FROM pages")

@@ -82,8 +82,8 @@ def io11_result_packs(spark, sf_dir):
 
 @query(duck("clips") + """, v AS (SELECT clip_id, list_concat([(shot_type = x)::int::double for x in ['wide', 'medium', 'close-up', 'extreme-close-up', 'aerial', 'overhead', 'two-shot']], list_concat([(camera_motion = x)::int::double for x in ['static', 'pan', 'tilt', 'dolly', 'handheld', 'tracking', 'zoom']], list_concat([(depth_of_field = 'deep')::int::double, (depth_of_field = 'shallow')::int::double],
   [len([m for m in mood if m IN ('energetic', 'aggressive', 'epic', 'dramatic', 'tense')]) / 2.0, len([m for m in mood if m IN ('calm', 'melancholic', 'romantic', 'nostalgic', 'neutral')]) / 2.0, len([m for m in mood if m IN ('joyful', 'uplifting', 'playful')]) / 2.0]))) AS l FROM clips),
- s AS (SELECT a.clip_id AS ref_id, b.clip_id, round(list_dot_product(a.l, b.l) / (sqrt(list_dot_product(a.l, a.l)) * sqrt(list_dot_product(b.l, b.l))), 6) AS similarity FROM v a JOIN v b ON a.clip_id % 50 = 0 AND a.clip_id <> b.clip_id)
- SELECT ref_id, clip_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY similarity DESC, clip_id) AS rank FROM s WHERE similarity < 0.999) WHERE rank <= 3""")
+ s AS (SELECT a.clip_id AS ref_id, b.clip_id, round(list_dot_product(a.l, b.l) / (sqrt(list_dot_product(a.l, a.l)) * sqrt(list_dot_product(b.l, b.l))), 6) AS similarity FROM v a JOIN v b ON a.clip_id % 50 = 0 AND a.clip_id <> b.clip_id AND a.l <> b.l)
+ SELECT ref_id, clip_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY similarity DESC, clip_id) AS rank FROM s) WHERE rank <= 3""")
 def ag13_ag14_near_styles(spark, sf_dir):
     """The clips most alike in style, but not equal, by all 19 numbers; only distinct vectors are compared."""
     clips = view(spark, sf_dir, "clips").select("clip_id", A.style_vector().alias("v"))
@@ -94,6 +94,6 @@ def ag13_ag14_near_styles(spark, sf_dir):
     asked = refs.select("a").distinct()
     small = asked.count() <= J.BROADCAST_ROWS
     pairs = styles.repartition(2 * spark.sparkContext.defaultParallelism).join(F.broadcast(asked) if small else asked, F.col("a") != F.col("v")).select("a", "ids", F.round(A.cosine("a", "v"), 6).alias("similarity"))
-    near = J.top_k(pairs.where("similarity < 0.999").withColumn("first", F.get("ids", F.lit(0))), "a", "similarity", 4, F.col("first")).drop("rank")
+    near = J.top_k(pairs.withColumn("first", F.get("ids", F.lit(0))), "a", "similarity", 4, F.col("first")).drop("rank")
     each = refs.join(near, "a").select("ref_id", F.explode("ids").alias("clip_id"), "similarity").where("ref_id <> clip_id")
     return J.top_k(each, "ref_id", "similarity", 3, F.col("clip_id")).select("ref_id", "clip_id", "similarity", "rank")

@@ -55,6 +55,14 @@ JUNK_TERMS = (
     "storytime", "q&a", "commentary", "tier list", "ranking", "compilation of", "top 10", "top ten",
 )
 
+# Words of file names that are no tags, and marks of folders with the category they stand for.
+PATH_STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "b", "best", "big", "roll", "broll", "by", "clip", "clips", "compilation", "edit",
+    "edits", "for", "from", "full", "hd", "high", "hq", "in", "is", "of", "official", "on", "quality", "rare", "short",
+    "shorts", "the", "to", "video", "with",
+)
+FOLDER_CATEGORIES = (("good stuff", "movie"), ("nba", "sports"), ("ronaldo", "sports"))
+
 # Words and phrases of the default text profile.
 HOOK_WORDS = (
     "secret", "mistake", "kill", "kills", "never", "why", "how", "money", "million", "billion", "trillion", "dollar", "ai",

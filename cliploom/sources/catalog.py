@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cliploom.functions.features import MEDIA_SUFFIX
+from cliploom.operators.transcripts import words_from_segments
 
 INDEX_VERSION = 1
 
 
-def media_files(spark: SparkSession, *roots: str) -> DataFrame:
-    """path, mtime and size of the media files below the roots; file contents are never read.
+def media_files(spark: SparkSession, *roots: str, suffix: str = MEDIA_SUFFIX) -> DataFrame:
+    """path, mtime and size of the files below the roots whose name fits ``suffix``; file contents are never read.
 
-    A root that is not there has no files.
+    A root that is not there has no files; a file below two roots is listed once.
     """
     every = None
     for root in roots:
@@ -27,7 +29,7 @@ def media_files(spark: SparkSession, *roots: str) -> DataFrame:
         every = files if every is None else every.unionByName(files)
     files = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary") if every is None else every
     rows = files.select("path", F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    return rows.where(F.lower("path").rlike(MEDIA_SUFFIX)).dropDuplicates(["path"])
+    return rows.where(F.lower("path").rlike(suffix)).dropDuplicates(["path"])
 
 
 def index_actions(catalog: DataFrame, index: DataFrame, force: bool = False) -> DataFrame:
@@ -38,8 +40,39 @@ def index_actions(catalog: DataFrame, index: DataFrame, force: bool = False) ->
     return catalog.join(old, "path", "left").withColumn("action", action).drop("old_mtime", "old_size")
 
 
-def index_report(actions: DataFrame) -> DataFrame:
-    return actions.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("action") == "hit").alias("hits"), F.count_if(F.col("action") != "hit").alias("extracted"))
+def index_report(actions: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """total, hits, extracted; with the rows that an extractor returned (path, error) also indexed, failed and skipped.
+
+    ``skipped`` are rows that went to the extractor and did not come back.
+    """
+    missed = F.col("action") != "hit"
+    if extracted is None:
+        return actions.agg(F.count(F.lit(1)).alias("total"), F.count_if(~missed).alias("hits"), F.count_if(missed).alias("extracted"))
+    back = actions.join(extracted.select("path", F.col("error").isNotNull().alias("bad")), "path", "left")
+    return back.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(~missed).alias("hits"), F.count_if(missed & ~F.col("bad")).alias("extracted"),
+        F.count_if(~missed | ~F.col("bad")).alias("indexed"), F.count_if(missed & F.col("bad").isNull()).alias("skipped"), F.count_if(missed & F.col("bad")).alias("failed"),
+    )
+
+
+def extracted_batches(rows: DataFrame, hook, schema: str) -> DataFrame:
+    """Run a batch extractor over the misses: ``hook`` takes a DataFrame of rows and returns one with ``path`` and the schema's columns.
+
+    Rows that it leaves out are skipped; a batch that fails is returned row by row with ``error`` set.
+    """
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for frame in batches:
+            try:
+                made = hook(frame).assign(error=None)
+            except Exception as error:  # the hook is foreign code: its failures are data
+                made = pd.DataFrame({"path": frame["path"], **{n: None for n in names}, "error": str(error)})
+            yield made[["path", *names, "error"]]
+
+    return rows.mapInPandas(run, f"path string, {schema}, error string")
 
 
 def extracted(rows: DataFrame, hook, schema: str) -> DataFrame:
@@ -88,6 +121,19 @@ def invalidated(index: DataFrame, paths: DataFrame) -> DataFrame:
     return index.join(paths.select("path").distinct(), "path", "left_anti")
 
 
+def timed_words(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """(asset_id, pos, word, start_s, end_s): the words, and for assets without any the words of their segments, timed by length."""
+    bare = words_from_segments(segments.join(words.select("asset_id").distinct(), "asset_id", "left_anti"))
+    order = W.partitionBy("asset_id").orderBy("seg_idx", "pos")
+    made = bare.select("asset_id", (F.row_number().over(order) - 1).alias("pos"), "word", F.col("start_s2").alias("start_s"), F.col("end_s2").alias("end_s"))
+    return words.select("asset_id", "pos", "word", "start_s", "end_s").unionByName(made)
+
+
+def due_shares(shares: DataFrame, now: int, hours: float = 12.0) -> DataFrame:
+    """Shares that were not synced within the last ``hours``: (share, synced_at in seconds, or null)."""
+    return shares.where(F.col("synced_at").isNull() | (F.lit(now) - F.col("synced_at") >= hours * 3600))
+
+
 def transcript_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(segments, words) of verbose transcript JSON in ``asset_id, value``; blank texts are dropped."""
     schema = "text string, segments array<struct<text: string, start: double, end: double>>, words array<struct<word: string, start: double, end: double>>"

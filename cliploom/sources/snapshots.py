@@ -9,12 +9,23 @@ folder, so what they read does not change while newer ones appear.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir); a temporary one on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{root.rstrip('/')}/cliploom/{name}-{uuid.uuid4().hex}"
+
+
 class Snapshots:
     def __init__(self, spark: SparkSession, root: str, schema_version: int = 1):
         self.spark, self.root, self.schema_version = spark, root.rstrip("/"), schema_version

@@ -14,12 +14,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: rows hold whole texts, and both sides hold batches.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the default rows of an Arrow batch; a number that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
     Where the session names none, a local master gets a temporary folder; a cluster gets an error,
     for its executors would each write to a disk of their own.
     """
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
@@ -151,6 +163,7 @@ def with_made(docs: DataFrame, text: str, fields: list[T.StructField], maker: Ca
     per new column.  All other columns pass through as Arrow buffers and never become Python objects;
     a new column replaces one of its name.
     """
+    small_batches(docs.sparkSession)
     made = [f.name for f in fields]
     keep = [c for c in docs.columns if c not in made]
     names = [f"c{i}" for i in range(len(keep))]

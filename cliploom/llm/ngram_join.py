@@ -413,11 +413,18 @@ def cross_links(rows: DataFrame, points: DataFrame, sets: DataFrame) -> DataFram
         n, node, root, asker = (frame[c].to_numpy() for c in ("n", "node", "root", "asker"))
         asking = asker == key[2]
         inside = np.flatnonzero(frame["own"].to_numpy() == key[1])
-        # Cells before this one, per row; looked at for hits only.
-        earlier = [np.sort(np.asarray(cells, np.int64)[np.asarray(cells, np.int64) < key[0]]) for cells in frame["cells"]]
+        cells = frame["cells"].tolist()
+        earlier: dict[int, np.ndarray] = {}
+
+        def before(i: int) -> np.ndarray:
+            """The cells of a row that are searched before this one; made for hits only."""
+            if i not in earlier:
+                own = np.asarray(cells[i], np.int64)
+                earlier[i] = np.sort(own[own < key[0]])
+            return earlier[i]
 
         def met_before(i: int, j: int) -> bool:
-            a, b = sorted((earlier[i], earlier[j]), key=len)
+            a, b = sorted((before(i), before(j)), key=len)
             at = np.searchsorted(b, a)
             return bool(len(b)) and bool((b[np.minimum(at, len(b) - 1)] == a).any())
 

@@ -321,7 +321,16 @@ def _job_candidates(spark, sf_dir, per_span=1, styled=False):
     return spans.join(best, "ref_clip_id")
 
 
-@query()
+def _greedy_sql(per_span: int) -> str:
+    """Picks of every span: a fold over the spans of a job, each with as many candidates as the job can take."""
+    return duck("clips", "spans") + ", " + _BASE_SQL + f""", top AS (SELECT ref_id, list(clip_id ORDER BY base DESC, clip_id) AS l FROM base GROUP BY 1), j AS (SELECT job_id, count(*) AS n FROM spans GROUP BY 1),
+ f AS (SELECT s.job_id, list_reduce(list_prepend({{'s': -1, 'c': []::bigint[], 'used': []::bigint[], 'out': []::bigint[][]}}, list({{'s': s.span_idx, 'c': l[1:j.n * {per_span}], 'used': []::bigint[], 'out': []::bigint[][]}} ORDER BY s.span_idx)),
+   lambda a, x: {{'s': x.s, 'c': x.c, 'used': list_concat(a.used, list_filter(x.c, lambda y: NOT list_contains(a.used, y))[1:{per_span}]), 'out': list_append(a.out, list_filter(x.c, lambda y: NOT list_contains(a.used, y))[1:{per_span}])}}).out AS picks,
+   list(s.span_idx ORDER BY s.span_idx) AS places FROM spans s JOIN j ON j.job_id = s.job_id JOIN top ON top.ref_id = s.ref_clip_id GROUP BY 1),
+ g AS (SELECT job_id, unnest(places) AS span_idx, unnest(picks) AS clips FROM f), pick AS (SELECT g.job_id, g.span_idx, unnest(range(1, len(clips) + 1))::int AS rank, unnest(clips) AS clip_id FROM g)"""
+
+
+@query(_greedy_sql(1) + """ SELECT pick.job_id, pick.span_idx, rank, pick.clip_id, base AS score FROM pick JOIN spans s ON s.job_id = pick.job_id AND s.span_idx = pick.span_idx JOIN base ON base.ref_id = s.ref_clip_id AND base.clip_id = pick.clip_id""")
 def wn14_greedy_assignment(spark, sf_dir):
     return G.greedy(_job_candidates(spark, sf_dir))
 
@@ -333,14 +342,21 @@ def wn14_wn16_continuous_assignment(spark, sf_dir):
     return G.continuous(_job_candidates(spark, sf_dir, 2, styled=True), styles, per_span=2)
 
 
-@query()
+_STYLE_SQL = """list_concat([(shot_type = x)::int::double for x in ['wide', 'medium', 'close-up', 'extreme-close-up', 'aerial', 'overhead', 'two-shot']], list_concat([(camera_motion = x)::int::double for x in ['static', 'pan', 'tilt', 'dolly', 'handheld', 'tracking', 'zoom']], list_concat([(depth_of_field = 'deep')::int::double, (depth_of_field = 'shallow')::int::double],
+  [len([m for m in mood if m IN ('energetic', 'aggressive', 'epic', 'dramatic', 'tense')]) / 2.0, len([m for m in mood if m IN ('calm', 'melancholic', 'romantic', 'nostalgic', 'neutral')]) / 2.0, len([m for m in mood if m IN ('joyful', 'uplifting', 'playful')]) / 2.0])))"""
+
+
+@query(_greedy_sql(1) + f""", v AS (SELECT p.job_id, p.span_idx, p.clip_id, {_STYLE_SQL} AS v FROM pick p JOIN clips c ON c.clip_id = p.clip_id), b AS (SELECT *, lag(v) OVER w AS one FROM v WINDOW w AS (PARTITION BY job_id ORDER BY span_idx)),
+ r AS (SELECT *, sum(CASE WHEN one IS NULL OR v <> one THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY span_idx) AS run FROM b), u AS (SELECT job_id, run, any_value(v) AS v FROM r GROUP BY 1, 2),
+ h AS (SELECT r.*, lag(run) OVER (PARTITION BY job_id ORDER BY span_idx) AS before FROM r), m AS (SELECT h.job_id, h.span_idx, h.clip_id, h.v, one IS NOT NULL AS known, [(coalesce(one, h.v)[i] + coalesce(u.v, one, h.v)[i]) / 2 for i in range(1, 20)] AS mean FROM h LEFT JOIN u ON u.job_id = h.job_id AND u.run = h.before - 1)
+ SELECT job_id, span_idx, clip_id, CASE WHEN known AND round(list_dot_product(v, mean) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(mean, mean))), 9) >= 0.92 THEN -0.08 ELSE 0.0 END AS penalty FROM m""")
 def wn16_continuity(spark, sf_dir):
     clips = view(spark, sf_dir, "clips").select("clip_id", A.style_vector().alias("v"))
     picks = G.greedy(_job_candidates(spark, sf_dir)).join(clips, "clip_id")
     return G.continuity_penalty(picks, "v").select("job_id", "span_idx", "clip_id", "penalty")
 
 
-@query()
+@query(_greedy_sql(2) + """, l AS (SELECT job_id, span_idx, list(clip_id ORDER BY rank) AS l FROM pick GROUP BY 1, 2) SELECT job_id, span_idx, unnest(range(0, 3))::int AS variation, unnest([l[least(i + 1, len(l))] for i in range(0, 3)]) AS clip_id FROM l""")
 def wn18_wn19_variations(spark, sf_dir):
     return G.variations(G.greedy(_job_candidates(spark, sf_dir, per_span=2), per_span=2), ["job_id", "span_idx"], 3)
 

@@ -162,7 +162,7 @@ def jn13_two_pass_sources(spark, sf_dir):
 @query(duck("levels") + """, r AS (SELECT asset_id, sec - 10 AS i, level AS r FROM levels WHERE sec BETWEEN 10 AND 19), k AS (SELECT asset_id, count(*) AS k FROM r GROUP BY 1),
  d AS (SELECT l.asset_id, l.sec - r.i AS off, round(sum(l.level * r.r), 4) AS dot, count(*) AS n FROM levels l JOIN r ON r.asset_id = l.asset_id AND l.sec >= r.i GROUP BY 1, 2),
  e AS (SELECT d.asset_id, off, dot, avg(dot) OVER (PARTITION BY d.asset_id) AS mean, row_number() OVER (PARTITION BY d.asset_id ORDER BY dot DESC, off) AS p FROM d JOIN k ON k.asset_id = d.asset_id AND d.n = k.k)
- SELECT asset_id, off AS "offset", dot, NOT (dot < 1.5 * mean AND dot < 50) AS accepted FROM e WHERE p = 1""")
+ SELECT e.asset_id, off AS "offset", least(off + k.k, (SELECT max(sec) + 1 FROM levels l WHERE l.asset_id = e.asset_id)) AS end_s, dot, NOT (dot < 1.5 * mean AND dot < 50) AS accepted FROM e JOIN k ON k.asset_id = e.asset_id WHERE p = 1""")
 def jn14_profile_alignment(spark, sf_dir):
     return T.profile_alignment(view(spark, sf_dir, "levels"))
 

@@ -208,6 +208,32 @@ def failure_reason(text: Column) -> Column:
     )
 
 
+def file_key(content: Column, block: int = 1 << 20) -> Column:
+    """md5 of a file's size and its first and last MiB (once, if the file is shorter than that)."""
+    size = F.octet_length(content)
+    head = F.concat(F.concat(F.lit("size:"), size.cast("string"), F.lit("\n")).cast("binary"), F.substring(content, 1, block))
+    tail = F.substring(content, F.greatest(F.lit(1), size - block + 1).cast("int"), F.lit(block))
+    return F.md5(F.when(size > block, F.concat(head, tail)).otherwise(head))
+
+
+def path_key(path: str, size: str, mtime: str) -> Column:
+    """24 hex digits that name one state of a file: path, size and whole seconds."""
+    return F.substring(F.sha2(F.concat_ws("|", F.col(path), F.col(size).cast("string"), F.floor(mtime).cast("string")), 256), 1, 24)
+
+
+def match_note(score: Column, confidence: Column) -> Column:
+    """A label with its score, or why there is none: no features (null), or a sentinel without confidence."""
+    text = F.concat(match_label(score), F.lit(" match ("), F.format_string("%.2f", score), F.lit(")"))
+    return F.when(confidence.isNull(), "no preview features available").when(confidence <= 0, "empty-sentinel fallback").otherwise(text)
+
+
+def name_key(path: str, words: int = 4) -> Column:
+    """The first words of a file's name, lower case, without extension and other signs."""
+    stem = F.lower(F.regexp_replace(F.regexp_extract(F.col(path), "[^/]*$", 0), r"\.[^./]*$", ""))
+    kept = F.filter(F.split(F.regexp_replace(stem, r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
+    return F.array_join(F.slice(kept, 1, words), " ")
+
+
 def match_label(score: Column) -> Column:
     return F.when(score >= 0.8, "strong").when(score >= 0.6, "good").when(score >= 0.4, "weak").otherwise("poor")
 

@@ -188,8 +188,23 @@ def share_id(url: str):
     return F.nullif(F.regexp_extract(url, r"/(?:share|s|r|presentations)/([A-Za-z0-9-]+)", 1), F.lit(""))
 
 
-def result_packs(items: DataFrame, key: str, order: str) -> DataFrame:
-    """One JSON document per reference: its key and its items, nested, in order."""
+def result_packs(items: DataFrame, key: str, order: str, references: DataFrame | None = None, diagnostics: DataFrame | None = None) -> DataFrame:
+    """One JSON document per reference: its key, its items, nested, in order, its own features and its diagnostics.
+
+    ``references`` and ``diagnostics``: the key and any columns; without a row of theirs a document has null there.
+    """
     rest = [c for c in items.columns if c not in (key, order)]
     listed = F.array_sort(F.collect_list(F.struct(order, *rest)))
-    return items.groupBy(key).agg(listed.alias("items")).select(key, F.to_json(F.struct(key, "items")).alias("pack"))
+    packs = items.groupBy(key).agg(listed.alias("items"))
+    parts = [key, "items"]
+    for name, rows in (("reference", references), ("diagnostics", diagnostics)):
+        if rows is not None:
+            packs = packs.join(rows.select(key, F.struct(*[c for c in rows.columns if c != key]).alias(name)), key, "left")
+            parts.append(name)
+    return packs.select(key, F.to_json(F.struct(*parts)).alias("pack"))
+
+
+def json_object_or_text(text) -> object:
+    """The object inside a chat answer, else the whole answer where that is one, else null."""
+    whole = F.trim(text)
+    return F.coalesce(json_object(text), F.when(whole.startswith("{"), whole))

@@ -165,3 +165,20 @@ def test_cues_of_the_given_words(spark, data):
         by.setdefault(r.asset_id, []).append((r.start_s, r.pos, r.end_s, r.word))
     for asset, rows in by.items():
         assert got[asset] == plain_cues(rows, max(e for _, _, e, _ in rows))
+
+
+def test_keys_of_files(spark):
+    import hashlib
+
+    from cliploom.functions import features as X
+
+    contents = [b"", b"short", bytes(range(256)) * 5000, b"ab" * (1 << 19) + b"tail"]
+    got = [r[0] for r in spark.createDataFrame([(bytearray(c),) for c in contents], "c binary").select(X.file_key(F.col("c"))).collect()]
+    mib = 1 << 20
+    want = [hashlib.md5(f"size:{len(c)}\n".encode() + c[:mib] + (c[-mib:] if len(c) > mib else b"")).hexdigest() for c in contents]
+    assert got == want
+
+
+def test_answers_without_fences(spark):
+    rows = spark.createDataFrame([('```json\n{"a": 1}\n```',), ('{"a": 1',), ("no object",), ('say {"b": {}} end',)], "t string")
+    assert [r[0] for r in rows.select(C.json_object_or_text(F.col("t"))).collect()] == ['{"a": 1}', '{"a": 1', None, '{"b": {}}']

@@ -213,14 +213,30 @@ def wn9_word_timing(spark, sf_dir):
     return made.select("asset_id", "seg_idx", "pos", "word", F.round("start_s2", 5).alias("start_s"), F.round("end_s2", 5).alias("end_s"))
 
 
-@query()
+#: Words of the view are single tokens, so cues are runs without a long gap cut into threes.
+_CUES = duck("words") + """, b AS (SELECT *, start_s - lag(end_s) OVER w > 1.0 AS gap, max(end_s) OVER (PARTITION BY asset_id) AS duration FROM words WINDOW w AS (PARTITION BY asset_id ORDER BY start_s, pos)),
+ i AS (SELECT *, sum(coalesce(gap, false)::int) OVER (PARTITION BY asset_id ORDER BY start_s, pos) AS run FROM b WHERE start_s < duration), r AS (SELECT *, (row_number() OVER (PARTITION BY asset_id, run ORDER BY start_s, pos) - 1) // 3 AS part FROM i),
+ g AS (SELECT asset_id, run, part, min(start_s) AS s, least(any_value(duration), greatest(arg_max(end_s, (start_s, pos)), min(start_s) + 0.3)) AS e, string_agg(trim(translate(word, '{}\\', '()/')), ' ' ORDER BY start_s, pos) AS text FROM r GROUP BY 1, 2, 3),
+ q AS (SELECT asset_id, row_number() OVER w - 1 AS cue, s AS "start", coalesce(least(e, lead(s) OVER w), e) AS "end", text FROM g WHERE e > s WINDOW w AS (PARTITION BY asset_id ORDER BY run, part)), cues AS (SELECT * FROM q WHERE "end" > "start")"""
+
+
+@query(_CUES + ' SELECT asset_id, cue, "start", "end", text FROM cues')
 def wn10_wn11_caption_cues(spark, sf_dir):
     return T.caption_cues(view(spark, sf_dir, "words"))
 
 
-@query()
+_ASS = lambda t: f"printf('%d:%02d:%05.2f', floor({t} / 3600)::int, floor(({t} % 3600) / 60)::int, {t} % 60)"
+
+
+@query(_CUES + f""", l AS (SELECT asset_id, cue, 'Dialogue: 0,' || {_ASS('"start"')} || ',' || {_ASS('"end"')} || ',Caption,,0,0,0,,' || text AS line FROM cues
+  UNION ALL SELECT doc_id, -1, 'Dialogue: 1,0:00:00.00,' || {_ASS("d.duration")} || ',Title,,0,0,0,,*' || lang || '* title' FROM documents JOIN (SELECT asset_id, max(end_s) AS duration FROM words GROUP BY 1) d ON d.asset_id = doc_id)
+ SELECT asset_id, string_agg(line, chr(10) ORDER BY cue) AS value FROM l GROUP BY 1""")
 def io10_caption_files(spark, sf_dir):
-    return T.caption_file(T.caption_cues(view(spark, sf_dir, "words")))
+    """Caption files, each with a title line whose first word is highlighted."""
+    words = view(spark, sf_dir, "words")
+    lengths = words.groupBy("asset_id").agg(F.max("end_s").alias("duration"))
+    docs = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("asset_id"), F.concat("lang", F.lit(" title")).alias("line1"), F.lit("").alias("line2"), F.array("lang").alias("highlights"))
+    return T.caption_file(T.caption_cues(words), docs.join(lengths, "asset_id"))
 
 
 @query(duck("segments") + " SELECT asset_id, left(string_agg(printf('[%.2f-%.2f] ', start_s, end_s) || trim(text), chr(10) ORDER BY seg_idx), 12000) || CASE WHEN len(string_agg(printf('[%.2f-%.2f] ', start_s, end_s) || trim(text), chr(10) ORDER BY seg_idx)) > 12000 THEN chr(10) || '[cut]' ELSE '' END AS outline FROM segments GROUP BY 1")
@@ -270,7 +286,11 @@ def ag7_top_placements(spark, sf_dir):
     return A.top_counts(_timed(spark, sf_dir), A.placements(_timed(spark, sf_dir), "total"), 40)
 
 
-@query()
+@query(duck("spans", "words", "search_rows") + """, x AS (SELECT *, max(end_s) OVER (PARTITION BY job_id) + 2.0 AS total FROM spans), r AS (SELECT job_id, count(*) / max(total) * 30.0 AS per_30s FROM x GROUP BY 1), per AS (SELECT round(avg(per_30s), 6) AS per FROM r),
+ c AS (SELECT printf('%.2f', round_even(least(1.0, start_s / total), 2)) || ',' || printf('%.2f', round_even(least(1.0, (end_s - start_s) / total), 2)) AS value, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, value LIMIT 20), pl AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) - 1 AS i, count(*) OVER () AS np FROM c),
+ k AS (SELECT id AS value, count(*) AS n FROM search_rows GROUP BY 1 ORDER BY n DESC, value LIMIT 50), q AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) - 1 AS j, count(*) OVER () AS nq FROM k), d AS (SELECT asset_id AS key, max(end_s) AS duration FROM words GROUP BY 1),
+ e AS (SELECT key, duration, unnest(range(0, round_even(per * duration / 30.0, 0)::int)) AS n FROM d CROSS JOIN per), f AS (SELECT key, e.n, duration, greatest(0.0, least(duration, split_part(pl.value, ',', 1)::double * duration)) AS start_s, split_part(pl.value, ',', 2)::double * duration AS len, q.value AS query FROM e JOIN pl ON e.n % np = i JOIN q ON e.n % nq = j)
+ SELECT key, n, round(start_s, 6) AS start_s, round(least(duration, start_s + len), 6) AS end_s, query FROM f WHERE least(duration, start_s + len) - start_s >= 0.4""")
 def wn20_synthesised_spans(spark, sf_dir):
     from cliploom.operators.assign import synthesised
     from cliploom.plans.clip_queries import _timed

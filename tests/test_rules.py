@@ -67,6 +67,14 @@ def test_pick_cache_names_ignore_the_order_of_paths(spark):
     assert got == {1: ("a", "picked"), 2: ("b", "picked"), 3: (None, "ask")}
 
 
+def test_match_notes_round_the_double_itself(spark):
+    """0.715 is a little less than it reads, 0.125 a true tie (to the even digit)."""
+    scores = [i / 1000 for i in range(1001)] + [0.125, 0.375, 0.714999, 0.715001]
+    rows = spark.createDataFrame([(s,) for s in scores], "s double").select("s", X.match_note(F.col("s"), F.lit(1.0)).alias("note")).collect()
+    name = lambda s: "strong" if s >= 0.8 else "good" if s >= 0.6 else "weak" if s >= 0.4 else "poor"
+    assert [r.note for r in rows] == [f"{name(r.s)} match ({r.s:.2f})" for r in rows] and len(rows) == len(scores)
+
+
 @pytest.mark.parametrize("first", ["cliploom.plans.clip_queries", "cliploom.plans.registry"])
 def test_query_modules_import_in_any_order(first):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -128,7 +128,9 @@ def pr10_legacy_queries(spark, sf_dir):
 def pr34_job_summaries(spark, sf_dir):
     events = view(spark, sf_dir, "job_events")
     order = P.W.partitionBy("job_id").orderBy("ts", "event_id")
-    seconds = (F.unix_micros(F.lead("ts").over(order).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
+    # A difference of seconds, as in the SQL: it may fall on the other side of half a tenth than one of microseconds.
+    at = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    seconds = at(F.lead("ts").over(order)) - at(F.col("ts"))
     spent = events.withColumn("s", seconds).where("s is not null").groupBy("job_id", "stage").agg(F.sum("s").alias("s"))
     timings = spent.groupBy("job_id").agg(F.collect_list(F.struct("stage", F.col("s").alias("seconds"))).alias("timings"))
     last = events.groupBy("job_id").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("status"))

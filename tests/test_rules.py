@@ -90,3 +90,18 @@ def test_the_rest_works_without_the_training_data_part(tmp_path):
         subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120, env={**os.environ, "PYTHONPATH": str(copy)})
         if (copy / "corpus_pipeline.py").exists():
             (copy / "corpus_pipeline.py").unlink()
+
+
+def test_job_timings_are_differences_of_seconds(spark, monkeypatch):
+    """Times half a tenth apart, of which the difference of the doubles is a little less or more."""
+    from cliploom.plans import source_queries as Q
+
+    first = 1_704_067_211_172_425
+    pairs = [(first + 977 * i, first + 977 * i + 50_000) for i in range(40)]
+    rows = [(j, j * 10 + n, t, stage) for j, pair in enumerate(pairs) for n, (t, stage) in enumerate(zip(pair, ("analyzing", "rendering")))]
+    events = spark.createDataFrame(rows, "job_id long, event_id long, us long, stage string").selectExpr("job_id", "event_id", "timestamp_micros(us) as ts", "stage")
+    spans = spark.createDataFrame([(0, 0)], "job_id long, span_idx int")
+    monkeypatch.setattr(Q, "view", lambda s, d, name: {"job_events": events, "spans": spans}[name])
+    want = {j: f"analyzing={0.0 if b / 1e6 - a / 1e6 < 0.05 else 0.1}" for j, (a, b) in enumerate(pairs)}
+    assert len(set(want.values())) == 2
+    assert {r.job_id: r.timings for r in Q.pr34_job_summaries(spark, "").collect()} == want

@@ -100,3 +100,20 @@ def test_second_pass_reads_the_winners_frames_only(spark):
 def test_excerpts_are_found_where_they_were_cut(spark, data):
     rows = Q.jn13_two_pass_sources(spark, data).collect()
     assert rows and all(-1 - r.ref == r.source and r.score >= 0.92 for r in rows)
+
+
+def test_rows_of_a_hash_stay_few(spark, monkeypatch):
+    """A hash has 67 rows on one side and 67 on the other, and a pair is met once."""
+    rows = spark.range(50).selectExpr("xxhash64(id) as a_hash", "xxhash64(id) ^ 5 as b_hash")
+    made = []
+    flips = R._flips
+    monkeypatch.setattr(R, "_flips", lambda width, most: made.append(len(flips(width, most))) or flips(width, most))
+    found = R.frame_candidates(rows.select("a_hash"), rows.select("b_hash"))
+    assert sum(made) == 2 * 67
+    pairs = [tuple(r) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) >= 50
+
+
+def test_hashes_work_out_their_numbers_once(spark, data):
+    plan = Q.pr32_gradient_hash(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "embedding" not in plan.split("Generate", 1)[0]

@@ -146,11 +146,20 @@ def first_number(text: Column) -> Column:
 
 def name_phrases(text: Column) -> Column:
     """Pairs of neighbouring capitalised words, possessives stripped, none a stop word, first seen first."""
+    return unique_strings(_name_pairs(text))
+
+
+def first_name(text: Column) -> Column:
+    """The first of ``name_phrases``, or null; nothing has to be made distinct for it."""
+    return F.get(F.filter(F.transform(_name_pairs(text), lambda p: F.trim(p)), lambda p: p != ""), F.lit(0))
+
+
+def _name_pairs(text: Column) -> Column:
     token = r"\b[A-Z][A-Za-z'.-]+\b"
     pairs = F.regexp_extract_all(text, F.lit(rf"(?=({token}\s+{token}))"), F.lit(1))
     plain = F.transform(pairs, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?:'s|')(?=\s|$)", ""), r"\s+", " "))
     stop = F.array(*map(F.lit, S.NAME_STOP_WORDS))
-    return unique_strings(F.filter(plain, lambda p: p.rlike(r"^[A-Z][A-Za-z'.-]+ [A-Z][A-Za-z'.-]+$") & ~F.arrays_overlap(F.split(p, " "), stop)))
+    return F.filter(plain, lambda p: p.rlike(r"^[A-Z][A-Za-z'.-]+ [A-Z][A-Za-z'.-]+$") & ~F.arrays_overlap(F.split(p, " "), stop))
 
 
 def unique_strings(values: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom import schema as S
-from cliploom.functions.text import first_number, manual_title, name_phrases, unique_strings
+from cliploom.functions.text import first_name, first_number, manual_title, name_phrases, unique_strings
 
 _NUMBER, _FULL_NUMBER = f"(?i){S.TITLE_NUMBER}", f"(?i)^(?:{S.TITLE_NUMBER})$"
 
@@ -133,16 +133,39 @@ def hook_word(line1: Column, line2: Column) -> Column:
     return F.coalesce(name, F.get(money, F.lit(0)), F.get(numbers, F.lit(0)), longest(line1), longest(both))
 
 
+#: Words of which a template wants one, by the name of the flag that says so.
+_MENTIONED = {
+    "promoted": ("promot", "career"), "soon": ("twice", "quickly"), "ai": ("ai",), "customer": ("customer",), "killing": ("kill", "faster horse"),
+    "iphone": ("iphone",), "company": ("company", "business"), "firm": ("company", "business", "startup"), "kill_company": ("kill", "company"),
+}
+
+
+def mentions(text: Column, low: Column) -> Column:
+    """What a transcript mentions, and whether it is empty; ``low``: its lower case."""
+    flags = [F.greatest(*[low.contains(w) for w in words], F.lit(False)).alias(name) for name, words in _MENTIONED.items()]
+    return F.struct((F.trim(low) == "").alias("empty"), first_name(text).alias("name"), F.nullif(first_number(text), F.lit("")).alias("number"), *flags)
+
+
+def templated_rows(rows: DataFrame, text: str) -> DataFrame:
+    """Rows with the struct ``title`` that ``templated`` makes of a column; what it asks for is worked out once per row."""
+    rows = _once(rows, _low=F.lower(F.coalesce(text, F.lit(""))))
+    rows = _once(rows, _said=mentions(F.col(text), F.col("_low")))
+    return rows.withColumn("title", _template(F.col("_said"))).drop("_low", "_said")
+
+
 def templated(text: Column) -> Column:
     """A raw title from what a transcript mentions (``finished`` applies the rules): one decision list over name, number and key words.
 
     The test for "ai" is on letters, so it is also met inside other words.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
-    has = lambda *words: F.greatest(*[low.contains(w) for w in words], F.lit(False))
-    name, number = F.get(name_phrases(text), F.lit(0)), F.nullif(first_number(text), F.lit(""))
+    return _template(mentions(text, F.lower(F.coalesce(text, F.lit("")))))
+
+
+def _template(said: Column) -> Column:
+    has = lambda flag: said[flag]
+    name, number = said["name"], said["number"]
     named, numbered = name.isNotNull(), number.isNotNull()
-    rise = numbered & has("promot", "career") & has("twice", "quickly")
+    rise = numbered & has("promoted") & has("soon")
 
     def made(one, two, *marks) -> Column:
         as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
@@ -151,15 +174,15 @@ def templated(text: Column) -> Column:
     rule, technique = F.concat(name, F.lit("'s Secret Rule")), F.concat(name, F.lit("'s Secret Technique"))
     twice, aged = F.concat(name, F.lit(" Got Promoted Twice")), F.concat(F.lit("This "), number, F.lit("-Year-Old Got Promoted Twice"))
     rules = [
-        (F.trim(low) == "", made("The Secret Clip", "You Need To See", "Secret")),
+        (said["empty"], made("The Secret Clip", "You Need To See", "Secret")),
         (named & rise & has("ai"), made(twice, F.concat(F.lit("At "), number, F.lit(" With One AI Move")), name, "AI")),
         (named & rise, made(twice, F.concat(F.lit("At Just "), number, F.lit(" Years Old")), name, number)),
-        (named & has("customer") & has("kill", "faster horse"), made(rule, "For Ignoring Customers", name, "Customers")),
+        (named & has("customer") & has("killing"), made(rule, "For Ignoring Customers", name, "Customers")),
         (named & has("iphone"), made(rule, "For Building The iPhone", name, "iPhone")),
-        (named & numbered & has("company", "business"), made(rule, F.concat(F.lit("To Build A "), number, F.lit(" Company")), name, number)),
-        (named & has("company", "business", "startup"), made(technique, "For Building Companies", name, "Companies")),
+        (named & numbered & has("company"), made(rule, F.concat(F.lit("To Build A "), number, F.lit(" Company")), name, number)),
+        (named & has("firm"), made(technique, "For Building Companies", name, "Companies")),
         (named, made(technique, "That Changed Everything", name, "Secret")),
-        (has("customer") & has("kill", "company"), made("The Customer Trap", "That Kills Companies", "Customer", "Kills")),
+        (has("customer") & has("kill_company"), made("The Customer Trap", "That Kills Companies", "Customer", "Kills")),
         (rise & has("ai"), made(aged, "After One AI Move", number, "AI")),
         (rise, made(aged, "After One Bold Move", number, "Twice")),
         (numbered, made(F.concat(F.lit("The "), number, F.lit(" Rule")), "Nobody Talks About", number, "Rule")),

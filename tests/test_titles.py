@@ -184,3 +184,11 @@ def test_names_equal_a_plain_version(spark, data):
 def test_queries_of_titles_have_rows(spark, data):
     for made in (M.pr20_templated_titles, M.pr33_routed_titles, M.pr23_pr24_highlights, Q.pr21_pr25_titles):
         assert made(spark, data).count() in (200, spark.read.parquet(f"{data}/pages.parquet").count())
+
+
+def test_what_templates_ask_for_is_worked_out_once(spark, data):
+    from cliploom.plans import registry
+
+    plan = registry.QUERIES["pr20_templated_titles"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    titles = next(x for x in plan.splitlines() if "Secret Clip" in x)
+    assert "regexp" not in titles and "_said" in titles
